@@ -7,7 +7,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,27 +48,37 @@ def read_literal(source: str | None) -> dict[str, str | None]:
         return empty
 
 
+# Declared nondeterministic to be evaluated once: a filter on a field would else
+# be pushed below the projection together with a second copy of the call.
 @F.pandas_udf(_RECORD)
 def _literal_fields(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_literal(s) for s in source], columns=list(_FIELDS))
 
 
-def literal_record(column: str) -> Column:
-    """Struct of the three fields as strings.
+_literal_fields = _literal_fields.asNondeterministic()
 
-    Plain records are read by one regular expression in the JVM. Python sees the
+
+def with_literal_fields(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``class``, ``polarity`` and ``subjectivity`` as strings.
+
+    Plain records are read by a regular expression in the JVM. Python sees the
     others only: for a plain row it is handed a null and returns at once.
     """
     source = F.col(column)
-    plain = source.rlike(CANONICAL)
+    cut = F.split(F.regexp_replace(source, CANONICAL, "$1\x01$2\x01$3"), "\x01")
+    slow = _literal_fields(F.when(~F.col("_plain"), source))
+    steps = (
+        df.withColumn("_plain", source.rlike(CANONICAL))
+        .withColumn("_cut", F.when(F.col("_plain"), cut))
+        .withColumn("_slow", slow)
+    )
 
-    def field(group: int) -> Column:
-        value = F.regexp_extract(source, CANONICAL, group)
-        return value if group == 1 else F.when(value != "None", value)
+    def field(i: int, name: str) -> Column:
+        part = F.col("_cut")[i]
+        fast = part if name == "class" else F.when(part != "None", part)
+        return F.when(F.col("_plain"), fast).otherwise(F.col(f"_slow.{name}")).alias(name)
 
-    fast = F.struct(*[field(i + 1).alias(name) for i, name in enumerate(_FIELDS)])
-    slow = _literal_fields(F.when(~plain, source))
-    return F.when(plain, fast).otherwise(slow)
+    return steps.select(*df.columns, *[field(i, name) for i, name in enumerate(_FIELDS)])
 
 
 def to_number(text: Column) -> Column:

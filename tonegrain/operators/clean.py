@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegrain.functions.digest import row_digest
-from tonegrain.functions.literals import literal_record, to_number
+from tonegrain.functions.literals import to_number, with_literal_fields
 from tonegrain.functions.text import model_input
 from tonegrain.operators.dedup import dedup_keep_first, removed_rows
 from tonegrain.schema import (
@@ -55,10 +55,7 @@ def drop_missing_body(df: DataFrame) -> DataFrame:
 
 def parse_sentiment(df: DataFrame, col: str = "sentiment") -> DataFrame:
     """Adds ``class``, ``polarity`` and ``subjectivity`` as strings."""
-    record = df.withColumn("_label", literal_record(col))
-    return record.select(
-        *df.columns, "_label.class", "_label.polarity", "_label.subjectivity"
-    )
+    return with_literal_fields(df, col)
 
 
 def coerce_scores(df: DataFrame) -> DataFrame:
