@@ -188,14 +188,14 @@ def test_clean_news_and_its_rejects(make):
 def test_clean_news_does_not_depend_on_partitions(spark):
     rows = news([(i, GOOD, label(), f"t{i % 7}", f"x{i % 5}") for i in range(200)])
     df = spark.createDataFrame(rows, RAW)
-    one, many = (clean.clean_news(df.repartition(n))[0] for n in (1, 16))
+    one, many = (clean.clean_table(df.repartition(n)) for n in (1, 16))
     assert rows_of(one) == rows_of(many)
     assert one.count() == 35
 
 
 def test_clean_plan_has_one_shuffle_one_python_pass_and_a_map_side_limit(spark):
     df = spark.createDataFrame(news([(1, GOOD, label(), "t", "x")]), RAW)
-    plan = clean.clean_news(df)[0]._jdf.queryExecution().executedPlan().toString()
+    plan = clean.clean_table(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.count("ArrowEvalPython") == 1
     assert plan.count("WindowGroupLimit") == 2

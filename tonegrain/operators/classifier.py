@@ -13,7 +13,6 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF,
     CountVectorizer,
     ElementwiseProduct,
     IndexToString,
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonegrain.functions.text import terms_sql
+from tonegrain.operators.features import fit_vocabulary
 from tonegrain.operators.metrics import macro_f1
 from tonegrain.operators.split import stratified_kfold
 from tonegrain.schema import CLASSES
@@ -72,28 +72,25 @@ def with_class_weight(df: DataFrame) -> DataFrame:
 def fit_features(
     df: DataFrame, ngram_max: int = 1, min_df: int = 5, max_df: float = 0.8
 ) -> PipelineModel:
-    """Fit the vectoriser: terms, counts, ``idf + 1``, L2 norm.
+    """Fit the vectoriser: terms, counts, ``idf``, L2 norm.
 
-    The vocabulary lives in the model, as the coefficients later do, so it must
-    fit the driver: raise ``min_df`` if it does not. It is never truncated.
+    The vocabulary comes from one relational pass over the texts. It lives in the
+    model, as the coefficients later do, so it must fit the driver: raise
+    ``min_df`` if it does not. It is never truncated.
     """
     split = SQLTransformer(
         statement=f"SELECT *, {terms_sql('input_text', ngram_max)} AS terms FROM __THIS__"
     )
-    counter = CountVectorizer(
-        inputCol="terms",
-        outputCol="counts",
-        vocabSize=_ALL_TERMS,
-        minDF=float(min_df),
-        maxDF=float(max_df),
+    vocab = stage(fit_vocabulary(df, ngram_max, min_df, max_df), "vocab")
+    # Fitted on one-term documents: every known term gets its index.
+    counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=_ALL_TERMS).fit(
+        vocab.select(F.array("term").alias("terms"))
     )
-    tokens = split.transform(df.select("input_text"))
-    counts = counter.fit(tokens)
-    plain = IDF(inputCol="counts", outputCol="idf").fit(counts.transform(tokens))
+    idf = dict(vocab.select("term", "idf").toPandas().itertuples(index=False))
     scale = ElementwiseProduct(
         inputCol="counts",
         outputCol="weighted",
-        scalingVec=DenseVector(plain.idf.toArray() + 1.0),
+        scalingVec=DenseVector([idf[term] for term in counts.vocabulary]),
     )
     return PipelineModel(
         [split, counts, scale, Normalizer(p=2.0, inputCol="weighted", outputCol="features")]

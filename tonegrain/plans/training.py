@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegrain.operators.classifier import FOLDS, grid_search, predict
-from tonegrain.operators.clean import clean_news, feature_projection
+from tonegrain.operators.clean import clean_table, feature_projection
 from tonegrain.operators.encoder import BATCH_SIZE, MAX_LENGTH, PredictFn, score_batches
 from tonegrain.operators.metrics import confusion, per_class, report_lines, report_text
 from tonegrain.operators.registry import Registry
@@ -29,8 +29,7 @@ TEST_SIZE = 0.25
 
 def prepare_data(raw: DataFrame, seed: int = RANDOM_STATE, test_size: float = TEST_SIZE) -> DataFrame:
     """Clean news as ``row_id, input_text, class, split`` (staged)."""
-    clean, _ = clean_news(raw)
-    features = stage(feature_projection(clean), "features")
+    features = stage(feature_projection(clean_table(raw)), "features")
     return stage(stratified_split(features, "class", "row_id", seed, test_size), "split")
 
 
