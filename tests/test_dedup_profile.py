@@ -11,6 +11,7 @@ from conftest import rows_of
 from tonegrain.functions.digest import row_digest
 from tonegrain.operators import analytics, dedup, profile
 from tonegrain.schema import DEDUP_KEYS
+from tonegrain.sources import news
 
 SCHEMA = "row_id bigint, date timestamp, text string, title string, class string"
 DAY = dt.datetime(2024, 1, 1)
@@ -64,7 +65,9 @@ def test_digest_tells_null_empty_and_shifted_values_apart(make):
 
 @pytest.mark.parametrize("keys", [["text"], ["title"], ["text", "title"]])
 @pytest.mark.parametrize("rows", [ROWS, heavy(800)])
-def test_duplicate_rows_match_a_count(make, rows, keys):
+@pytest.mark.parametrize("heavy_share", [100_000, 10])
+def test_duplicate_rows_match_a_count(make, rows, keys, heavy_share, monkeypatch):
+    monkeypatch.setattr(dedup, "HEAVY_SHARE", heavy_share)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     key = lambda r: tuple(dict(zip(names, r, strict=True))[k] for k in keys)
     counts = Counter(map(key, rows))
@@ -193,6 +196,19 @@ def test_dashboard_filter_includes_both_days(make):
     assert want and {r[0] for r in rows_of(got, "row_id")} == want
 
 
+def test_stored_table_prunes_months(spark, make, tmp_path):
+    path = str(tmp_path / "clean")
+    news.write_clean(make(some_news(), NEWS), path)
+    stored = news.read_clean(spark, path)
+    start, end = dt.date(2024, 3, 5), dt.date(2024, 4, 9)
+    got = analytics.dashboard_filter(stored, start, end)
+    want = {r[0] for r in some_news() if start <= r[1].date() <= end}
+    assert {r[0] for r in rows_of(got, "row_id")} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert "GreaterThanOrEqual(date" in plan
+
+
 def test_latest_per_group_matches_a_sort(make):
     rows = some_news()
     got = rows_of(analytics.latest_per_group(make(rows, NEWS), "source", 5), "source", "row_id", "rank")

@@ -68,8 +68,8 @@ def brute_tfidf(rows, n_max, min_df, max_df):
 
 
 @pytest.mark.parametrize("n_max", [1, 2])
-@pytest.mark.parametrize("broadcast_terms", [10**6, 0])
-def test_tfidf_matches_brute_force_by_both_joins(make, n_max, broadcast_terms, monkeypatch):
+@pytest.mark.parametrize("broadcast_bytes", [10**6, 0])
+def test_tfidf_matches_brute_force_by_both_joins(make, n_max, broadcast_bytes, monkeypatch):
     monkeypatch.setattr(features, "HEAVY_SHARE", 10)  # make some terms heavy
     rows = corpus()
     documents = stage(make(rows, SCHEMA), "docs")
@@ -77,7 +77,7 @@ def test_tfidf_matches_brute_force_by_both_joins(make, n_max, broadcast_terms, m
     assert dict(rows_of(features.doc_freq(documents, n_max))) == dict(df)
     table = stage(features.fit_vocabulary(documents, n_max, 3, 0.8), "vocab")
     assert {r["term"]: r["idf"] for r in table.collect()} == pytest.approx(vocab)
-    got = features.tfidf(documents, table, n_max, broadcast_terms=broadcast_terms)
+    got = features.tfidf(documents, table, n_max, broadcast_bytes=broadcast_bytes)
     assert {(r[0], r[1]): r[2] for r in rows_of(got)} == pytest.approx(weights)
     norms = got.groupBy("row_id").agg(F.sum(F.col("weight") ** 2).alias("n2")).collect()
     assert all(r["n2"] == pytest.approx(1) for r in norms)
@@ -120,8 +120,8 @@ def test_full_grid_order():
     assert grid[1]["ngram_max"] == 2 and grid[8]["max_iter"] == 500
 
 
-@pytest.mark.parametrize("broadcast_terms", [10**6, 0])
-def test_linear_scores_match_brute_force(make, broadcast_terms, monkeypatch):
+@pytest.mark.parametrize("broadcast_bytes", [10**6, 0])
+def test_linear_scores_match_brute_force(make, broadcast_bytes, monkeypatch):
     monkeypatch.setattr(features, "HEAVY_SHARE", 10)
     rows = corpus()
     documents = stage(make(rows, SCHEMA), "docs")
@@ -132,9 +132,11 @@ def test_linear_scores_match_brute_force(make, broadcast_terms, monkeypatch):
     coefs = stage(make([(t, c, w) for (t, c), w in coef.items()], "term string, class string, weight double"), "coefs")
     direct = linear.score_texts(
         documents, stage(linear.scoring_table(table, coefs), "scoring"), intercepts,
-        broadcast_terms=broadcast_terms,
+        broadcast_bytes=broadcast_bytes,
+    )
+    stepwise = linear.linear_score(
+        features.tfidf(documents, table), coefs, intercepts, documents, broadcast_bytes
     )
-    stepwise = linear.linear_score(features.tfidf(documents, table), coefs, intercepts, documents)
     for scored in (direct, stepwise):
         got = {r["row_id"]: r for r in scored.collect()}
         assert len(got) == len(rows)

@@ -58,6 +58,13 @@ def test_scored_requests_keep_position_and_form_responses(make, tmp_path, spark)
     assert got["1"]["meta"] == {"name": "m", "version": "3"}
 
 
+def test_unknown_labels_fail_the_whole_request(make):
+    rows = [("1", 0, "positive"), ("1", 1, "LABEL_0"), ("2", 0, "neutral"), ("3", 0, None)]
+    good, errors = requests.check_labels(make(rows, "request_id string, pos int, sentiment string"))
+    assert rows_of(good) == [("2", 0, "neutral")]
+    assert rows_of(errors, "request_id", "status") == [("1", 500), ("3", 500)]
+
+
 def write_json(path, lines):
     path.mkdir()
     for i, part in enumerate(lines):

@@ -33,12 +33,17 @@ def dashboard_filter(
 ) -> DataFrame:
     """Rows in a range of days, both ends included, and in the given lists.
 
-    The bounds compare ``date`` itself, so they reach the Parquet scan.
+    The bounds compare ``date`` itself, so they reach the Parquet scan. On the
+    stored table they bound its ``month`` too, which prunes partitions.
     """
     if start is not None:
         df = df.filter(F.col("date") >= F.lit(start).cast("timestamp"))
+        if "month" in df.columns:
+            df = df.filter(F.col("month") >= F.lit(start.replace(day=1)))
     if end is not None:
         df = df.filter(F.col("date") < F.lit(end + dt.timedelta(days=1)).cast("timestamp"))
+        if "month" in df.columns:
+            df = df.filter(F.col("month") <= F.lit(end))
     if sources is not None:
         df = df.filter(F.col("source").isin(list(sources)))
     if subjects is not None:

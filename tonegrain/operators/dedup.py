@@ -3,7 +3,7 @@
 Copies are grouped by a 32-byte digest of their key columns. One text may make up
 a large share of the table, so no group is ever gathered whole: the dedup keeps
 one row per key in every map task before the shuffle, the counts are partial
-aggregates, and the join that lists copies splits heavy keys by a salt.
+aggregates, and rows of heavy keys are listed without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tonegrain.functions.digest import row_digest
 from tonegrain.schema import DEDUP_KEYS
+from tonegrain.sources.staging import stage
 
-# Copies of one key are spread over this many join keys.
-SALTS = 64
+# Keys holding at least 1/HEAVY_SHARE of the repeated rows are heavy: there can be
+# no more than HEAVY_SHARE of them, 32 bytes each.
+HEAVY_SHARE = 100_000
 
 
 def dedup_keep_first(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS) -> DataFrame:
@@ -55,21 +57,21 @@ def dup_ratio(df: DataFrame, column: str = "text") -> DataFrame:
 def duplicate_rows(df: DataFrame, keys: Sequence[str], ordered: bool = True) -> DataFrame:
     """All rows whose key occurs more than once, sorted by it if ``ordered``.
 
-    Only keys that repeat take part in the join, and each is replicated once per
-    salt. The sort ends in ``row_id``, so its ranges can cut through a heavy key.
+    The repeated keys are counted and staged (an action). Rows of heavy keys are
+    picked by a broadcast of those keys and stay where they are; the others join
+    by shuffle, where no key is large. The sort ends in ``row_id``, so its ranges
+    can cut through a heavy key.
     """
     keyed = df.withColumn("_key", row_digest(*keys))
-    repeated = (
-        keyed.groupBy("_key")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    )
-    copies = (
-        keyed.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-        .join(repeated, ["_key", "_salt"], "left_semi")
-        .drop("_key", "_salt")
+    repeated = stage(
+        keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated"
     )
+    total = repeated.agg(F.sum("n").alias("total")).scalar()
+    is_heavy = F.col("n") * HEAVY_SHARE >= total
+    heavy, light = (repeated.filter(c).select("_key") for c in (is_heavy, ~is_heavy))
+    of_heavy = keyed.join(F.broadcast(heavy), "_key", "left_semi")
+    of_light = keyed.join(F.broadcast(heavy), "_key", "left_anti").join(light, "_key", "left_semi")
+    copies = of_heavy.unionByName(of_light).drop("_key")
     if not ordered:
         return copies
     return copies.orderBy(*[F.col(k).asc_nulls_last() for k in keys], "row_id")

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from tonegrain.functions.text import terms
 
-# A term table up to this many lines is broadcast; a longer one is joined by
-# shuffle, but for the terms heavy enough to skew it.
-BROADCAST_TERMS = 500_000
+# A term table up to this size is broadcast; a larger one is joined by shuffle,
+# but for the terms heavy enough to skew it.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Terms holding at least 1/HEAVY_SHARE of all term occurrences are heavy. There
-# can be no more than HEAVY_SHARE of them, so they always fit a broadcast.
+# What a broadcast line takes beside its term.
+_LINE_BYTES = 96
+
+# Terms holding at least 1/HEAVY_SHARE of all occurrences are heavy, so there can
+# be no more than HEAVY_SHARE of them, and they are short: they fit a broadcast.
 HEAVY_SHARE = 100_000
+_HEAVY_TERM_BYTES = 256
 
 
 def tokenize(df: DataFrame, column: str = "input_text") -> DataFrame:
@@ -83,20 +87,27 @@ def fit_vocabulary(
     )
 
 
+def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a staged term table is small enough to broadcast (an action)."""
+    size = F.sum(F.octet_length("term") + _LINE_BYTES)
+    return (table.agg(size.alias("size")).first()["size"] or 0) <= limit
+
+
 def lookup_terms(
-    counts: DataFrame, table: DataFrame, broadcast_terms: int = BROADCAST_TERMS
+    counts: DataFrame, table: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Inner join of (row_id, term, ...) with a term table holding ``df``.
+    """Inner join of (row_id, term, ...) with a staged term table holding ``df``.
 
-    ``table`` should be staged: its length is read to choose the join. Short
-    tables are broadcast and the ``row_id`` partitioning of ``counts`` stays.
-    Otherwise heavy terms are broadcast and the rest, each at most a tiny share of
-    all occurrences, meets the table by shuffle.
+    The size of the table decides. Small tables are broadcast and the ``row_id``
+    partitioning of ``counts`` stays. Otherwise heavy terms are broadcast and the
+    rest, each a tiny share of all occurrences, meets the table by shuffle.
     """
-    if table.count() <= broadcast_terms:
+    if fits_broadcast(table, broadcast_bytes):
         return counts.join(F.broadcast(table), "term")
     total = table.agg(F.sum("df").alias("total")).scalar()
-    is_heavy = F.col("df") * HEAVY_SHARE >= total
+    is_heavy = (F.col("df") * HEAVY_SHARE >= total) & (
+        F.octet_length("term") <= _HEAVY_TERM_BYTES
+    )
     heavy, light = table.filter(is_heavy), table.filter(~is_heavy)
     by_heavy = counts.join(F.broadcast(heavy), "term")
     rest = counts.join(F.broadcast(heavy.select("term")), "term", "left_anti")
@@ -108,7 +119,7 @@ def tfidf(
     vocab: DataFrame,
     ngram_max: int = 1,
     column: str = "input_text",
-    broadcast_terms: int = BROADCAST_TERMS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Long table ``(row_id, term, weight)``, each document of L2 norm 1.
 
@@ -116,7 +127,7 @@ def tfidf(
     comes staged from :func:`fit_vocabulary`.
     """
     counts = term_count(df, ngram_max, column)
-    hits = lookup_terms(counts, vocab.select("term", "df", "idf"), broadcast_terms)
+    hits = lookup_terms(counts, vocab.select("term", "df", "idf"), broadcast_bytes)
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id")))
     return hits.select("row_id", "term", raw.alias("raw")).select(

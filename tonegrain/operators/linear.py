@@ -7,8 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegrain.operators.features import BROADCAST_TERMS, lookup_terms, term_count
+from tonegrain.operators.features import (
+    BROADCAST_BYTES,
+    fits_broadcast,
+    lookup_terms,
+    term_count,
+)
 from tonegrain.schema import CLASSES
+from tonegrain.sources.staging import stage
 
 
 def wide_coefficients(coefs: DataFrame) -> DataFrame:
@@ -59,17 +65,22 @@ def _sums_to_scores(
 
 
 def linear_score(
-    features: DataFrame, coefs: DataFrame, intercepts: Mapping[str, float], ids: DataFrame
+    features: DataFrame,
+    coefs: DataFrame,
+    intercepts: Mapping[str, float],
+    ids: DataFrame,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Predicted class and class probabilities from a TF-IDF table.
 
-    ``coefs`` comes staged. ``ids`` holds the ``row_id`` of all documents, those
-    without features included.
+    ``ids`` holds the ``row_id`` of all documents, those without features
+    included. The coefficients are staged in wide form.
     """
-    wide = wide_coefficients(coefs)
-    if coefs.count() <= BROADCAST_TERMS:
-        wide = F.broadcast(wide)
-    weighted = features.join(wide, "term")
+    table = stage(wide_coefficients(coefs), "coefs")
+    if not fits_broadcast(table, broadcast_bytes):
+        occurrences = features.groupBy("term").agg(F.count("*").alias("df"))
+        table = stage(table.join(occurrences, "term"), "coefs")
+    weighted = lookup_terms(features, table, broadcast_bytes)
     sums = weighted.groupBy("row_id").agg(
         *[F.sum(F.col("weight") * F.col(f"w_{c}")).alias(f"_s_{c}") for c in CLASSES]
     )
@@ -82,13 +93,13 @@ def score_texts(
     intercepts: Mapping[str, float],
     ngram_max: int = 1,
     column: str = "input_text",
-    broadcast_terms: int = BROADCAST_TERMS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """:func:`linear_score` straight from the texts, norm and dot product in one pass.
 
     ``table`` is a staged :func:`scoring_table`.
     """
-    hits = lookup_terms(term_count(df, ngram_max, column), table, broadcast_terms)
+    hits = lookup_terms(term_count(df, ngram_max, column), table, broadcast_bytes)
     w = F.col("tf") * F.col("idf")
     sums = hits.groupBy("row_id").agg(
         F.sqrt(F.sum(w * w)).alias("_norm"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegrain.functions.text import strip
+from tonegrain.schema import CLASSES
 
 # What an unusable request is told.
 NO_TEXT_DETAIL = (
@@ -21,6 +22,8 @@ REQUEST_FAILED = "request_failed"
 STATUS_NO_TEXT = 400
 STATUS_INVALID = 422
 STATUS_NO_MODEL = 503
+INTERNAL_ERROR = "internal_error"
+STATUS_INTERNAL = 500
 
 
 def usable_texts() -> Column:
@@ -121,6 +124,22 @@ def responses(scored: DataFrame, model_uri: str, meta: DataFrame | None = None)
     return envelope
 
 
+def check_labels(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split scores by whether all labels of the request are known classes.
+
+    A model that answers with another label fails the request as a whole.
+    """
+    known = F.coalesce(F.col("sentiment").isin(*CLASSES), F.lit(False))
+    failed = scored.filter(~known).select("request_id").distinct()
+    errors = failed.select(
+        "request_id",
+        F.lit(INTERNAL_ERROR).alias("error"),
+        F.lit("the model answered with an unknown label").alias("detail"),
+        F.lit(STATUS_INTERNAL).alias("status"),
+    )
+    return scored.join(failed, "request_id", "left_anti"), errors
+
+
 def unavailable(df: DataFrame, reason: str) -> DataFrame:
     """Error records for a batch whose model could not be run."""
     items = valid_requests(df).filter(F.size(usable_texts()) > 0)

@@ -260,13 +260,15 @@ def clean_news(spark, sf_dir):
 
 @query
 def dashboard_filter(spark, sf_dir):
+    path = new_path(spark, "news-clean")
+    news_source.write_clean(_clean(spark, sf_dir), path)
     return analytics.dashboard_filter(
-        _clean(spark, sf_dir),
+        news_source.read_clean(spark, path),
         start=dt.date(2024, 2, 1),
         end=dt.date(2024, 9, 30),
         sources=[f"src{i}" for i in range(15)],
         subjects=["en", "fr", "de"],
-    )
+    ).drop("month")
 
 
 @query
@@ -728,7 +730,7 @@ def _alias_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 @query
 def promote_candidate(spark, sf_dir):
-    """Every user's best run, offered for a name of its own or the shared one."""
+    """The last version of each name, offered against the production version."""
     versions, aliases = _alias_tables(spark, sf_dir)
     last = versions.groupBy("name").agg(F.max("version").alias("version"))
     candidates = versions.join(last, ["name", "version"])

@@ -49,6 +49,21 @@ def news_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str) -> Da
     return spark.read.parquet(parquet_path)
 
 
+def write_clean(df: DataFrame, path: str) -> None:
+    """Store the cleaned table partitioned by the month of ``date``.
+
+    The rebalance collects a month into few files and splits a month that is far
+    larger than the others.
+    """
+    monthly = df.withColumn("month", F.trunc("date", "month"))
+    monthly.hint("rebalance", "month").write.partitionBy("month").parquet(path)
+
+
+def read_clean(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table; bounds on ``month`` prune its partitions."""
+    return spark.read.parquet(path)
+
+
 def na_normalise(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Null for every missing-value token in every string column."""
     return df.select(

@@ -30,8 +30,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared root."""
-    return f"{shared_root(spark)}/tonegrain/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared root.
+
+    Folders are grouped by application, to be cleared once it has ended.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_root(spark)}/tonegrain/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
