@@ -123,7 +123,7 @@ def stream_of(spark, path):
 def test_stream_cleaning_equals_batch(spark, tmp_path, news_files):
     out = str(tmp_path / "out")
     got = streams.run_to_table(streams.stream_clean(stream_of(spark, news_files)), f"{out}/t", f"{out}/c")
-    assert rows_of(got) == rows_of(clean.filter_news(spark.read.parquet(news_files)))
+    assert rows_of(got) == rows_of(clean.finish_news(clean.filter_news(spark.read.parquet(news_files))))
 
 
 def test_complete_stream_trend_equals_batch(spark, tmp_path, news_files):

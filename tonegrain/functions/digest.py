@@ -14,7 +14,7 @@ def row_digest(*columns: str) -> Column:
     """
     parts = [
         F.coalesce(
-            F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")
+            F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")
         )
         for c in columns
     ]

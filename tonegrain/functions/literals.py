@@ -24,10 +24,10 @@ CANONICAL = (
 _FIELDS = ("class", "polarity", "subjectivity")
 _RECORD = T.StructType([T.StructField(name, T.StringType()) for name in _FIELDS])
 
-_NUMERIC = (
-    r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?"
-    r"|(?i:inf|infinity))\s*$"
-)
+# Characters of a decimal number. The cast alone would also take suffixes as in
+# 1.0d, hexadecimal and NaN, which are no numbers here.
+_DECIMAL = r"^[-+.0-9eE\s]+$"
+_INFINITE = r"(?i)^\s*[-+]?(?:inf|infinity)\s*$"
 
 
 def _as_text(value: object) -> str | None:
@@ -52,7 +52,11 @@ def read_literal(source: str | None) -> dict[str, str | None]:
 # be pushed below the projection together with a second copy of the call.
 @F.pandas_udf(_RECORD)
 def _literal_fields(source: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_literal(s) for s in source], columns=list(_FIELDS))
+    fields = pd.DataFrame(None, index=source.index, columns=list(_FIELDS), dtype=object)
+    given = source[source.notna()]
+    if len(given):
+        fields.loc[given.index] = [list(read_literal(s).values()) for s in given]
+    return fields
 
 
 _literal_fields = _literal_fields.asNondeterministic()
@@ -65,18 +69,17 @@ def with_literal_fields(df: DataFrame, column: str) -> DataFrame:
     others only: for a plain row it is handed a null and returns at once.
     """
     source = F.col(column)
-    cut = F.split(F.regexp_replace(source, CANONICAL, "$1\x01$2\x01$3"), "\x01")
-    slow = _literal_fields(F.when(~F.col("_plain"), source))
-    steps = (
-        df.withColumn("_plain", source.rlike(CANONICAL))
-        .withColumn("_cut", F.when(F.col("_plain"), cut))
-        .withColumn("_slow", slow)
+    parts = F.split(F.regexp_replace(source, CANONICAL, "$1\x01$2\x01$3"), "\x01")
+    # The call takes _cut, which therefore is computed once, ahead of it.
+    steps = df.withColumn("_cut", F.when(source.rlike(CANONICAL), parts)).withColumn(
+        "_slow", _literal_fields(F.when(F.col("_cut").isNull(), source))
     )
 
     def field(i: int, name: str) -> Column:
         part = F.col("_cut")[i]
         fast = part if name == "class" else F.when(part != "None", part)
-        return F.when(F.col("_plain"), fast).otherwise(F.col(f"_slow.{name}")).alias(name)
+        slow = F.col(f"_slow.{name}")
+        return F.when(F.col("_cut").isNotNull(), fast).otherwise(slow).alias(name)
 
     return steps.select(*df.columns, *[field(i, name) for i, name in enumerate(_FIELDS)])
 
@@ -86,5 +89,5 @@ def to_number(text: Column) -> Column:
     return (
         F.when(text == "True", F.lit(1.0))
         .when(text == "False", F.lit(0.0))
-        .when(text.rlike(_NUMERIC), text.try_cast("double"))
+        .when(text.rlike(_DECIMAL) | text.rlike(_INFINITE), text.try_cast("double"))
     )

@@ -82,10 +82,14 @@ def parse_news(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
 
 
 def filter_news(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
-    """All cleaning but the dedup: stateless, so it runs on streams too."""
+    """Dates, labels and scores parsed, invalid rows dropped: stateless."""
     present = drop_missing_body(drop_missing_mandatory(coerce_date(df, date_format)))
-    labelled = valid_class(parse_sentiment(present))
-    return build_input_text(coerce_scores(labelled)).select(*NEWS_CLEAN_COLUMNS)
+    return coerce_scores(valid_class(parse_sentiment(present))).drop("sentiment")
+
+
+def finish_news(df: DataFrame) -> DataFrame:
+    """Adds ``input_text``; done last, so that each text is shuffled once only."""
+    return build_input_text(df).select(*NEWS_CLEAN_COLUMNS)
 
 
 def tag_rejects(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
@@ -100,7 +104,7 @@ def tag_rejects(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
 
 def clean_table(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
     """The cleaned table: one scan and one shuffle."""
-    return dedup_keep_first(filter_news(df, date_format))
+    return finish_news(dedup_keep_first(filter_news(df, date_format)))
 
 
 def rejected_rows(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:

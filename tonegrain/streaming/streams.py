@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tonegrain.functions.digest import row_digest
-from tonegrain.operators.clean import filter_news
+from tonegrain.operators.clean import filter_news, finish_news
 from tonegrain.operators.requests import clean_requests, score_requests, unavailable
 from tonegrain.schema import DATE_FORMAT, DEDUP_KEYS
 
@@ -53,7 +53,7 @@ def stream_score(
 
 def stream_clean(news: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
     """All cleaning but the dedup, with the column functions of the batch form."""
-    return filter_news(news, date_format)
+    return finish_news(filter_news(news, date_format))
 
 
 def stream_trend(clean: DataFrame, delay: str, grain: str = "1 day") -> DataFrame:
