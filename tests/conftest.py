@@ -20,7 +20,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.log.level": "ERROR",
-            "spark.driver.memory": "6g",
+            "spark.driver.memory": "3g",
         },
     )
     yield session

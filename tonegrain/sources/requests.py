@@ -11,7 +11,10 @@ _WITH_CORRUPT = T.StructType([*REQUEST.fields, T.StructField("_corrupt_record",
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; an unreadable line keeps its text in ``_corrupt_record``."""
+    """JSON lines; an unreadable line keeps its text in ``_corrupt_record``.
+
+    Spark reads a JSON number where a string belongs as its text.
+    """
     return spark.read.schema(_WITH_CORRUPT).json(path)
 
 
