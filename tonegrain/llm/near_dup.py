@@ -11,7 +11,8 @@ Texts of equal sets are one class first. Then, without forming all pairs of a bu
 
 1. every class is compared to the smallest class of each of its buckets;
 2. what is linked forms components; in a bucket that still holds several components, the
-   rows outside its largest component are compared to the rows of the other components.
+   rows outside its largest component are compared to the rows of the other components, in
+   blocks of rows that share a largest component; a task emits the links it finds, not the pairs.
 
 So every candidate pair is compared or known to be connected already. A comparison is
 skipped only if the set sizes rule a link out, or the signatures differ in more than
@@ -27,6 +28,7 @@ null id; other columns are ignored whatever their names are; an empty table give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,7 @@ SHINGLE = 5
 PERMUTATIONS, BANDS = 64, 32
 LINK_PERCENT = 75
 MOST_DIFFERENT = 46
+BLOCK = 256
 
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1))[:, None]
@@ -148,16 +151,96 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _texts(needed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(rep, text)`` for the classes in ``needed(rep)``."""
+    keys = needed.join(classes.select("rep", "k1", "k2"), "rep")
+    return _keyed(docs).join(keys, ["k1", "k2"]).select("rep", "text").dropDuplicates(["rep"])
+
+
+def _sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).tobytes() for t in texts])
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts link."""
-    pairs = stage(pairs, f"{name}-pairs")
+    pairs = stage(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    keys = needed.join(classes.select("rep", "k1", "k2"), "rep")
-    texts = stage(_keyed(docs).join(keys, ["k1", "k2"]).select("rep", "text").dropDuplicates(["rep"]), f"{name}-texts")
+    texts = stage(_texts(needed, classes, docs), "texts")
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return stage(both.mapInPandas(_confirm, "a long, b long"), f"{name}-links")
+    return stage(both.mapInPandas(_confirm, "a long, b long"), "links")
+
+
+def _in_blocks(rows: DataFrame, meet: callable, schema: str) -> DataFrame:
+    """Compare, for each ``main``, the rows of other components to all its rows, block by block.
+
+    A block holds about ``BLOCK`` rows; each pair of blocks is one group of its own, so a large
+    ``main`` is many groups of bounded size.
+    """
+    sizes = rows.groupBy("main").agg(
+        F.count("*").alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("outer")
+    ).select("main", F.ceil(F.col("all") / BLOCK).alias("wide"), F.ceil(F.col("outer") / BLOCK).alias("tall"))
+    dealt = rows.join(sizes, "main")
+    own = F.xxhash64("rep")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = dealt.filter("comp <> main").withColumns({"x": F.pmod(own, F.col("tall")), "left": F.lit(True)}).withColumn("y", every("wide"))
+    right = dealt.withColumns({"y": F.pmod(own, F.col("wide")), "left": F.lit(False)}).withColumn("x", every("tall"))
+    both = left.unionByName(right).drop("wide", "tall").repartition("main", "x", "y")
+    return both.sortWithinPartitions("main", "x", "y", "left", "rep").mapInPandas(partial(_blocks, meet=meet), schema)
+
+
+def _blocks(batches: Iterator[pd.DataFrame], meet: callable) -> Iterator[pd.DataFrame]:
+    """Call ``meet`` on each run of rows of one block pair; a run may span batches."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        keys = batch[["main", "x", "y"]].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        last = cuts[-1] if cuts.size else 0
+        yield meet(batch.iloc[:last], np.concatenate([[0], cuts]))
+        rest = batch.iloc[last:]
+    if rest is not None:
+        yield meet(rest, np.array([0, len(rest)]))
+
+
+def _meet(exact: bool) -> callable:
+    """Compare a block of rows to another: by size and signature, then, if ``exact``, by sets."""
+    even, one = np.uint64(0x5555555555555555), np.uint64(1)
+
+    def run(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        main, rep, comp, n, is_left = (rows[c].to_numpy() for c in ("main", "rep", "comp", "n", "left"))
+        sign = rows[list(SIGNS)].to_numpy().astype(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"]] if exact else []
+        out: list[tuple[int, int]] = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            right = np.flatnonzero(~is_left[lo:hi]) + lo
+            hit = np.zeros(right.size, bool)
+            for i in np.flatnonzero(is_left[lo:hi]) + lo:
+                ok = (comp[right] != comp[i]) & ((comp[right] == main[i]) | (rep[right] < rep[i]))
+                ok &= np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * LINK_PERCENT
+                x = sign[right] ^ sign[i]
+                ok &= np.bitwise_count((x | (x >> one)) & even).sum(axis=1) <= MOST_DIFFERENT
+                if not ok.any():
+                    continue
+                if not exact:
+                    hit |= ok
+                    out.append((main[i], rep[i]))
+                    continue
+                at, mine = right[ok], sets[i]
+                flat = np.concatenate([sets[k] for k in at])
+                found = mine[np.minimum(np.searchsorted(mine, flat), mine.size - 1)] == flat
+                both = np.add.reduceat(found.astype(np.int64), np.cumsum(n[at]) - n[at])
+                at = at[100 * both >= LINK_PERCENT * (n[at] + n[i] - both)]
+                # One link to each component is enough to join them.
+                out += [(rep[i], rep[k]) for k in at[np.unique(comp[at], return_index=True)[1]]]
+            out += [(main[k], rep[k]) for k in right[hit]]
+        return pd.DataFrame(out, columns=["a", "b"] if exact else ["main", "rep"], dtype="int64")
+
+    return run
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -192,7 +275,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     star = shared.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     star = star.join(named("a_", "a"), "a").join(named("b_", "b"), "b").filter(_similar("a_", "b_")).select("a", "b")
-    links = _verified(star, classes, docs, "star")
+    links = _verified(star, classes, docs)
     labels = components(links)
 
     # Buckets that hold several components still: rows outside the largest one meet the others.
@@ -205,15 +288,12 @@ def find(docs: DataFrame) -> DataFrame:
         held.groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
         .filter("comps > 1").select("bucket", "main")
     )
-    rest = stage(tagged.join(open_, "bucket").join(light, "rep"), "open-buckets")
-    one = rest.filter("comp <> main").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), *[F.col(c).alias("a_" + c) for c in ("n", *SIGNS)])
-    two = rest.select("bucket", "main", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias("b_" + c) for c in ("n", *SIGNS)])
-    across = one.join(two, "bucket").filter(
-        ((F.col("comp_b") == F.col("main")) | (F.col("comp_a") < F.col("comp_b")))
-        & (F.col("comp_a") != F.col("comp_b")) & _similar("a_", "b_")
-    )
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = _verified(across.join(star, ["a", "b"], "left_anti"), classes, docs, "across")
+    rest = tagged.join(open_, "bucket").groupBy("main", "rep", "comp").agg(F.lit(None).cast("binary").alias("set"))
+    rest = stage(rest.join(light, "rep"), "open-rows")
+    near = _in_blocks(rest, _meet(exact=False), "main long, rep long").distinct()
+    near = stage(rest.drop("set").join(near, ["main", "rep"]), "near-rows")
+    bags = _texts(near.select("rep").distinct(), classes, docs).withColumn("set", F.pandas_udf(_sets, "binary")("text")).select("rep", "set")
+    more = stage(_in_blocks(near.join(bags, "rep"), _meet(exact=True), "a long, b long"), "across-links")
     labels = components(links.union(more))
 
     comp = F.coalesce("component", "rep", "row")
