@@ -6,9 +6,12 @@ import os
 
 import duckdb
 import pytest
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import TABLES, normalise
 
+from tonegrain.plans.catalog import QUERIES
+from tonegrain.plans.oracle import ORACLE
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not there")
@@ -29,18 +32,18 @@ def con():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(ORACLE) <= set(QUERIES)
 
 
 def test_entry(spark):
     assert entry(spark).columns[0] == "row_id"
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, name):
-    got = normalise(queries()[name](spark, SF_DIR).toPandas())
-    want = normalise(con.sql(oracle_sql()[name]).df())
+    got = normalise(QUERIES[name](spark, SF_DIR).toPandas())
+    want = normalise(con.sql(ORACLE[name]).df())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
     assert got.equals(want)
@@ -48,4 +51,4 @@ def test_query_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_query_without_sql_runs(spark, name):
-    assert queries()[name](spark, SF_DIR).count() > 0
+    assert QUERIES[name](spark, SF_DIR).count() > 0
