@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrain.llm import mixing, near_dup, packing, quality, toxicity
+from tonegrain.llm import embed_dup, licenses, lm_score, mixing, near_dup, packing, pii, quality, toxicity, warc
 from tonegrain.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.concat("spans", "more")).alias("spans"),
+    )
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 10) == 0
+    return lm_score.score(table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select(
@@ -36,6 +60,12 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def op8_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dup.find(table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("first"))
+    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"), "audit_recall")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.apply(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -54,10 +84,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
+    "op3_lm_score": op3_lm_score,
+    "op4_licenses": op4_licenses,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_near_dup": op7_near_dup,
+    "op8_embed_dup": op8_embed_dup,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY x, payload_bytes) AS response FROM d)
+        SELECT page_id, payload_bytes,
+          array_to_string(list_transform(range(32), i -> substr('{warc.BASE32}', 1 + CAST(
+            (CAST(concat('0x', substr(x, 1 + 10 * CAST(i // 8 AS INT), 10)) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '')
+            AS payload_digest,
+          CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> response THEN response END AS refers_to, true AS verified
+        FROM r""",
+    "op8_embed_dup": f"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+            sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
+          FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {embed_dup.LINK}),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+        SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept,
+          CAST(1.0 AS DOUBLE) AS audit_recall
+        FROM c LEFT JOIN n ON c.vec_id = n.vec_id""",
+}
