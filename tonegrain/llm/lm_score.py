@@ -115,7 +115,7 @@ def _train(docs: DataFrame, known: pd.DataFrame, unknown: int) -> tuple[recurren
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((params, starts, end, index))
 
-        def learn(group: pd.DataFrame, turn: int = turn) -> pd.DataFrame:
+        def learn(group: pd.DataFrame) -> pd.DataFrame:
             params, starts, end, index = shared.value
             other = len(index)
             group = group.sort_values(["order", "doc_id"])

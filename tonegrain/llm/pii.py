@@ -199,7 +199,7 @@ def discovered(found: DataFrame) -> DataFrame:
     )
     hit = open_.join(patterns, "pattern").join(names.select("name", F.col("kind").alias("kind")), ["name", "kind"])
     best = hit.groupBy("row", "k1", "k2", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    return best.groupBy("row", "k1", "k2").agg(F.collect_list(F.struct(F.col("kind").cast("int"), "start", "end")).alias("more"))
+    return best.groupBy("row", "k1", "k2").agg(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end")).alias("more"))
 
 
 def find(docs: DataFrame) -> DataFrame:
