@@ -7,7 +7,7 @@ says about "another word" is multiplied by that word's smoothed share among the
 text has a probability. Class and word biases come from the counts of all
 training rows; the other weights are learnt by truncated backpropagation, in ``SHARDS`` tasks at a
 time whose weights are averaged after each of ``ROUNDS`` rounds, on at most
-``MAX_TOKENS`` tokens per task: the training rows of smallest id hash. Texts are scored whole,
+``MAX_TOKENS`` tokens per task, of about ``SAMPLE_ROWS`` training rows chosen by a hash. Texts are scored whole,
 the state carried from window to window.
 
 Counts of the words that ``KNOWN`` allows are broadcast (a bound on their number); counts of rarer
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegrain.llm import recurrent
-from tonegrain.llm.common import blob, stage
+from tonegrain.llm.common import blob, sampled, stage
 
 KNOWN = 200_000
 WORDS = 4_000
@@ -105,10 +105,10 @@ def _train(docs: DataFrame, known: pd.DataFrame, unknown: int) -> tuple[recurren
     starts = recurrent.class_starts(counts)
     end = int(np.flatnonzero((top["word"] == b"").to_numpy())[0])
     params = recurrent.initial(counts, starts)
-    spark = docs.sparkSession
+    spark, texts = docs.sparkSession, int(top["c"].iloc[end])  # a text closes with one end token
     sample = (
         docs.select("doc_id", F.xxhash64(F.lit(13), F.col("doc_id").cast("long"), "text").alias("order"), blob("text").alias("text"))
-        .filter(F.length("text") > 0).orderBy("order", "doc_id").limit(SAMPLE_ROWS)
+        .filter(sampled(F.col("order"), SAMPLE_ROWS, texts))
     )
     sample = stage(sample.withColumn("shard", F.pmod("order", F.lit(SHARDS))), "lm-sample")
     index = {w: i for i, w in enumerate(top["word"])}

@@ -310,3 +310,17 @@ def find(docs: DataFrame) -> DataFrame:
     return named_ids.join(winners, "comp").select(
         "doc_id", "k1", "k2", "row", "n_shingles", "component_id", (F.col("row") == F.col("winner")).alias("first")
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, all columns; rows without words all stay."""
+    first = find(docs.filter(_has_words())).filter("first").select(F.col("k1").alias("_nd_k1"), F.col("k2").alias("_nd_k2"))
+    name, text = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), blob("text")
+    keyed = docs.filter(_has_words()).withColumns({"_nd_k1": F.xxhash64(name, text), "_nd_k2": F.xxhash64(text, F.lit(5))})
+    # Repeated rows share both hashes; one of them stays.
+    kept = keyed.join(first.distinct(), ["_nd_k1", "_nd_k2"]).dropDuplicates(["_nd_k1", "_nd_k2"])
+    return kept.select(*docs.columns).union(docs.filter(~_has_words()).select(*docs.columns))
+
+
+def _has_words() -> Column:
+    return F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))

@@ -72,7 +72,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    planned, _ = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select(
         "doc_id",
         F.col("_mix_size").alias("size"),
@@ -82,6 +82,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it imports this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_embed_dup": op8_embed_dup,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 
 ORACLE = {

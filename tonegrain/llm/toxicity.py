@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegrain.llm.common import ALNUM, blob, ngram_hashes, word_hashes
+from tonegrain.llm.common import ALNUM, blob, ngram_hashes, sampled, word_hashes
 
 BITS = 22
 MAX_ROWS = 16_000
@@ -92,16 +92,17 @@ def _learn(group: pd.DataFrame) -> pd.DataFrame:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Column, max_rows: int) -> DataFrame:
     """At most ``max_rows`` usable label rows, those of smallest id hash, with their texts."""
-    order = F.xxhash64("_id")
-    chosen = (
+    own = (
         labels.filter(F.col(target).isNotNull())
         .select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("_label"))
         .filter(F.col("_id").isNotNull() & usable)
         .groupBy("_id").agg(F.max("_label").alias("_label"))
-        .withColumn("_order", order)
-        .orderBy("_order", "_id")
-        .limit(max_rows)
+        .withColumn("_order", F.xxhash64("_id"))
     )
+    # A share of the hashes first, so that the exact cut sees few rows.
+    few = sampled(F.col("_order"), max_rows + max_rows // 10, own.count())
+    order = F.pmod("_order", F.lit(1 << 40))
+    chosen = own.filter(few).orderBy(order, "_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").alias("_id"), blob("text").alias("_text"))
     return texts.join(F.broadcast(chosen), "_id")  # bounded by max_rows
 
