@@ -76,7 +76,7 @@ def _nearest(count: int) -> callable:
         if rows.empty or centres.empty:
             return pd.DataFrame({c: [] for c in names})
         centres = centres.sort_values("part")
-        cos = _unit(rows["embedding"]) @ _unit(centres["embedding"]).T
+        cos = _unit(rows["embedding"]) @ _unit(centres["centre"]).T
         k = min(count, len(centres))
         best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({
@@ -108,10 +108,13 @@ def shards_of(classes: DataFrame) -> DataFrame:
         vectors = classes.select("rep", "embedding")
         slices = F.ceil(F.col("size") / 4096)
         rows = large.withColumn("slice", F.pmod(F.xxhash64("rep"), slices)).join(vectors, "rep")
-        centres = picked.join(vectors, "rep").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+        centres = picked.join(vectors, "rep").select(
+            F.col("cluster").alias("near"), "part", F.col("embedding").alias("centre"),
+            F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("at"),
+        )
         moved = (
             rows.select("cluster", "slice", "rep", "home", "embedding").groupBy("cluster", "slice")
-            .cogroup(centres.select("cluster", "slice", "part", "embedding").groupBy("cluster", "slice"))
+            .cogroup(centres.groupBy("near", "at"))
             .applyInPandas(_nearest(OVERLAP), "cluster long, rep long, part long, home boolean")
         )
         # A class may come to a part by two ways; it keeps its home there.
