@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegrain.llm.common import stage
+from tonegrain.llm.common import packed, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,11 +13,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of taking the smallest label among the neighbours and then the label's own
     label, so that long chains close in few rounds. Labels are written to the shared folder
-    each round; nothing but the question whether any label changed reaches the driver.
+    each round; only the number of edges and whether any label changed reach the driver.
+    ``edges`` is read twice, so it should be a written table.
     """
+    rows = 2 * edges.count()
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    both = stage(both, "edges")
-    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    both = stage(packed(both, rows), "edges")
+    first = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
+    labels = stage(packed(first, rows), "labels")
     while True:
         near = (
             both.join(labels, both["b"] == labels["node"])
@@ -31,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = hooked.join(up, "label", "left").select(
             "node", "old", F.least("label", "up").alias("label")
         )
-        done = stage(jumped, "labels")
+        done = stage(packed(jumped, rows), "labels")
         labels = done.select("node", "label")
         if done.filter("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegrain.llm.common import blob, mix64, ngram_hashes, stage, word_hashes
+from tonegrain.llm.common import blob, mix64, ngram_hashes, packed, stage, word_hashes
 from tonegrain.llm.graph import components
 
 SHINGLE = 5
@@ -256,14 +256,13 @@ def find(docs: DataFrame) -> DataFrame:
     component, one with that id.
     """
     rows = sketches(docs)
+    total = rows.count()
     filled = rows.filter("n_shingles > 0")
     sets = filled.groupBy("digest").agg(F.min("row").alias("rep"))
-    classes = stage(
-        sets.join(filled, F.col("rep") == F.col("row")).select(
-            "rep", "k1", "k2", F.col("n_shingles").alias("n"), "bands", *SIGNS
-        ),
-        "classes",
+    classes = sets.join(filled, F.col("rep") == F.col("row")).select(
+        "rep", "k1", "k2", F.col("n_shingles").alias("n"), "bands", *SIGNS
     )
+    classes = stage(packed(classes, total, 50_000), "classes")
     light = classes.select("rep", "n", *SIGNS)
 
     def named(prefix: str, key: str) -> DataFrame:
@@ -271,11 +270,12 @@ def find(docs: DataFrame) -> DataFrame:
 
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("size")).filter("size > 1")
-    shared = stage(members.join(buckets.select("bucket", "center"), "bucket"), "buckets")
+    shared = members.join(buckets.select("bucket", "center"), "bucket")
+    shared = stage(packed(shared, total, 30_000), "buckets")
 
     star = shared.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     star = star.join(named("a_", "a"), "a").join(named("b_", "b"), "b").filter(_similar("a_", "b_")).select("a", "b")
-    links = _verified(star, classes, docs)
+    links = _verified(packed(star, total, 100_000), classes, docs)
     labels = components(links)
 
     # Buckets that hold several components still: rows outside the largest one meet the others.
@@ -289,20 +289,20 @@ def find(docs: DataFrame) -> DataFrame:
         .filter("comps > 1").select("bucket", "main")
     )
     rest = tagged.join(open_, "bucket").groupBy("main", "rep", "comp").agg(F.lit(None).cast("binary").alias("set"))
-    rest = stage(rest.join(light, "rep"), "open-rows")
+    rest = stage(packed(rest.join(light, "rep"), total), "open-rows")
     near = _in_blocks(rest, _meet(exact=False), "main long, rep long").distinct()
-    near = stage(rest.drop("set").join(near, ["main", "rep"]), "near-rows")
+    near = stage(packed(rest.drop("set").join(near, ["main", "rep"]), total, 50_000), "near-rows")
     bags = _texts(near.select("rep").distinct(), classes, docs).withColumn("set", F.pandas_udf(_sets, "binary")("text")).select("rep", "set")
     more = stage(_in_blocks(near.join(bags, "rep"), _meet(exact=True), "a long, b long"), "across-links")
     labels = components(links.union(more))
 
     comp = F.coalesce("component", "rep", "row")
-    placed = stage(
+    placed = (
         rows.select("doc_id", "k1", "k2", "row", "n_shingles", "digest")
         .join(sets, "digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", "k1", "k2", "row", "n_shingles", comp.alias("comp")),
-        "placed",
+        .select("doc_id", "k1", "k2", "row", "n_shingles", comp.alias("comp"))
     )
+    placed = stage(packed(placed, total, 100_000), "placed")
     # The smallest id, then the smallest row that has it.
     ids = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named_ids = placed.join(ids, "comp")
