@@ -16,10 +16,10 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not there")
 
-# Model fits and streams: no SQL form, or one that rests on a fit.
+# Model fits: no SQL form, or one that rests on a fit.
 WITHOUT_SQL = {
     "train_logreg", "grid_search", "predict", "predict_proba", "evaluate_model",
-    "model_save", "model_load", "train_and_promote", "stream_dedup",
+    "model_save", "model_load", "train_and_promote",
 }
 
 

@@ -65,6 +65,10 @@ LITERALS = [
     '{"class": "neutral", "polarity": 1, "subjectivity": 0}',
     "{'subjectivity': 0.1, 'polarity': 0.2, 'class': 'neutral'}",
     label() + "\n",
+    label() + "\u2028",
+    label() + "\u0085",
+    label(polarity="'True'"),
+    label(polarity="'0.2\\n'"),
     "\x01positive\x010.1\x010.2",
     "junk",
     "",
@@ -82,7 +86,7 @@ def expected(source):
         record = {}
     record = record if isinstance(record, dict) else {}
     return tuple(
-        None if record.get(k) is None else str(record.get(k))
+        None if (v := record.get(k)) is None else str(float(v) if isinstance(v, bool) else v)
         for k in ("class", "polarity", "subjectivity")
     )
 
@@ -129,7 +133,7 @@ def test_scores_coerce_to_double(make):
     texts = ["0.5", "True", "False", "None", "abc", "1_0", "1.0d", " 2 ", "-1e3", ".5", "5.", None]
     df = make([(i, t, t) for i, t in enumerate(texts)], "row_id bigint, polarity string, subjectivity string")
     got = {r[0]: r[1] for r in rows_of(clean.coerce_scores(df))}
-    want = [0.5, 1.0, 0.0, None, None, None, None, 2.0, -1000.0, 0.5, 5.0, None]
+    want = [0.5, None, None, None, None, None, None, 2.0, -1000.0, 0.5, 5.0, None]
     assert [got[i] for i in range(len(texts))] == want
 
 

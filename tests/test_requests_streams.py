@@ -5,6 +5,7 @@ import json
 
 import pytest
 from conftest import rows_of
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tonegrain.operators import analytics, clean, dedup, requests
@@ -54,10 +55,39 @@ def test_scored_requests_keep_position_and_form_responses(make, tmp_path, spark)
     assert [p["pos"] for p in got["8"]["predictions"]] == list(range(12))
     assert got["1"]["predictions"][0]["sentiment"] == "positive"
     assert got["1"]["model_uri"] == "models:/m@production"
-    assert got["1"]["latency_ms"] == 7
+    assert got["1"]["latency_ms"] == 8
     assert got["1"]["meta"] == {"name": "m", "version": "3"}
 
 
+def test_requests_of_one_id_stay_apart_and_none_is_rejected(make):
+    rows = [("1", None, ["up", "up"]), ("1", "down", None), (None, "up", None)]
+    scored = requests.score_requests(make(rows, REQUEST), word_scorer)
+    with_map = scored.withColumn("probabilities", F.create_map(F.lit("positive"), F.lit(1.0)))
+    got = sorted([p["sentiment"] for p in r["predictions"]] for r in requests.responses(with_map, "m").collect())
+    assert got == [["neutral"], ["positive", "positive"]]
+    assert rows_of(requests.request_validate(make(rows, REQUEST)), "request_id", "status") == [(None, 422)]
+
+
+def broken_storage(texts):
+    raise OSError("disk full")
+
+
+def odd_labels(texts):
+    return texts.select("row_id", F.when(F.col("input_text") == "a", "LABEL_9").otherwise("neutral").alias("sentiment"))
+
+
+def test_stream_answers_500_for_unknown_labels_and_fails_when_storage_does(spark, tmp_path, request_files):
+    out = str(tmp_path / "out")
+    stream = request_source.stream_requests(spark, request_files)
+    streams.stream_score(stream, odd_labels, out, f"{out}/checkpoint").awaitTermination()
+    status = dict(rows_of(spark.read.parquet(f"{out}/rejects").na.drop(), "request_id", "status"))
+    assert status["2"] == 500 and "1" not in status
+    assert {r[0] for r in rows_of(spark.read.parquet(f"{out}/scores"), "request_id")} == {"1", "6"}
+    query = streams.stream_score(request_source.stream_requests(spark, request_files), broken_storage, f"{out}2", f"{out}2/checkpoint")
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination()
+
+
 def test_unknown_labels_fail_the_whole_request(make):
     rows = [("1", 0, "positive"), ("1", 1, "LABEL_0"), ("2", 0, "neutral"), ("3", 0, None)]
     good, errors = requests.check_labels(make(rows, "request_id string, pos int, sentiment string"))
@@ -153,3 +183,19 @@ def test_stream_dedup_keeps_one_of_each_key(spark, tmp_path, news_files):
     got = streams.run_to_table(streams.stream_dedup(cleaned, "90 days"), f"{out}/t", f"{out}/c")
     batch = dedup.dedup_keep_first(clean.filter_news(spark.read.parquet(news_files)))
     assert rows_of(got, "title", "text", "class") == rows_of(batch, "title", "text", "class")
+
+
+def test_stream_dedup_lets_a_key_in_again_after_its_bound(spark, tmp_path):
+    label = "{'class': 'positive', 'polarity': 0.5, 'subjectivity': 0.5}"
+    path = str(tmp_path / "news")
+    keys = [f"k{i}" for i in range(12)]
+    # Days 0, 8 and 16 of every key, by a bound of 10 days; other rows move the watermark on.
+    for n, day in enumerate((1, 9, 22, 23, 17)):
+        names = ["filler"] if day > 20 else keys
+        part = [(100 * n + i, f"2024-01-{day:02d} 00:00:00", label, "s", "b", k, k) for i, k in enumerate(names)]
+        spark.createDataFrame(part, NEWS_RAW).coalesce(1).write.mode("append").parquet(path)
+    out = str(tmp_path / "out")
+    unique = streams.stream_dedup(streams.stream_clean(stream_of(spark, path)), "10 days")
+    got = rows_of(streams.run_to_table(unique, f"{out}/t", f"{out}/c"), "title", "date")
+    for k in keys:
+        assert [d.day for t, d in got if t == k] == [1, 17]

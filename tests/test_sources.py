@@ -4,6 +4,7 @@ import pytest
 from conftest import rows_of
 from pyspark.errors import AnalysisException
 
+from tonegrain.operators.clean import clean_table
 from tonegrain.schema import NA_TOKENS, NEWS_RAW
 from tonegrain.sources import news, requests, staging
 
@@ -35,6 +36,29 @@ def test_csv_round_trip_keeps_quotes_lines_and_spaces(spark, make, tmp_path):
     assert rows_of(again) == got
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    head = "source,url,text,date,sentiment,title,subject\n"
+    (tmp_path / "news.csv").write_text(
+        head + "src,u,\"a body,\nof two lines\",2021-11-05 04:42:00,"
+        "\"{'class': 'positive', 'polarity': 0.5, 'subjectivity': 0.1}\",A title,btc\n"
+        "src,u,body,2021-11-05 05:42:00,\"{'class': 'neutral', 'polarity': 0, 'subjectivity': 0}\",,btc\n"
+        "too,few\n"
+    )
+    raw = news.read_news(spark, str(tmp_path))
+    assert raw.columns == NEWS_RAW.names
+    got = rows_of(clean_table(raw), "source", "title", "text", "class", "polarity")
+    assert got == [("src", "A title", "a body,\nof two lines", "positive", 0.5), ("src", None, "body", "neutral", 0.0)]
+    assert raw.select("row_id").distinct().count() == 3
+    broken = news.read_news(spark, str(tmp_path), keep_corrupt=True).filter("_corrupt_record is not null")
+    assert rows_of(broken, "source", "_corrupt_record") == [("too", "too,few")]
+
+
+def test_csv_without_a_needed_column_is_an_error(spark, tmp_path):
+    (tmp_path / "news.csv").write_text("date,sentiment,source,subject,title\n")
+    with pytest.raises(ValueError, match="text"):
+        news.read_news(spark, str(tmp_path))
+
+
 def test_load_stats_counts_rows_and_columns(make):
     df = make([(1, "a"), (2, "b")], "row_id bigint, text string")
     assert rows_of(news.load_stats(df)) == [(2, 2)]

@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _NUMBER = r"[-+]?(?:0|[1-9][0-9]{0,17})(?:\.[0-9]{1,40})?|None"
 CANONICAL = (
     r"^\{'class': '([^'\\\x00-\x1f]*)', "
-    rf"'polarity': ({_NUMBER}), 'subjectivity': ({_NUMBER})\}}$"
+    rf"'polarity': ({_NUMBER}), 'subjectivity': ({_NUMBER})\}}\z"
 )
 
 _FIELDS = ("class", "polarity", "subjectivity")
@@ -31,6 +31,9 @@ _INFINITE = r"(?i)^\s*[-+]?(?:inf|infinity)\s*$"
 
 
 def _as_text(value: object) -> str | None:
+    """Numbers as numbers: a truth value is 1.0 or 0.0, which the string 'True' is not."""
+    if isinstance(value, bool):
+        return str(float(value))
     return None if value is None else str(value)
 
 
@@ -85,9 +88,5 @@ def with_literal_fields(df: DataFrame, column: str) -> DataFrame:
 
 
 def to_number(text: Column) -> Column:
-    """String to double, null if it is none; True and False count as 1 and 0."""
-    return (
-        F.when(text == "True", F.lit(1.0))
-        .when(text == "False", F.lit(0.0))
-        .when(text.rlike(_DECIMAL) | text.rlike(_INFINITE), text.try_cast("double"))
-    )
+    """String to double, null if it is none."""
+    return F.when(text.rlike(_DECIMAL) | text.rlike(_INFINITE), text.try_cast("double"))

@@ -110,14 +110,14 @@ def latest(df: DataFrame, by: str, value: str, n: int = 10) -> DataFrame:
 def latest_per_group(df: DataFrame, by: str, n: int = 10) -> DataFrame:
     """Newest rows of every source or subject.
 
-    Two rankings: each group first in slices, where Spark keeps n rows per map
-    task and slice, then over the at most ``SALTS * n`` finalists of the group.
+    Two rankings: each group first in slices of map tasks, where Spark keeps n rows
+    per task, then over the at most ``SALTS * n`` finalists of the group.
     """
     newest = [F.col("date").desc(), F.col("row_id")]
     sliced = Window.partitionBy(by, "_salt").orderBy(*newest)
     whole = Window.partitionBy(by).orderBy(*newest)
     finalists = (
-        df.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
+        df.withColumn("_salt", F.spark_partition_id() % SALTS)
         .withColumn("_rank", F.row_number().over(sliced))
         .filter(F.col("_rank") <= n)
         .drop("_salt", "_rank")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tonegrain.functions.text import terms_sql
 from tonegrain.operators.features import fit_vocabulary
 from tonegrain.operators.metrics import macro_f1
-from tonegrain.operators.split import stratified_kfold
+from tonegrain.operators.split import check_fold_sizes, stratified_kfold
 from tonegrain.schema import CLASSES
 from tonegrain.sources.staging import stage
 
@@ -169,9 +169,11 @@ def cross_validate(
     """Macro F1 of every candidate on every fold (an action).
 
     The vocabulary is fitted anew on the training part of each fold. Candidates
-    that differ in ``max_iter`` only share their staged vectors. ``parallelism``
+    that differ in ``max_iter`` only share their staged vectors, and the fit if it
+    converges within the smaller limit. Small classes raise a warning. ``parallelism``
     fits run side by side, each a distributed job.
     """
+    check_fold_sizes(df, "class", k)
     folded = stage(
         stratified_kfold(df.select("row_id", "input_text", "class"), "class", "row_id", k, seed),
         "folds",
@@ -188,11 +190,14 @@ def cross_validate(
             stage(features.transform(part).select("class", "features"), "vectors")
             for part in (train, held)
         )
-        scores = []
-        for i in settings[setting]:
-            model = train_logreg(train_vectors, grid[i]["max_iter"])
-            score = macro_f1(model.transform(held_vectors)).first()["macro_f1"]
-            scores.append((i, fold, float(score)))
+        scores, score, done = [], None, False
+        for i in sorted(settings[setting], key=lambda i: grid[i]["max_iter"]):
+            # A fit that has converged is the fit of any larger limit as well.
+            if not done:
+                model = train_logreg(train_vectors, grid[i]["max_iter"])
+                done = model.stages[0].summary.totalIterations < grid[i]["max_iter"]
+                score = float(macro_f1(model.transform(held_vectors)).first()["macro_f1"])
+            scores.append((i, fold, score))
         return scores
 
     jobs = list(itertools.product(settings, range(k)))

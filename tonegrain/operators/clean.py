@@ -122,7 +122,7 @@ def rejected_rows(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
 def clean_news(
     df: DataFrame, date_format: str = DATE_FORMAT
 ) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table and the quarantined rows, both lazy."""
+    """The cleaned table and the quarantined rows."""
     return clean_table(df, date_format), rejected_rows(df, date_format)
 
 

@@ -38,9 +38,35 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS) -> DataFra
 
 
 def removed_rows(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS) -> DataFrame:
-    """Rows :func:`dedup_keep_first` drops, joined by the unique ``row_id``."""
-    kept = dedup_keep_first(df.select("row_id", "date", *keys), keys).select("row_id")
-    return df.join(kept, "row_id", "left_anti")
+    """Rows :func:`dedup_keep_first` drops.
+
+    Keys that occur again, each with the row that stays, are found by partial
+    aggregation of digests and staged (an action); only their rows are then picked.
+    """
+    keyed = df.withColumn("_key", row_digest(*keys))
+    first = F.struct(F.col("date").isNull().alias("undated"), "date", "row_id")
+    repeated = stage(
+        keyed.groupBy("_key").agg(F.count("*").alias("n"), F.min(first)["row_id"].alias("_first")).filter("n > 1"),
+        "repeated",
+    )
+    return _rows_with(keyed, repeated, "_first").filter(F.col("row_id") != F.col("_first")).drop("_first")
+
+
+def _rows_with(keyed: DataFrame, repeated: DataFrame, *more: str) -> DataFrame:
+    """Rows whose ``_key`` is in ``repeated``, with its columns ``more``.
+
+    A table of few keys is broadcast after its size is checked. Else rows of heavy keys
+    are picked by a broadcast and stay where they are; the others join by shuffle, where
+    no key is large.
+    """
+    if repeated.count() <= HEAVY_SHARE:
+        return keyed.join(F.broadcast(repeated.select("_key", *more)), "_key").drop("_key")
+    total = repeated.agg(F.sum("n").alias("total")).scalar()
+    is_heavy = F.col("n") * HEAVY_SHARE >= total
+    heavy, light = (repeated.filter(c).select("_key", *more) for c in (is_heavy, ~is_heavy))
+    of_heavy = keyed.join(F.broadcast(heavy), "_key")
+    of_light = keyed.join(F.broadcast(heavy.select("_key")), "_key", "left_anti").join(light, "_key")
+    return of_heavy.unionByName(of_light).drop("_key")
 
 
 def dup_ratio(df: DataFrame, column: str = "text") -> DataFrame:
@@ -66,12 +92,7 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], ordered: bool = True) ->
     repeated = stage(
         keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated"
     )
-    total = repeated.agg(F.sum("n").alias("total")).scalar()
-    is_heavy = F.col("n") * HEAVY_SHARE >= total
-    heavy, light = (repeated.filter(c).select("_key") for c in (is_heavy, ~is_heavy))
-    of_heavy = keyed.join(F.broadcast(heavy), "_key", "left_semi")
-    of_light = keyed.join(F.broadcast(heavy), "_key", "left_anti").join(light, "_key", "left_semi")
-    copies = of_heavy.unionByName(of_light).drop("_key")
+    copies = _rows_with(keyed, repeated)
     if not ordered:
         return copies
     return copies.orderBy(*[F.col(k).asc_nulls_last() for k in keys], "row_id")

@@ -72,12 +72,13 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
 def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum.
 
-    ``value`` is an integer column. It is reduced to a histogram first, with
-    partial counts ahead of the shuffle, so a heavy group arrives as one line per
-    distinct value and exact percentiles need no sketch.
+    ``value`` is taken in whole numbers (latencies in milliseconds). It is reduced
+    to a histogram first, with partial counts ahead of the shuffle, so a heavy group
+    arrives as one line per distinct value and exact percentiles need no sketch.
     """
+    whole = df.withColumn(value, F.round(value).cast("bigint"))
     histogram = (
-        df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
+        whole.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
         .groupBy(group, value)
         .agg(F.count("*").alias("n"))
     )
@@ -112,32 +113,6 @@ def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def describe_by_approx(
-    df: DataFrame, group: str, value: str, accuracy: int = 10_000
-) -> DataFrame:
-    """As :func:`describe_by` in one aggregate, with approximate quartiles."""
-    quartiles = F.percentile_approx(
-        value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(accuracy)
-    )
-    summary = (
-        df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
-        .groupBy(group)
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).cast("bigint").alias("min"),
-            quartiles.alias("_q"),
-            F.max(value).cast("bigint").alias("max"),
-        )
-    )
-    return summary.select(
-        group, "n_rows", "mean", "std", "min",
-        F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"),
-        "max",
-    )
-
-
 def text_len_by_class(df: DataFrame) -> DataFrame:
     """Distribution of the text length in code points, by class."""
     lengths = df.select("class", F.length("text").alias("text_len"))

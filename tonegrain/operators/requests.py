@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegrain.functions.text import strip
 from tonegrain.schema import CLASSES
+from tonegrain.sources.staging import stage
 
 # What an unusable request is told.
 NO_TEXT_DETAIL = (
@@ -36,31 +38,36 @@ def usable_texts() -> Column:
     )
 
 
+def _fault() -> Column:
+    """What makes a request unusable as a whole; null if nothing does."""
+    return F.when(F.length("input_text") == 0, "input_text must have at least 1 character").when(
+        F.col("request_id").isNull(), "request_id is missing"
+    )
+
+
+def _with_fault(df: DataFrame) -> DataFrame:
+    fault = _fault()
+    if "_corrupt_record" in df.columns:
+        fault = F.when(F.col("_corrupt_record").isNotNull(), "body is not valid JSON").otherwise(fault)
+    return df.withColumn("_fault", fault)
+
+
 def request_validate(df: DataFrame) -> DataFrame:
-    """Requests of the wrong shape: an ``input_text`` that is there but empty.
+    """Requests of the wrong shape: an empty ``input_text``, or no ``request_id``.
 
     With a ``_corrupt_record`` column, unreadable JSON lines are listed as well.
     """
-    bad = F.length("input_text") == 0
-    detail = F.when(bad, "input_text must have at least 1 character")
-    if "_corrupt_record" in df.columns:
-        broken = F.col("_corrupt_record").isNotNull()
-        bad = F.coalesce(bad, F.lit(False)) | broken
-        detail = F.when(broken, "body is not valid JSON").otherwise(detail)
-    return df.filter(bad).select(
+    return _with_fault(df).filter("_fault is not null").select(
         "request_id",
         F.lit(REQUEST_FAILED).alias("error"),
-        detail.alias("detail"),
+        F.col("_fault").alias("detail"),
         F.lit(STATUS_INVALID).alias("status"),
     )
 
 
 def valid_requests(df: DataFrame) -> DataFrame:
     """Requests :func:`request_validate` does not list."""
-    keep = F.coalesce(F.length("input_text") > 0, F.lit(True))
-    if "_corrupt_record" in df.columns:
-        keep = keep & F.col("_corrupt_record").isNull()
-    return df.filter(keep)
+    return _with_fault(df).filter("_fault is null").drop("_fault")
 
 
 def request_clean(df: DataFrame) -> DataFrame:
@@ -84,22 +91,31 @@ def clean_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return request_clean(valid), request_validate(df).unionByName(request_reject(valid))
 
 
+class ModelError(Exception):
+    """Raised by a scorer whose model cannot be loaded or run."""
+
+
+def model_failed(error: Exception) -> bool:
+    """Whether an error comes from the scorer's own code, not from storage or the cluster."""
+    if isinstance(error, (ModelError, PythonException)):
+        return True
+    return (getattr(error, "getCondition", lambda: None)() or "").startswith("USER_RAISED_EXCEPTION")
+
+
 def score_requests(df: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score every usable text of every request.
 
-    ``scorer`` takes ``(row_id, input_text)`` and returns ``row_id`` with its
-    results; ``row_id`` here names request and position.
+    ``scorer`` takes ``(row_id, input_text)`` and returns ``row_id`` with its results.
+    Items get ids of their own, so requests of one ``request_id`` stay apart; they are
+    staged (an action) so that the ids hold. ``request_no`` tells the requests apart.
     """
-    items = request_clean(valid_requests(df))
-    texts = items.select(
-        F.concat_ws("#", "pos", "request_id").alias("row_id"), F.col("text").alias("input_text")
-    )
-    scored = scorer(texts)
-    key = F.split("row_id", "#", 2)
-    return scored.select(
-        key[1].alias("request_id"),
-        key[0].cast("int").alias("pos"),
-        *[c for c in scored.columns if c != "row_id"],
+    numbered = valid_requests(df).withColumn("request_no", F.monotonically_increasing_id())
+    texts = numbered.select("request_id", "request_no", F.posexplode(usable_texts()).alias("pos", "input_text"))
+    items = stage(texts.withColumn("row_id", F.monotonically_increasing_id()), "request-items")
+    scored = scorer(items.select("row_id", "input_text"))
+    results = [c for c in scored.columns if c not in ("row_id", "input_text")]
+    return items.select("row_id", "request_id", "request_no", "pos").join(scored.select("row_id", *results), "row_id").select(
+        "request_id", "request_no", "pos", *results
     )
 
 
@@ -109,13 +125,13 @@ def responses(scored: DataFrame, model_uri: str, meta: DataFrame | None = None)
     The list is as long as the request's own list was. ``meta`` is the one-line
     result of ``production_meta``.
     """
-    fields = [c for c in scored.columns if c not in ("request_id", "latency_ms")]
-    latency = F.max("latency_ms") if "latency_ms" in scored.columns else F.lit(None)
-    envelope = scored.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("predictions"),
-        latency.cast("int").alias("latency_ms"),
-    )
-    envelope = envelope.withColumn("model_uri", F.lit(model_uri))
+    keys = _request_keys(scored)
+    fields = [c for c in scored.columns if c not in (*keys, "latency_ms")]
+    # Whole milliseconds; the slowest item speaks for the request.
+    latency = F.round(F.max("latency_ms")) if "latency_ms" in scored.columns else F.lit(None)
+    in_order = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["pos"] - b["pos"])
+    envelope = scored.groupBy(*keys).agg(in_order.alias("predictions"), latency.cast("int").alias("latency_ms"))
+    envelope = envelope.withColumn("model_uri", F.lit(model_uri)).drop("request_no")
     if meta is not None:
         fields_map = F.map_from_entries(
             F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in meta.columns])
@@ -124,20 +140,25 @@ def responses(scored: DataFrame, model_uri: str, meta: DataFrame | None = None)
     return envelope
 
 
+def _request_keys(scored: DataFrame) -> list[str]:
+    return [c for c in ("request_id", "request_no") if c in scored.columns]
+
+
 def check_labels(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split scores by whether all labels of the request are known classes.
 
     A model that answers with another label fails the request as a whole.
     """
     known = F.coalesce(F.col("sentiment").isin(*CLASSES), F.lit(False))
-    failed = scored.filter(~known).select("request_id").distinct()
+    keys = _request_keys(scored)
+    failed = scored.filter(~known).select(*keys).distinct()
     errors = failed.select(
         "request_id",
         F.lit(INTERNAL_ERROR).alias("error"),
         F.lit("the model answered with an unknown label").alias("detail"),
         F.lit(STATUS_INTERNAL).alias("status"),
     )
-    return scored.join(failed, "request_id", "left_anti"), errors
+    return scored.join(failed, keys, "left_anti"), errors
 
 
 def unavailable(df: DataFrame, reason: str) -> DataFrame:

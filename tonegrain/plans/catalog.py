@@ -49,11 +49,8 @@ LEXICON = {
     "negative": ("of", "was", "not", "by", "are", "que", "nicht", "des", "los"),
 }
 
-# A small grid, as a full one takes 81 fits.
-SMALL_GRID = [
-    {"ngram_max": 1, "min_df": 5, "max_df": 0.8, "max_iter": 10},
-    {"ngram_max": 1, "min_df": 10, "max_df": 0.8, "max_iter": 10},
-]
+# Grid fits run side by side, as each is small here.
+PARALLELISM = 6
 
 QUERIES: dict[str, Query] = {}
 
@@ -138,9 +135,11 @@ def _flat_probabilities(df: DataFrame) -> DataFrame:
 
 @query
 def csv_scan(spark, sf_dir):
+    """A file without ``row_id``, in another column order, with a column that is not ours."""
     path = new_path(spark, "news-csv")
-    news_source.write_news_csv(_raw(spark, sf_dir), path)
-    return news_source.read_news(spark, path)
+    columns = ["title", F.lit("x").alias("url"), "text", "sentiment", "subject", "date", "source"]
+    news_source.write_news_csv(_raw(spark, sf_dir).select(*columns), path)
+    return news_source.read_news(spark, path).drop("row_id")
 
 
 @query
@@ -187,7 +186,7 @@ def response_sink(spark, sf_dir):
     reqs = fixtures.load_requests(spark, sf_dir)
     scored = stage(requests.score_requests(reqs, lambda t: linear.score_texts(t, table, INTERCEPTS)), "scored")
     path = new_path(spark, "responses")
-    envelopes = requests.responses(scored.select("request_id", "pos", "sentiment"), MODEL_URI)
+    envelopes = requests.responses(scored.withColumn("latency_ms", F.lit(7.6)), MODEL_URI)
     request_source.write_responses(envelopes, path)
     written = spark.read.schema(envelopes.schema).json(path)
     return written.select(
@@ -195,6 +194,10 @@ def response_sink(spark, sf_dir):
         "model_uri",
         F.size("predictions").cast("bigint").alias("n_predictions"),
         F.array_join("predictions.sentiment", ",").alias("sentiments"),
+        F.round(F.aggregate(
+            F.flatten(F.transform("predictions.probabilities", F.map_values)), F.lit(0.0), lambda a, x: a + x
+        ), 6).alias("probability_sum"),
+        F.col("latency_ms").cast("bigint").alias("latency_ms"),
     )
 
 
@@ -572,7 +575,7 @@ def _split_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def _fitted(train: DataFrame):
-    return classifier.fit_classifier(train, **SMALL_GRID[0])
+    return classifier.fit_classifier(train, **classifier.candidates()[0])
 
 
 @query
@@ -580,7 +583,7 @@ def train_logreg(spark, sf_dir):
     documents = _documents(spark, sf_dir)
     vectors = classifier.fit_features(documents).transform(documents)
     vectors = stage(vectors.select("class", "features"), "vectors")
-    return metrics.confusion(classifier.train_logreg(vectors, 10).transform(vectors))
+    return metrics.confusion(classifier.train_logreg(vectors).transform(vectors))
 
 
 @query
@@ -591,7 +594,7 @@ def grid(spark, sf_dir):
 @query
 def grid_search(spark, sf_dir):
     train, _ = _split_documents(spark, sf_dir)
-    _, _, results = classifier.grid_search(train, SMALL_GRID, k=2, seed=SEED, parallelism=2)
+    _, _, results = classifier.grid_search(train, seed=SEED, parallelism=PARALLELISM)
     return results
 
 
@@ -661,7 +664,7 @@ def score_requests(spark, sf_dir):
     table = _scoring_table(_documents(spark, sf_dir))
     reqs = fixtures.load_requests(spark, sf_dir)
     scored = requests.score_requests(reqs, lambda t: linear.score_texts(t, table, INTERCEPTS))
-    return rounded(_flat_probabilities(scored))
+    return rounded(_flat_probabilities(scored.drop("request_no")))
 
 
 # --- registry --------------------------------------------------------------
@@ -691,9 +694,9 @@ def train_and_promote(spark, sf_dir):
     """The whole training job: prepare, search, evaluate, log, save, promote."""
     data = training.prepare_data(_raw(spark, sf_dir))
     reg = registry.Registry(spark)
-    training.run_linear_training(data, reg, "linear", "grid", SMALL_GRID, k=2, parallelism=2)
+    training.run_linear_training(data, reg, "linear", "grid", parallelism=PARALLELISM)
     training.run_encoder_evaluation(
-        data, reg, "encoder", "encoder", "lexicon", encoder.lexicon_factory(LEXICON)
+        data, reg, "encoder", "encoder", "lexicon", encoder.lexicon_factory(LEXICON), max_length=None
     )
     return reg.read("aliases").join(reg.read("model_versions"), ["name", "version"]).select(
         "name", "alias", "version", "test_f1_score"
@@ -801,7 +804,7 @@ def stream_dedup(spark, sf_dir):
     out = new_path(spark, "stream-dedup")
     unique = streams.stream_dedup(streams.stream_clean(_news_stream(spark, sf_dir)), "400 days")
     return streams.run_to_table(unique, f"{out}/table", f"{out}/checkpoint").select(
-        "row_id", "date", "class"
+        "title", "text", "class"
     )
 
 

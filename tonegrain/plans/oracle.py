@@ -182,6 +182,7 @@ _RAW_STRINGS = ("date", "sentiment", "source", "subject", "title", "text")
 _NA_NORMALISED = _raw(
     f"SELECT row_id, {', '.join(_na(c) for c in _RAW_STRINGS)} FROM news_raw"
 )
+_CSV_SCAN = _raw(f"SELECT {', '.join(_na(c) for c in _RAW_STRINGS)} FROM news_raw")
 
 
 def _dup_rows(*keys: str) -> str:
@@ -360,7 +361,7 @@ _STREAM_CLEAN = _clean(
 # --- queries ---------------------------------------------------------------
 
 ORACLE: dict[str, str] = {
-    "csv_scan": _NA_NORMALISED,
+    "csv_scan": _CSV_SCAN,
     "na_normalise": _NA_NORMALISED,
     "load_stats": _raw("SELECT count(*) AS n_rows, 7::BIGINT AS n_columns FROM news_raw"),
     "run_log": _predicted(
@@ -379,7 +380,8 @@ ORACLE: dict[str, str] = {
     ),
     "response_sink": _terms(
         f"""SELECT request_id, '{MODEL_URI}' AS model_uri, count(*) AS n_predictions,
-          string_agg(sentiment, ',' ORDER BY pos) AS sentiments
+          string_agg(sentiment, ',' ORDER BY pos) AS sentiments,
+          round(count(*)::DOUBLE, 6) AS probability_sum, 8::BIGINT AS latency_ms
         FROM items JOIN scores ON row_id = concat(pos, '#', request_id) GROUP BY request_id""",
         _REQUESTS,
         _ITEM_DOCS,
@@ -667,4 +669,5 @@ ORACLE: dict[str, str] = {
         FROM passing GROUP BY 1, 2"""
     ),
     "stream_clean": _STREAM_CLEAN,
+    "stream_dedup": _clean("SELECT DISTINCT title, text, class FROM passing"),
 }

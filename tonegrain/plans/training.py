@@ -98,7 +98,8 @@ def run_encoder_evaluation(
         "row_id", "class", F.col("sentiment").alias("prediction")
     )
     params = {"model": model_id, "batch_size": batch_size, "max_length": max_length}
-    note = SQLTransformer(statement=f"SELECT *, '{model_id}' AS model_id FROM __THIS__")
+    quoted = model_id.replace("\\", "\\\\").replace("'", "\\'")
+    note = SQLTransformer(statement=f"SELECT *, '{quoted}' AS model_id FROM __THIS__")
     return _log_and_offer(
         registry, name, run_name_prefix, params, scored, PipelineModel([note])
     )

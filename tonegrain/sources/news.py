@@ -11,23 +11,34 @@ from pyspark.sql import types as T
 from tonegrain.schema import NA_TOKENS, NEWS_RAW
 
 
-def read_news(spark: SparkSession, path: str, schema: T.StructType = NEWS_RAW) -> DataFrame:
+def read_news(spark: SparkSession, path: str, schema: T.StructType = NEWS_RAW, keep_corrupt: bool = False) -> DataFrame:
     """Headered CSV with quoted, multi-line fields; missing tokens become null.
 
+    Columns are found by their header names, in any order; further columns are ignored, a
+    missing one is a ``ValueError``, and files of one path must agree. A file without
+    ``row_id`` gets one that holds as long as the files do: store the table once with
+    :func:`news_to_parquet`. With ``keep_corrupt`` a malformed record's text is kept in
+    ``_corrupt_record``.
+
     Quoted line breaks make a file unsplittable, so a file is one task: keep the
-    drop as many files and convert it once with :func:`news_to_parquet`. A path
-    that does not exist raises Spark's ``AnalysisException`` at once.
+    drop as many files. A path that does not exist raises Spark's ``AnalysisException``.
     """
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    names = spark.read.options(**options).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in names and f.name != "row_id"]
+    if missing:
+        raise ValueError(f"columns not in the header of {path}: {', '.join(missing)}")
+    own = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "_corrupt_record")])
     raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
+        spark.read.schema(own).options(**options)
+        .option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(path)
     )
-    return na_normalise(raw)
+    row_id = F.col("row_id").cast("long") if "row_id" in names else F.monotonically_increasing_id()
+    columns = [row_id.alias("row_id"), *[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name != "row_id"]]
+    kept = [F.col("_corrupt_record")] if keep_corrupt else []
+    return na_normalise(raw.select(*columns, *kept))
 
 
 def write_news_csv(df: DataFrame, path: str) -> None:

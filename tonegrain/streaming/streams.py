@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PythonException, SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tonegrain.functions.digest import row_digest
 from tonegrain.operators.clean import filter_news, finish_news
-from tonegrain.operators.requests import clean_requests, score_requests, unavailable
+from tonegrain.operators.requests import (
+    ModelError,
+    check_labels,
+    clean_requests,
+    model_failed,
+    score_requests,
+    unavailable,
+)
 from tonegrain.schema import DATE_FORMAT, DEDUP_KEYS
+from tonegrain.sources.staging import stage
 
 Scorer = Callable[[DataFrame], DataFrame]
 
-# A key that floods the stream is thinned out in this many places at once.
-DEDUP_SALTS = 16
-
 
 def stream_score(
     requests: DataFrame, scorer: Scorer, out: str, checkpoint: str
@@ -26,19 +32,26 @@ def stream_score(
 
     Each batch overwrites its own folder, so a replayed batch leaves one copy.
     The scorer is called for each batch and may look up the production model
-    then; if it fails, the batch's requests are answered with status 503.
+    then; if the model fails, the batch's requests are answered with status 503. Other
+    failures, of storage or of the cluster, fail the batch, which is then tried again.
+    Requests with a label outside the known classes are answered with status 500.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             _, errors = clean_requests(batch)
-            scores_path = f"{out}/scores/batch_id={batch_id}"
             try:
-                score_requests(batch, scorer).write.mode("overwrite").parquet(scores_path)
-            except Exception as e:  # any model failure is answered, not raised
+                scored = stage(score_requests(batch, scorer), "stream-scores")
+            except (ModelError, PythonException, SparkRuntimeException) as e:
+                if not model_failed(e):
+                    raise  # not the model's fault: the batch fails and is tried again
                 reason = f"model prediction failed: {type(e).__name__}"
                 errors = errors.unionByName(unavailable(batch, reason))
+            else:
+                good, unknown = check_labels(scored)
+                errors = errors.unionByName(unknown)
+                good.drop("request_no").write.mode("overwrite").parquet(f"{out}/scores/batch_id={batch_id}")
             errors.write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
         finally:
             batch.unpersist()
@@ -70,18 +83,14 @@ def stream_trend(clean: DataFrame, delay: str, grain: str = "1 day") -> DataFram
     )
 
 
-def stream_dedup(clean: DataFrame, delay: str, salts: int = DEDUP_SALTS) -> DataFrame:
+def stream_dedup(clean: DataFrame, delay: str) -> DataFrame:
     """Drop copies of a (text, title, class) key that arrive within ``delay``.
 
     Keeps the first to *arrive*, where the batch form keeps the earliest date.
-    State holds digests, not texts. A key repeated in bulk is first thinned per
-    salt, in parallel, so the second step sees few copies of it.
+    State holds digests, not texts, one entry per key.
     """
     marked = clean.withWatermark("date", delay).withColumn("_key", row_digest(*DEDUP_KEYS))
-    thinned = marked.withColumn(
-        "_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts))
-    ).dropDuplicatesWithinWatermark(["_key", "_salt"])
-    return thinned.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_salt")
+    return marked.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def run_to_table(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
