@@ -108,7 +108,7 @@ ORACLE = {
         d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
         r AS (SELECT *, max(page_id) OVER (PARTITION BY x, payload_bytes) AS response FROM d)
         SELECT page_id, payload_bytes,
-          array_to_string(list_transform(range(32), i -> substr('{warc.BASE32}', 1 + CAST(
+          array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}', 1 + CAST(
             (CAST(concat('0x', substr(x, 1 + 10 * CAST(i // 8 AS INT), 10)) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '')
             AS payload_digest,
           CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
