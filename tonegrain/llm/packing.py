@@ -19,6 +19,7 @@ columns are ignored whatever their names are; an empty table gives no piece.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +35,36 @@ END_ID = 2
 #: Words kept encoded per Python worker.
 KNOWN_WORDS = 300_000
 
+def _byte_names() -> list[str]:
+    """The character each byte has in a byte-level vocabulary: itself if it prints, else the next from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+_BYTE_NAMES = _byte_names()
+#: Lower-case letters of Latin-1, which are their own normal form, then ASCII punctuation.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 )
 
 
 def splits_at_space(path: str) -> bool:
-    """Whether the file's pre-tokenizer drops white space, so that words encode on their own."""
+    """Whether the file lower-cases, drops white space and splits words from punctuation.
+
+    Then words, and runs of letters and of punctuation in them, encode on their own.
+    """
     with open(path, encoding="utf-8") as f:
         rules = json.load(f)
     steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
-    return any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in steps)
+    lower = any(s["type"] == "Lowercase" for s in (rules["normalizer"] or {}).get("normalizers", []))
+    runs = any(
+        s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and s["pattern"]["Regex"].endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        for s in steps
+    )
+    return lower and runs and any(s["type"] == "ByteLevel" for s in steps)
 
 
 class Encoder:
@@ -63,9 +83,31 @@ class Encoder:
         return np.array(encoded.ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode new words as one text; a token belongs to the word its span lies in."""
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
+        """Encode new words: plain ones by the vocabulary's model, the others as one text."""
+        others, known, piece = [], self.known, self._piece
+        for word in words:
+            plain = _PLAIN(word.decode("utf-8", "replace"))
+            if plain is None:
+                others.append(word)
+                continue
+            letters, rest = plain.groups()
+            if rest:
+                known[word] = piece(letters) + piece(rest)
+            else:
+                piece(letters)
+        if others:
+            self._learn_text(others)
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of one run of letters or of punctuation, which the tokenizer never splits or joins."""
+        key = text.encode()
+        if key not in self.known:
+            name = text if text.isascii() else "".join([_BYTE_NAMES[b] for b in key])
+            self.known[key] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(name)])
+        return self.known[key]
+
+    def _learn_text(self, words: list[bytes]) -> None:
+        """Encode words as one text; a token belongs to the word its span lies in."""
         texts = [w.decode("utf-8", "replace") for w in words]
         encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(encoded.ids, "<u4")
