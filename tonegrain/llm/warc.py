@@ -20,6 +20,7 @@ names are; an empty table writes an archive without records and reads no row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ from tonegrain.sources.staging import new_path
 MIN_BYTES = 0
 #: Records per archive file.
 FILE_RECORDS = 20_000
+#: Lines of at most some 100 bytes that are few enough to be broadcast.
+FEW = 200_000
 
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -64,6 +67,9 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         .groupBy("bytes", "sha").agg(F.count("*").alias("n"), F.max("page_id").alias("response"))
         .filter("n > 1").select("bytes", "sha", "response")
     )
+    again = stage(again, "warc-repeats")
+    if again.count() <= FEW:  # then the pages themselves need not be shuffled
+        again = F.broadcast(again)
     told = own.join(again, ["bytes", "sha"], "left").withColumn(
         "revisit", F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     )
@@ -97,8 +103,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     records(pages, min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+PLACE = "file string, block long, at long, size long, skip long, length long"
 CANDIDATES = (
-    "file string, block long, at long, size long, skip long, http long, length long, kind string, page_id long, "
+    "file string, block long, at long, skip long, http long, length long, kind string, page_id long, "
     "refers_to long, payload_bytes long, digest string, value binary"
 )
 
@@ -130,13 +137,16 @@ def _header(data: bytes) -> tuple | None:
     )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their place in the range they were read from, and what their header says."""
-    schema = pa.schema(
-        [("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("skip", pa.int64()), ("http", pa.int64()),
-         ("length", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
-         ("digest", pa.string()), ("value", pa.binary())]
-    )
+def _candidates(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with their place in the range they were read from; if ``whole``, with fields and bytes."""
+    number, text = pa.int64(), pa.string()
+    place = [("file", text), ("block", number), ("at", number)]
+    if whole:
+        kinds = [*place, ("skip", number), ("http", number), ("length", number), ("kind", text), ("page_id", number), ("refers_to", number),
+                 ("payload_bytes", number), ("digest", text), ("value", pa.binary())]
+    else:
+        kinds = [*place, ("size", number), ("skip", number), ("length", number)]
+    schema = pa.schema(kinds)
     where, at = None, 0
     for batch in batches:
         out = []
@@ -144,9 +154,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, data = (file.as_py(), block.as_py()), value.as_py()
             if key != where:
                 where, at = key, 0
+            size = len(data) + len(MAGIC)
             head = _header(data) or (0, 0, -1, None, None, None, None, None)
-            out.append((*key, at, len(data) + len(MAGIC), *head, data))
-            at += len(data) + len(MAGIC)
+            out.append((*key, at, *head, data) if whole else (*key, at, size, head[0], head[2]))
+            at += size
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -167,17 +178,18 @@ def _reach(group: pd.DataFrame) -> pd.DataFrame:
     mine = np.maximum.accumulate(np.where(reached[:n], np.arange(n), -1))
     owner = np.where(mine >= 0, offset[np.maximum(mine, 0)], -1)
     pieces = pd.Series(owner).groupby(owner).transform("size").to_numpy() if n else np.empty(0)
-    return pd.DataFrame({"file": group["file"], "offset": offset, "owner": owner, "pieces": pieces})
+    return group[["file", "block", "at", "offset"]].assign(owner=owner, pieces=pieces)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, record_type, refers_to, payload, payload_bytes, payload_digest, verified`` of every reachable record.
 
-    ``payload`` is null for revisits. ``verified`` says that the payload's digest and size are the header's.
+    Archives are read twice, so nothing but numbers and odd records is shuffled; the second pass
+    is lazy and must see the same split settings. ``payload`` is null for revisits. ``verified`` says that the payload's digest and size are the header's.
     """
     text = spark.read.option("lineSep", MAGIC).text(path)
     rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary"))
-    seen = stage(rows.mapInArrow(_candidates, CANDIDATES), "warc-candidates")
+    seen = stage(rows.mapInArrow(partial(_candidates, whole=False), PLACE), "warc-candidates")
     ranges = seen.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranges.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
@@ -185,26 +197,30 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     placed = seen.join(bases, ["file", "block"]).withColumn("offset", F.col("base") + F.col("at") - len(MAGIC))
     follows = F.when(F.col("length") >= 0, F.col("offset") + len(MAGIC) + F.col("skip") + F.col("length") + len(END)).otherwise(-1)
     chain = (
-        placed.filter("offset >= 0").select("file", "offset", follows.alias("follows"))
-        .groupBy("file").applyInPandas(_reach, "file string, offset long, owner long, pieces long")
+        placed.filter("offset >= 0").select("file", "block", "at", "offset", follows.alias("follows"))
+        .groupBy("file").applyInPandas(_reach, "file string, block long, at long, offset long, owner long, pieces long")
     )
-    chain = stage(chain.filter("owner >= 0"), "warc-chain")
-    owned = placed.join(chain, ["file", "offset"])
-    whole = owned.filter("pieces = 1").select("kind", "page_id", "refers_to", "payload_bytes", "digest", "skip", "http", "length", "value")
+    # A candidate that is a record by itself needs nothing more; the others are few as a rule.
+    odd = stage(chain.filter("owner < 0 or pieces > 1").drop("pieces"), "warc-odd")
+    few = odd.count()
+    first = (F.col("block") == 0) & (F.col("at") == 0)  # what stands before the first magic
+    records_ = rows.mapInArrow(partial(_candidates, whole=True), CANDIDATES).filter(~first)
+    marked = records_.join(F.broadcast(odd) if few <= FEW else odd, ["file", "block", "at"], "left")
+    fields = ["kind", "page_id", "refers_to", "payload_bytes", "digest", "skip", "http", "length"]
+    whole = marked.filter("owner is null").select(*fields, "value")
     head = lambda c: F.max(F.when(F.col("offset") == F.col("owner"), F.col(c))).alias(c)
     magic = F.lit(MAGIC).cast("binary")
     joined = (
-        owned.filter("pieces > 1").groupBy("file", "owner").agg(
-            *[head(c) for c in ("kind", "page_id", "refers_to", "payload_bytes", "digest", "skip", "http", "length")],
-            F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"),
+        marked.filter("owner >= 0").groupBy("file", "owner").agg(
+            *[head(c) for c in fields], F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"),
         )
         .withColumn("value", F.aggregate(
             F.slice("parts", 2, F.size("parts")), F.element_at("parts", 1)["value"], lambda a, x: F.concat(a, magic, x["value"])
         ))
-        .select(*whole.columns)
+        .select(*fields, "value")
     )
     payload = F.expr("substring(value, cast(skip + http + 1 as int), cast(length - http as int))")
-    out = whole.union(joined).withColumn("payload", F.when(F.col("kind") == "response", payload))
+    out = (whole.union(joined) if few else whole).withColumn("payload", F.when(F.col("kind") == "response", payload))
     same = (F.octet_length("payload") == F.col("payload_bytes")) & (sha1_base32(F.col("payload")) == F.col("digest"))
     return out.select(
         "page_id", F.col("kind").alias("record_type"), "refers_to", "payload", "payload_bytes", F.col("digest").alias("payload_digest"),
