@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegrain.llm.common import blob, mix64, ngram_hashes, word_hashes
+from tonegrain.llm.common import blob, mix64, ngram_hashes, stage, word_hashes
 from tonegrain.llm.toxicity import labelled_sample
 
 BITS = 16
@@ -147,21 +147,25 @@ def _learn(group: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards: int = SHARDS) -> Model | None:
     """Fit on label rows ``(doc_id, quality)``; None without rows of both kinds."""
     sample = labelled_sample(docs, labels, "quality", F.lit(True), max_rows)
-    parts = (
+    fits = stage(
         sample.withColumn("_shard", F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(shards)))
         .groupBy("_shard")
-        .applyInPandas(_learn, "place long, value double")
-    ).toPandas()  # at most shards x KINDS x 2**BITS weights and max_rows margins
-    learners = int((parts["place"] == -1).sum())
-    held = parts[parts["place"] <= -2]
-    if not learners or held["place"].nunique() < 2:
+        .applyInPandas(_learn, "place long, value double"),
+        "quality-fits",
+    )
+    # To the driver: at most KINDS x 2**BITS weights, and max_rows margins.
+    sums = fits.filter("place >= -1").groupBy("place").agg(F.sum("value").alias("value"), F.count("*").alias("n")).toPandas()
+    held = fits.filter("place <= -2").toPandas()
+    bias = sums[sums["place"] == -1]
+    if bias.empty or held["place"].nunique() < 2:
         return None
+    learners = int(bias["n"].iloc[0])
+    sums = sums[sums["place"] >= 0]
     weight = np.zeros(KINDS << BITS, np.float32)
-    weights = parts[parts["place"] >= 0].groupby("place")["value"].sum() / learners
-    weight[weights.index.to_numpy()] = weights.to_numpy()
+    weight[sums["place"].to_numpy()] = sums["value"].to_numpy() / learners
     held = held.sort_values(["place", "value"])
     slope, offset = platt(held["value"].to_numpy(), (held["place"] == -3).to_numpy(float))
-    return Model(weight, float(parts[parts["place"] == -1]["value"].mean()), slope, offset)
+    return Model(weight, float(bias["value"].iloc[0]) / learners, slope, offset)
 
 
 def _repeated(words: np.ndarray) -> int:
