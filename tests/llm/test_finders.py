@@ -148,6 +148,23 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert embed_dup.find(df.limit(0)).count() == 0
 
 
+def test_links_of_a_group_larger_than_a_shard_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(embed_dup, "SHARD", 100)
+    rng = np.random.default_rng(8)
+    # One dense group, a looser one that is linked in part, and rows apart; row 0 has a copy.
+    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(700, 32)) * 0.05, rng.normal(size=32) + rng.normal(size=(300, 32)) * 0.14, rng.normal(size=(100, 32))])
+    x = np.concatenate([x, x[:1]])
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embed_dup.find(df.repartition(4)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= embed_dup.LINK) & ~np.eye(len(x), dtype=bool)
+    true, found = link.sum(1), np.array([got[i]["n_links"] for i in range(len(x))])
+    assert true.max() >= 700 and 0 < link[700:1000].mean(1).max() < 0.3
+    assert (found[:700] == true[:700]).all() and (found <= true).all() and found.sum() >= 0.999 * true.sum()
+    want = components_by_force(list(range(len(x))), lambda a, b: link[a, b])
+    assert [got[i]["component_id"] for i in range(700)] == [want[i] for i in range(700)]
+
+
 def test_robust_prune_drops_covered_neighbours():
     x = np.array([[1, 0], [0.999, 0.0447], [0.995, 0.0999], [0, 1.0]], np.float32)
     (near,) = embed_dup.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 0]]), degree=3)

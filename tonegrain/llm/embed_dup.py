@@ -11,7 +11,11 @@ most ``SHARD`` of them; every class goes to its nearest centre, its home, and to
 2. The adjacency lists a row got in its shards are united.
 3. In its home shard every row searches greedily from the medoids with a beam of ``BEAM``, then
    expands: the neighbours of every row found in range, or nearly, are visited until none is new.
-4. What is found is verified in double precision; links form components.
+4. A row visits every other shard that is the home of a row it found in range, or nearly, there or among
+   its nearest rows in any of its shards, and is compared to all rows of that shard, ``VISITORS`` rows to a
+   task; what it finds there leads it on, until no shard is new. Both ends of a link go to each other's home.
+5. What is found is verified in double precision. A link is counted in the home shard of the partner,
+   so once, however many shards a group fills; links form components.
 
 Every row is indexed and is a query. :func:`audit` measures the share of links found for
 a stated number of rows against a brute-force pass over all rows.
@@ -39,6 +43,8 @@ SHARD, OVERLAP, CENTRES = 3000, 2, 64
 DEGREE, POOL, FAR, ALPHA = 24, 48, 8, 1.2
 BEAM, ENTRIES, SLACK = 32, 8, 0.04
 CHUNK = 512
+VISITORS = 1024
+FOUND = "rep long, group long, n long, to array<long>"
 #: Rows whose links are counted by brute force.
 AUDITED = 64
 
@@ -143,17 +149,20 @@ def robust_prune(x: np.ndarray, own: np.ndarray, pool: np.ndarray, degree: int =
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
-    """Adjacency lists of a shard."""
+    """Adjacency lists of a shard, and the homes, other than their own, of the rows close to each row."""
     group = group.sort_values("rep")
-    rep, x = group["rep"].to_numpy(), _unit(group["embedding"]).astype(np.float32)
-    n, k, lists = len(rep), min(POOL, len(rep)), []
+    rep, at, x = group["rep"].to_numpy(), group["at"].to_numpy(), _unit(group["embedding"]).astype(np.float32)
+    n, k, lists, to = len(rep), min(POOL, len(rep)), [], []
     rng = np.random.default_rng(n)
     for lo in range(0, n, CHUNK):
         own = np.arange(lo, min(lo + CHUNK, n))
-        near = np.argpartition(-(x[own] @ x.T), k - 1, axis=1)[:, :k]
+        cos = x[own] @ x.T
+        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        close = np.take_along_axis(cos, near, 1) >= LINK - SLACK
+        to += [np.setdiff1d(at[p[c]], at[i]).tolist() for i, p, c in zip(own, near, close, strict=True)]
         pool = np.concatenate([near, rng.integers(0, n, (len(own), FAR))], axis=1)
         lists += [rep[p].tolist() for p in robust_prune(x, own, pool)]
-    return pd.DataFrame({"rep": rep, "near": lists})
+    return pd.DataFrame({"rep": rep, "near": lists, "to": to})
 
 
 def greedy_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -204,10 +213,19 @@ def greedy_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries:
     return seen
 
 
+def _homes(to: list[set], rows: np.ndarray, at: np.ndarray) -> None:
+    """Add to the sets of ``rows`` the shards ``at``, pair by pair."""
+    pairs = pd.DataFrame({"row": rows, "at": at}).drop_duplicates()
+    for i, shard in zip(pairs["row"].tolist(), pairs["at"].tolist(), strict=True):
+        to[i].add(shard)
+
+
 def _search(group: pd.DataFrame) -> pd.DataFrame:
-    """For rows of a shard: the smallest row linked to it here and, if at home here, how many rows it links with."""
+    """For rows of a shard: the smallest row linked to it here, where it goes next and, if at home here, how many rows at home here it links with."""
     group = group.sort_values("rep")
     rep, copies, unit = group["rep"].to_numpy(), group["copies"].to_numpy(), _unit(group["embedding"])
+    here, at = int(group["cluster"].iloc[0]), group["at"].to_numpy()
+    inside = at == here
     x, n = unit.astype(np.float32), len(rep)
     known = {r: i for i, r in enumerate(rep.tolist())}
     near = [[known[r] for r in line if r in known] for line in group["near"]]
@@ -217,17 +235,23 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
     # Medoids: of the shard, and of slices of it.
     parts = [np.arange(n), *np.array_split(np.arange(n), min(ENTRIES - 1, n))]
     entries = np.unique([p[np.argmax(x[p] @ x[p].mean(axis=0))] for p in parts])
-    home = np.flatnonzero(group["home"].to_numpy())
+    home = np.flatnonzero(inside)
     label, found, total = np.arange(n), [], np.zeros(n, np.int64)
+    to = [set(t) if h else set() for t, h in zip(group["to"], inside, strict=True)]
     for lo in range(0, len(home), CHUNK):
         own = home[lo : lo + CHUNK]
-        line, node = np.nonzero(greedy_range(x, graph, own, entries) >= LINK - 1e-3)
+        seen = greedy_range(x, graph, own, entries)
+        line, node = np.nonzero((seen >= LINK - SLACK) & ~inside)
+        _homes(to, own[line], at[node])
+        line, node = np.nonzero(seen >= LINK - 1e-3)
         a = own[line]
         true = (a != node) & (np.einsum("nd,nd->n", unit[a], unit[node]) >= LINK)
         a, node = a[true], node[true]
-        np.add.at(total, a, copies[node])
+        np.add.at(total, a, copies[node] * inside[node])
         found.append((a, node))
     a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+    for i in np.unique(b[~inside[b]]):
+        to[i].add(here)
     while True:
         before = label.copy()
         np.minimum.at(label, a, label[b])
@@ -236,7 +260,51 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
         if (label == before).all():
             break
     ends = np.unique(np.concatenate([a, b, home]))
-    return pd.DataFrame({"rep": rep[ends], "group": rep[label[ends]], "n": np.where(group["home"].to_numpy()[ends], total[ends], -1)})
+    return pd.DataFrame({
+        "rep": rep[ends], "group": rep[label[ends]], "n": np.where(inside[ends], total[ends], -1), "to": [sorted(to[i]) for i in ends],
+    })
+
+
+def _visit(guests: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """As :func:`_search`, for guests from other homes, compared to all rows of a shard."""
+    if guests.empty or rows.empty:
+        return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
+    guests, rows = guests.sort_values("rep"), rows.sort_values("rep")
+    here, at, from_ = int(rows["cluster"].iloc[0]), rows["at"].to_numpy(), guests["at"].to_numpy()
+    a, b, inside = guests["rep"].to_numpy(), rows["rep"].to_numpy(), at == here
+    cos = _unit(guests["embedding"]) @ _unit(rows["embedding"]).T
+    hit = (cos >= LINK) & (a[:, None] != b)
+    total = hit[:, inside] @ rows["copies"].to_numpy()[inside]
+    to: list[set] = [set() for _ in range(len(a) + len(b))]
+    line, node = np.nonzero((cos >= LINK - SLACK) & (at != here) & (at != from_[:, None]))
+    _homes(to, line, at[node])
+    line, node = np.nonzero(hit & inside)
+    _homes(to, node + len(a), from_[line])
+    most = np.iinfo(np.int64).max
+    left, right = a.copy(), b.copy()
+    while True:
+        before = left, right
+        left = np.minimum(left, np.where(hit, right, most).min(axis=1))
+        right = np.minimum(right, np.where(hit, left[:, None], most).min(axis=0))
+        if (left == before[0]).all() and (right == before[1]).all():
+            break
+    ends = np.flatnonzero(np.concatenate([np.ones(len(a), bool), hit.any(axis=0)]))
+    return pd.DataFrame({
+        "rep": np.concatenate([a, b])[ends], "group": np.concatenate([left, right])[ends],
+        "n": np.concatenate([total, np.full(len(b), -1)])[ends], "to": [sorted(to[i]) for i in ends],
+    })
+
+
+def _visits(front: DataFrame, full: DataFrame, classes: DataFrame, homes: DataFrame) -> DataFrame:
+    """What the classes of ``front(rep, cluster)`` find in these shards; a shard is repeated for every ``VISITORS`` guests."""
+    blocks = front.groupBy("cluster").agg(F.ceil(F.count("*") / VISITORS).alias("blocks"))
+    guests = (
+        front.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        .join(classes.select("rep", "embedding"), "rep").join(homes, "rep").select("cluster", "block", "rep", "at", "embedding")
+    )
+    rows = full.join(blocks, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("cluster", "block", "rep", "at", "copies", "embedding")
+    return guests.groupBy("cluster", "block").cogroup(rows.groupBy("cluster", "block")).applyInPandas(_visit, FOUND)
 
 
 def audit(classes: DataFrame, counted: DataFrame, rows: int = AUDITED) -> float:
@@ -269,13 +337,26 @@ def find(vectors: DataFrame) -> DataFrame:
     """
     placed, classes = classes_of(vectors)
     seats = shards_of(classes)
-    full = stage(seats.join(classes.select("rep", "copies", "embedding"), "rep"), "shards")
-    lists = full.groupBy("cluster").applyInPandas(_build, "rep long, near array<long>")
-    lists = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    searched = stage(
-        full.join(lists, "rep").groupBy("cluster").applyInPandas(_search, "rep long, group long, n long"), "found"
+    homes = seats.filter("home").select("rep", F.col("cluster").alias("at"))
+    full = stage(
+        seats.select("cluster", "rep").join(homes, "rep").join(classes.select("rep", "copies", "embedding"), "rep"), "shards"
+    )
+    lists = full.groupBy("cluster").applyInPandas(_build, "rep long, near array<long>, to array<long>")
+    lists = lists.groupBy("rep").agg(
+        *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "to")]
     )
-    counted = searched.filter("n >= 0").select("rep", "n")
+    found = stage(full.join(lists, "rep").groupBy("cluster").applyInPandas(_search, FOUND), "found")
+    searched, done = found, None
+    while True:
+        # Every class goes to a shard once.
+        front = found.select("rep", F.explode("to").alias("cluster")).distinct()
+        front = stage(front if done is None else front.join(done, ["rep", "cluster"], "left_anti"), "visits")
+        if front.isEmpty():
+            break
+        done = front if done is None else done.union(front)
+        found = stage(_visits(front, full, classes, homes), "found")
+        searched = searched.union(found)
+    counted = stage(searched.filter("n >= 0").groupBy("rep").agg(F.sum("n").alias("n")), "counted-links")
     recall = audit(classes, counted)
     labels = components(searched.select(F.col("rep").alias("a"), F.col("group").alias("b")).filter("a <> b"))
     comp = F.coalesce("component", "rep", "row")
