@@ -100,6 +100,17 @@ def test_language_model_base_equals_brute_force_and_model_beats_it(spark, monkey
     assert lm_score.score(empty, ~out, out).count() == 0
 
 
+def test_language_model_learns_from_every_row(spark):
+    # 250,000 tokens in each of 4 tasks were the most that was learnt from.
+    n = 1500
+    docs = spark.createDataFrame([(i, f"w{i} " * 1000) for i in range(n)], "doc_id long, text string").repartition(4)
+    known = lm_score.network_words(lm_score.frequent(lm_score.count_tokens(docs)))
+    params, starts, _ = lm_score._train(docs, known, 0)
+    before = recurrent.initial(np.append(known["c"].to_numpy(float), 0), starts)
+    moved = (params["X"] != before["X"]).any(axis=1)
+    assert len(known) == n + 1 and moved[:-1].all()
+
+
 def test_network_gradients_and_probabilities():
     counts = np.array([50, 30, 20, 10, 5, 5, 5, 9.0])
     starts = np.array([0, 1, 3, 7, 8])

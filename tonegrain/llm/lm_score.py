@@ -5,10 +5,11 @@ empty word). Spark counts the tokens of all training rows. The network (see ``re
 knows the ``WORDS`` most frequent tokens and one token for all others; what the state
 says about "another word" is multiplied by that word's smoothed share among the others, so every
 text has a probability. Class and word biases come from the counts of all
-training rows; the other weights are learnt by truncated backpropagation, in ``SHARDS`` tasks at a
-time whose weights are averaged after each of ``ROUNDS`` rounds, on at most
-``MAX_TOKENS`` tokens per task, of about ``SAMPLE_ROWS`` training rows chosen by a hash. Texts are scored whole,
-the state carried from window to window.
+training rows; the other weights are learnt by truncated backpropagation from all training rows, in shards of
+about ``SHARD_TOKENS`` tokens (``SHARDS`` of them at least) whose weights are averaged in Spark, by their tokens,
+after each of ``ROUNDS`` rounds. Every row is learnt in one round at least; small tables are read again,
+in as many rounds as it takes to learn ``LEAST_TOKENS``, at most in all. Texts are learnt and scored whole, the
+state carried from window to window.
 
 Counts of the words that ``KNOWN`` allows are broadcast (a bound on their number); counts of rarer
 words are joined by word, after each text's copies of a word were put together.
@@ -31,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegrain.llm import recurrent
-from tonegrain.llm.common import blob, sampled, stage
+from tonegrain.llm.common import blob, stage
 
 KNOWN = 200_000
 WORDS = 4_000
 SHARDS, ROUNDS = 4, 3
-SAMPLE_ROWS, MAX_TOKENS = 4_000, 250_000
+SHARD_TOKENS, LEAST_TOKENS = 1_500_000, 3_000_000
+#: Weights of one array that are averaged together.
+SLICE = 1 << 16
 ADD = 0.1
 #: Texts scored side by side, in bytes.
 HELD_BYTES = 24_000_000
@@ -96,8 +99,17 @@ def network_words(known: pd.DataFrame, most: int = WORDS) -> pd.DataFrame:
     return pd.concat([rest.iloc[: most - 1], known.loc[end], rest.iloc[most - 1 :]], ignore_index=True)
 
 
+def _mean(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """A slice of the weights, averaged over shards by their tokens."""
+    total = 0.0
+    for value, weight in zip(group["value"], group["weight"], strict=True):
+        total = total + np.frombuffer(value, np.float32) * float(weight)
+    mean = (total / group["weight"].sum()).astype(np.float32)
+    return pd.DataFrame({"name": [key[0]], "part": [key[1]], "value": [mean.tobytes()]})
+
+
 def _train(docs: DataFrame, known: pd.DataFrame, unknown: int) -> tuple[recurrent.Params, np.ndarray, int] | None:
-    """Weights averaged over tasks, class bounds and the end token; ``unknown``: tokens not in ``known``."""
+    """Averaged weights, class bounds and the end token; ``unknown``: tokens not in ``known``."""
     top = known.head(WORDS)
     if b"" not in top["word"].tolist():
         return None
@@ -105,37 +117,45 @@ def _train(docs: DataFrame, known: pd.DataFrame, unknown: int) -> tuple[recurren
     starts = recurrent.class_starts(counts)
     end = int(np.flatnonzero((top["word"] == b"").to_numpy())[0])
     params = recurrent.initial(counts, starts)
-    spark, texts = docs.sparkSession, int(top["c"].iloc[end])  # a text closes with one end token
-    sample = (
-        docs.select("doc_id", F.xxhash64(F.lit(13), F.col("doc_id").cast("long"), "text").alias("order"), blob("text").alias("text"))
-        .filter(sampled(F.col("order"), SAMPLE_ROWS, texts))
-    )
-    sample = stage(sample.withColumn("shard", F.pmod("order", F.lit(SHARDS))), "lm-sample")
-    index = {w: i for i, w in enumerate(top["word"])}
+    spark, n = docs.sparkSession, int(counts.sum())
+    passes = min(ROUNDS, -(-LEAST_TOKENS // n))
+    shards = max(SHARDS, -(-n * passes // (ROUNDS * SHARD_TOKENS)))
+    words = spark.sparkContext.broadcast({w: i for i, w in enumerate(top["word"])})
+
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = words.value
+        other = len(index)
+        for batch in batches:
+            ids = [np.array([index.get(w, other) for w in words_of(t.as_py())], np.uint16).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["doc_id", "order", "ids"])
+
+    order = F.xxhash64(F.lit(13), F.col("doc_id").cast("long"), "text")
+    texts = docs.select(F.col("doc_id").cast("long"), order.alias("order"), blob("text").alias("text"))
+    texts = texts.mapInArrow(ids_of, "doc_id long, order long, ids binary").withColumns({
+        "shard": F.pmod("order", F.lit(shards)), "turn": F.pmod(F.xxhash64(F.lit(17), "order"), F.lit(ROUNDS))
+    })
+    texts = stage(texts, "lm-texts")
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((params, starts, end, index))
+        shared = spark.sparkContext.broadcast((params, starts, end))
 
         def learn(group: pd.DataFrame) -> pd.DataFrame:
-            params, starts, end, index = shared.value
-            other = len(index)
             group = group.sort_values(["order", "doc_id"])
-            held, texts = 0, []
-            for text in group["text"]:
-                texts.append(np.array([index.get(w, other) for w in words_of(text)]))
-                held += texts[-1].size
-                if held >= MAX_TOKENS:
-                    break
-            tokens = np.concatenate([texts[i] for i in np.random.default_rng(turn).permutation(len(texts))])[:MAX_TOKENS]
-            learner = recurrent.Learner(params, starts, end)
+            own = [np.frombuffer(x, np.uint16) for x in group["ids"]]
+            tokens = np.concatenate([own[i] for i in np.random.default_rng(turn).permutation(len(own))])
+            learner = recurrent.Learner(*shared.value)
             learner.fit(tokens)
-            return pd.DataFrame({"name": list(learner.p), "value": [v.astype(np.float32).tobytes() for v in learner.p.values()]})
-
-        got = sample.groupBy("shard").applyInPandas(learn, "name string, value binary").toPandas()
-        if got.empty:
-            break
+            out = [
+                (name, lo // SLICE, float(tokens.size), v.ravel()[lo : lo + SLICE].astype(np.float32).tobytes())
+                for name, v in learner.p.items() for lo in range(0, v.size, SLICE)
+            ]
+            return pd.DataFrame(out, columns=["name", "part", "weight", "value"])
+
+        now = texts.filter(F.pmod(F.lit(turn) - F.col("turn"), F.lit(ROUNDS)) < passes)
+        learnt = now.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(learn, "name string, part long, weight double, value binary")
+        got = learnt.groupBy("name", "part").applyInPandas(_mean, "name string, part long, value binary").toPandas()
         for name, own in got.groupby("name"):
-            mean = np.mean([np.frombuffer(v, np.float32) for v in own["value"]], axis=0)
-            params[name] = mean.reshape(params[name].shape).astype(np.float32)
+            mean = np.concatenate([np.frombuffer(v, np.float32) for v in own.sort_values("part")["value"]])
+            params[name] = mean.reshape(params[name].shape)
     return params, starts, end
 
 

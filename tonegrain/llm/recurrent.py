@@ -177,13 +177,12 @@ class Learner:
 
     def fit(self, tokens: np.ndarray, epochs: int = 1) -> None:
         """Learn from a run of texts that each close with ``end``."""
-        length = (tokens.size - 1) // STREAMS
-        if length < 1:
-            return
-        tokens = np.concatenate([[self.end], tokens])
-        ids = tokens[: STREAMS * length].reshape(STREAMS, length).T
-        goals = tokens[1 : STREAMS * length + 1].reshape(STREAMS, length).T
+        length = tokens.size // STREAMS
+        tokens, cut = np.concatenate([[self.end], tokens]), STREAMS * length
+        # The last tokens, fewer than streams, are a stream of their own.
         for _ in range(epochs):
-            h = np.zeros((STREAMS, HIDDEN), np.float32)
-            for lo in range(0, length, WINDOW):
-                h, _ = self.window(h, ids[lo : lo + WINDOW], goals[lo : lo + WINDOW])
+            for streams, own in ((STREAMS, tokens[: cut + 1]), (1, tokens[cut:])):
+                ids, goals = (x.reshape(streams, -1).T for x in (own[:-1], own[1:]))
+                h = np.zeros((streams, HIDDEN), np.float32)
+                for lo in range(0, len(ids), WINDOW):
+                    h, _ = self.window(h, ids[lo : lo + WINDOW], goals[lo : lo + WINDOW])
