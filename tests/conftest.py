@@ -35,9 +35,3 @@ def make(spark):
         return spark.createDataFrame(rows, schema).repartition(3)
 
     return build
-
-
-def rows_of(df, *columns):
-    """Rows as a sorted list of tuples, nulls first."""
-    selected = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in selected.collect()), key=repr)

@@ -4,7 +4,7 @@ import ast
 import datetime as dt
 
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

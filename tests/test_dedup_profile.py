@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from rows import rows_of
 
 from tonegrain.functions.digest import row_digest
 from tonegrain.operators import analytics, dedup, profile

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 

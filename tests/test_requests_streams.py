@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 

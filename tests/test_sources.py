@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from pyspark.errors import AnalysisException
 
 from tonegrain.operators.clean import clean_table
