@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrain.llm import embed_dup, licenses, lm_score, mixing, near_dup, packing, pii, quality, toxicity, warc
+from tonegrain.llm import (
+    clusters,
+    embed_dup,
+    licenses,
+    lm_score,
+    mixing,
+    near_dup,
+    packing,
+    phrases,
+    pii,
+    quality,
+    toxicity,
+    url_rules,
+    warc,
+)
 from tonegrain.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,6 +96,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it imports this package
 
@@ -99,6 +125,9 @@ QUERIES = {
     "op8_embed_dup": op8_embed_dup,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_centroids": op11_centroids,
+    "op12_phrases": op12_phrases,
+    "op13_url_rules": op13_url_rules,
     "pipeline": pipeline,
 }
 
@@ -128,4 +157,7 @@ ORACLE = {
         SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept,
           CAST(1.0 AS DOUBLE) AS audit_recall
         FROM c LEFT JOIN n ON c.vec_id = n.vec_id""",
+    "op11_centroids": clusters.SQL,
+    "op12_phrases": phrases.SQL,
+    "op13_url_rules": url_rules.SQL,
 }
