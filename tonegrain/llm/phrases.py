@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and thos
 one to ``MOST_WORDS`` words in a row inside a piece.
 
 1. The corpus is dealt into ``SHARDS`` shards, by task. Every phrase of a shard is counted in it, by 64-bit hash of language and
-   phrase, with Spark adding up the tasks' counts. A phrase seen ``SUPPORT`` times has at least ``SUPPORT / SHARDS``
+   phrase: tasks count what they read, and their counts meet by ranges of the hash. A phrase seen ``SUPPORT`` times has at least ``SUPPORT / SHARDS``
    occurrences in some shard, so what no shard has that often is out. Two phrases of one hash are counted together,
    which can only let more of them through.
 2. The hashes of all shards are united in a bitmap of ``BITS`` bits, which has a fixed size whatever the corpus; a bit that
@@ -28,7 +28,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +48,11 @@ NESTED = 50
 TOP = 2000
 SCALE = 1_000_000
 #: Word occurrences counted together in a task.
-HELD = 1 << 20
+HELD = 3 << 19
+#: Words numbered in a task before it starts anew; with HELD more of them numbers stay below 21 bits.
+KNOWN_WORDS = 1 << 19
+#: Bytes of text whose phrases are added up at one place.
+RANGE_BYTES = 1 << 23
 HOT_PARTS = 10_000
 SLICES = 64
 
@@ -63,19 +69,21 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class _Counter:
-    """Phrases of one language in a task: word numbers are shared, phrases are counted in numpy."""
+    """Phrases of a task: words are numbered, numbers of phrases are counted in numpy, language by language."""
 
     def __init__(self) -> None:
+        self.texts: dict[str, list[tuple[np.ndarray, int]]] = {}
+        self.held = 0
+        self._renumber()
+
+    def _renumber(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.texts: dict[str, list[np.ndarray]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.number.clear()
         self.number[CUT]
-        self.texts.clear()
-        self.held = 0
+        self.hashed = np.empty(0, np.uint64)
+
+    def words(self) -> list[bytes]:
+        return list(self.number)
 
     def add(self, lang: str, text: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """Take a text in; gives ``(lang, phrases, counts)`` whenever enough is held."""
@@ -83,12 +91,11 @@ class _Counter:
         for lo in range(0, max(len(words), 1), HELD):
             # A slice goes on into the next by the words that its last phrases need.
             part = words[lo : lo + HELD + MOST_WORDS - 1]
-            if self.held + len(part) > HELD or len(self.number) + len(part) >= 1 << _SHIFT:
+            if self.held + len(part) > HELD:
                 yield from self.flush()
             number = self.number
-            ids = np.array([number[w] for w in part], np.int64)
-            self.texts.setdefault(lang, []).append((ids, min(HELD, len(words) - lo)))
-            self.held += len(part) + 1
+            self.texts.setdefault(lang, []).append((np.array([number[w] for w in part], np.int64), min(HELD, len(words) - lo)))
+            self.held += len(part)
 
     def flush(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         for lang, parts in self.texts.items():
@@ -103,10 +110,20 @@ class _Counter:
                 phrase = phrase | later << _SHIFT * k
                 keys.append(phrase[whole])
             yield lang, *np.unique(np.concatenate(keys), return_counts=True)
-        self.clear()
+        self.texts.clear()
+        self.held = 0
+        if len(self.number) > KNOWN_WORDS:
+            self._renumber()
 
-    def words(self) -> list[bytes]:
-        return list(self.number)
+    def hashes(self, lang: str, ids: np.ndarray) -> np.ndarray:
+        """64-bit hashes of language and phrase."""
+        new = [_hash(w) for w in self.words()[len(self.hashed):]]
+        self.hashed = np.append(self.hashed, np.array(new, np.uint64))
+        out = np.full(len(ids), _hash(b"lang " + lang.encode()), np.uint64)
+        for k in range(ids.shape[1]):
+            met = np.flatnonzero(ids[:, k])
+            out[met] = mix64(out[met] * np.uint64(0x9E3779B97F4A7C15) + self.hashed[ids[met, k]])
+        return out
 
 
 def _ids(phrases: np.ndarray) -> np.ndarray:
@@ -118,16 +135,6 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
-def _hashes(lang: str, ids: np.ndarray, words: list[bytes], known: list[int]) -> np.ndarray:
-    """64-bit hashes of language and phrase; ``known`` holds the words hashed so far."""
-    known.extend(_hash(w) for w in words[len(known):])
-    word = np.array(known, np.uint64)
-    out = np.full(len(ids), _hash(b"lang " + lang.encode()), np.uint64)
-    for k in range(ids.shape[1]):
-        out = np.where(ids[:, k] > 0, mix64(out * np.uint64(0x9E3779B97F4A7C15) + word[ids[:, k]]), out)
-    return out
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), blob("text").alias("text"))
 
@@ -140,21 +147,42 @@ def _flushes(batches: Iterator[pa.RecordBatch], counter: _Counter) -> Iterator[t
 
 
 def shard_candidates(docs: DataFrame, shards: int = SHARDS, support: int = SUPPORT) -> DataFrame:
-    """``key``: hashes of the phrases that are frequent in some shard; repeats are possible."""
+    """``key``: hashes of the phrases that are frequent in some shard, each once.
+
+    Tasks send sorted runs of hashes and counts, a run for each range of hashes; a range is as small as to
+    hold about ``RANGE_BYTES / 2`` phrases of the corpus, and is added up at one place.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (size // RANGE_BYTES).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, shard, known = _Counter(), TaskContext.get().partitionId() % shards, []
+        counter, shard = _Counter(), TaskContext.get().partitionId() % shards
         for lang, phrases, counts in _flushes(batches, counter):
-            if phrases.size:
-                key = _hashes(lang, _ids(phrases), counter.words(), known)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(key.size, shard, np.int32)), pa.array(key.view(np.int64)), pa.array(counts.astype(np.int64))],
-                    names=["shard", "key", "c"],
-                )
-            known.clear()
-
-    own = _texts(docs).mapInArrow(count, "shard int, key long, c long")
-    return own.groupBy("shard", "key").agg(F.sum("c").alias("c")).filter(F.col("c") * shards >= support).select("key")
+            key = counter.hashes(lang, _ids(phrases))
+            order = np.argsort(key)
+            key, counts = key[order], counts[order].astype(np.uint32)
+            at = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(key.size, np.int64)
+            edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)) if key.size else np.zeros(1, np.int64)
+            runs = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(at[edges[:-1]]), pa.array(np.full(len(runs), shard, np.int32)),
+                pa.array([key[lo:hi].tobytes() for lo, hi in runs], pa.binary()), pa.array([counts[lo:hi].tobytes() for lo, hi in runs], pa.binary()),
+            ], names=["at", "shard", "keys", "counts"])
+
+    def often(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, own in group.groupby("shard"):
+            key = np.concatenate([np.frombuffer(x, np.uint64) for x in own["keys"]])
+            c = np.concatenate([np.frombuffer(x, np.uint32) for x in own["counts"]])
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            total = np.add.reduceat(c[order].astype(np.int64), first)
+            found.append(key[first][total * shards >= support])
+        return pd.DataFrame({"key": np.unique(np.concatenate(found)).view(np.int64)})
+
+    own = _texts(docs).mapInArrow(count, "at long, shard int, keys binary, counts binary")
+    return own.groupBy("at").applyInPandas(often, "key long")
 
 
 def bitmap_of(keys: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -176,21 +204,23 @@ def count_phrases(docs: DataFrame, shards: int = SHARDS, support: int = SUPPORT,
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(shard_candidates(docs, shards, support), bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, held, known, total = _Counter(), bitmap.value, [], defaultdict(int)
+        counter, held, total = _Counter(), bitmap.value, defaultdict(int)
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("k", pa.int32()), ("f", pa.int64())])
         for lang, phrases, counts in _flushes(batches, counter):
-            if phrases.size:
-                ids, words = _ids(phrases), counter.words()
-                total[lang] += int(counts[(ids[:, 1:] == 0).all(axis=1)].sum())
-                slot = _hashes(lang, ids, words, known) % np.uint64(bits)
-                kept = (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                size = (ids[kept] > 0).sum(axis=1)
-                text = [b" ".join([words[i] for i in line[:k]]) for line, k in zip(ids[kept].tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(text), pa.string()), pa.array(text, pa.binary()), pa.array(size.astype(np.int32)),
-                    pa.array(counts[kept].astype(np.int64)),
-                ], schema=schema)
-            known.clear()
+            ids, word = _ids(phrases), pa.array(counter.words(), pa.binary())
+            total[lang] += int(counts[(ids[:, 1:] == 0).all(axis=1)].sum())
+            slot = counter.hashes(lang, ids) % np.uint64(bits)
+            kept = (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            ids, c = ids[kept], counts[kept]
+            size = (ids > 0).sum(axis=1)
+            for k in range(1, MOST_WORDS + 1):
+                own = size == k
+                parts = [word.take(pa.array(ids[own, i])) for i in range(k)]
+                text = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
+                n = len(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * n, pa.string()), text, pa.array(np.full(n, k, np.int32)), pa.array(c[own].astype(np.int64))], schema=schema
+                )
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, f.type) for x, f in zip([list(total), [None] * len(total), [0] * len(total), list(total.values())], schema)], schema=schema
         )
