@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\x20\\x09]+``. A phrase is
 one to ``MOST_WORDS`` words in a row inside a piece.
 
-1. The corpus is dealt into ``SHARDS`` shards, by task. Every phrase of a shard is counted in it, by 64-bit hash of language and
+1. The corpus is dealt into ``SHARDS`` shards, by task. Every phrase of a shard is counted in it, by a hash of language and
    phrase: tasks count what they read, and their counts meet by ranges of the hash. A phrase seen ``SUPPORT`` times has at least ``SUPPORT / SHARDS``
    occurrences in some shard, so what no shard has that often is out. Two phrases of one hash are counted together,
    which can only let more of them through.
@@ -48,11 +48,13 @@ NESTED = 50
 TOP = 2000
 SCALE = 1_000_000
 #: Word occurrences counted together in a task.
-HELD = 3 << 19
+HELD = 1 << 19
 #: Words numbered in a task before it starts anew; with HELD more of them numbers stay below 21 bits.
 KNOWN_WORDS = 1 << 19
 #: Bytes of text whose phrases are added up at one place.
 RANGE_BYTES = 1 << 23
+#: Bits of a phrase's hash.
+KEY_BITS = 48
 HOT_PARTS = 10_000
 SLICES = 64
 
@@ -116,14 +118,14 @@ class _Counter:
             self._renumber()
 
     def hashes(self, lang: str, ids: np.ndarray) -> np.ndarray:
-        """64-bit hashes of language and phrase."""
+        """Hashes of language and phrase, ``KEY_BITS`` long."""
         new = [_hash(w) for w in self.words()[len(self.hashed):]]
         self.hashed = np.append(self.hashed, np.array(new, np.uint64))
         out = np.full(len(ids), _hash(b"lang " + lang.encode()), np.uint64)
         for k in range(ids.shape[1]):
             met = np.flatnonzero(ids[:, k])
             out[met] = mix64(out[met] * np.uint64(0x9E3779B97F4A7C15) + self.hashed[ids[met, k]])
-        return out
+        return out >> np.uint64(64 - KEY_BITS)
 
 
 def _ids(phrases: np.ndarray) -> np.ndarray:
@@ -135,6 +137,17 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first and the steps to the next, in 32 bits if they fit."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return keys[:1].tobytes() + (steps[1:].astype(np.uint32) if (steps[1:] < 1 << 32).all() else steps[1:]).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint32 if len(data) == 4 * n + 4 else np.uint64, offset=8)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), steps]), dtype=np.uint64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), blob("text").alias("text"))
 
@@ -153,27 +166,28 @@ def shard_candidates(docs: DataFrame, shards: int = SHARDS, support: int = SUPPO
     hold about ``RANGE_BYTES / 2`` phrases of the corpus, and is added up at one place.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, (size // RANGE_BYTES).bit_length())
+    bits, small = (size // RANGE_BYTES).bit_length(), np.min_scalar_type(support)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, shard = _Counter(), TaskContext.get().partitionId() % shards
         for lang, phrases, counts in _flushes(batches, counter):
             key = counter.hashes(lang, _ids(phrases))
             order = np.argsort(key)
-            key, counts = key[order], counts[order].astype(np.uint32)
-            at = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(key.size, np.int64)
+            # A count above the support says no more than the support.
+            key, counts = key[order], np.minimum(counts[order], support).astype(small)
+            at = (key >> np.uint64(KEY_BITS - bits)).astype(np.int64)
             edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)) if key.size else np.zeros(1, np.int64)
             runs = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([
                 pa.array(at[edges[:-1]]), pa.array(np.full(len(runs), shard, np.int32)),
-                pa.array([key[lo:hi].tobytes() for lo, hi in runs], pa.binary()), pa.array([counts[lo:hi].tobytes() for lo, hi in runs], pa.binary()),
+                pa.array([_packed(key[lo:hi]) for lo, hi in runs], pa.binary()), pa.array([counts[lo:hi].tobytes() for lo, hi in runs], pa.binary()),
             ], names=["at", "shard", "keys", "counts"])
 
     def often(group: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, own in group.groupby("shard"):
-            key = np.concatenate([np.frombuffer(x, np.uint64) for x in own["keys"]])
-            c = np.concatenate([np.frombuffer(x, np.uint32) for x in own["counts"]])
+            c = np.frombuffer(b"".join(own["counts"]), small)
+            key = np.concatenate([_unpacked(x, len(n) // small.itemsize) for x, n in zip(own["keys"], own["counts"], strict=True)])
             order = np.argsort(key)
             key = key[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
