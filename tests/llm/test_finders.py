@@ -165,6 +165,33 @@ def test_links_of_a_group_larger_than_a_shard_are_all_counted(spark, monkeypatch
     assert [got[i]["component_id"] for i in range(700)] == [want[i] for i in range(700)]
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-9])
+def test_scaled_copies_beyond_a_shard_end_and_link(spark, monkeypatch, noise):
+    monkeypatch.setattr(embed_dup, "SHARD", 60)
+    rng = np.random.default_rng(4)
+    x = np.outer(np.arange(1, 301), np.eye(8)[0]) + rng.normal(size=(300, 8)) * noise
+    x = np.concatenate([x, rng.normal(size=(20, 8))])
+    schema = "vec_id long, embedding array<double>, label int, rep long, cluster long, home boolean, size long"
+    rows = [(None if i == 5 else i, [float(c) for c in v], 3, 1, 2, True, 9) for i, v in enumerate(x)]
+    got = embed_dup.find(spark.createDataFrame(rows, schema).repartition(4)).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = ((u @ u.T >= embed_dup.LINK) & ~np.eye(len(x), dtype=bool)).sum(1)
+    assert len(got) == 320 and {r["vec_id"]: r["n_links"] for r in got} == {None if i == 5 else i: n for i, n in enumerate(true)}
+    assert all(r["component_id"] == 0 for r in got if r["vec_id"] is None or r["vec_id"] < 300)
+
+
+def test_a_split_that_keeps_all_rows_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(embed_dup, "SHARD", 60)
+    monkeypatch.setattr(embed_dup, "STUCK", -1.0)  # every second split counts as one
+    rng = np.random.default_rng(5)
+    x = vectors(rng, 400)
+    got = embed_dup.find(spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = ((u @ u.T >= embed_dup.LINK) & ~np.eye(len(x), dtype=bool)).sum(1)
+    found = np.array([n for _, n in sorted((r["vec_id"], r["n_links"]) for r in got)])
+    assert (found <= true).all() and found.sum() >= 0.95 * true.sum()
+
+
 def test_robust_prune_drops_covered_neighbours():
     x = np.array([[1, 0], [0.999, 0.0447], [0.995, 0.0999], [0, 1.0]], np.float32)
     (near,) = embed_dup.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 0]]), degree=3)

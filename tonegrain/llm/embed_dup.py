@@ -3,11 +3,12 @@
 Vectors are compared only inside a label (and a dimension) by cosine in double precision.
 Equal vectors are one class. The classes of a label are clustered until a shard holds at
 most ``SHARD`` of them; every class goes to its nearest centre, its home, and to the
-``OVERLAP - 1`` next ones. Centres are at most ``CENTRES`` rows per split, those of smallest hash.
+``OVERLAP - 1`` next ones; centres as near as each other share rows by hash, and a part that a split
+hardly made smaller is dealt out by hash, each of its rows to be compared to all of it. Centres are at most ``CENTRES`` rows per split, those of smallest hash.
 
 1. Each shard builds a flat graph: a row's nearest rows and some far ones are pruned to
    ``DEGREE`` neighbours by the robust rule (a neighbour is dropped if one already taken is
-   ``ALPHA`` times closer to it than the row is).
+   ``ALPHA`` times closer to it than the row is). Rows that are the same but for rounding are linked in rings.
 2. The adjacency lists a row got in its shards are united.
 3. In its home shard every row searches greedily from the medoids with a beam of ``BEAM``, then
    expands: the neighbours of every row found in range, or nearly, are visited until none is new.
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegrain.llm.common import stage
+from tonegrain.llm.common import mix64, stage
 from tonegrain.llm.graph import components
 
 LINK = 0.98
@@ -44,6 +45,10 @@ DEGREE, POOL, FAR, ALPHA = 24, 48, 8, 1.2
 BEAM, ENTRIES, SLACK = 32, 8, 0.04
 CHUNK = 512
 VISITORS = 1024
+#: Rows this close are the same but for rounding.
+TIGHT = 1e-6
+#: A part of a split that keeps more than this share of the rows is dealt out by hash.
+STUCK = 0.9
 FOUND = "rep long, group long, n long, to array<long>"
 #: Rows whose links are counted by brute force.
 AUDITED = 64
@@ -78,27 +83,35 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _nearest(count: int) -> callable:
     def run(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-        names = ["cluster", "rep", "part", "home"]
+        names = ["cluster", "rep", "part", "home", "was"]
         if rows.empty or centres.empty:
             return pd.DataFrame({c: [] for c in names})
         centres = centres.sort_values("part")
-        cos = _unit(rows["embedding"]) @ _unit(centres["centre"]).T
+        cos = np.round(_unit(rows["embedding"]) @ _unit(centres["centre"]).T, 6)
         k = min(count, len(centres))
-        best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+        # Rows as near to many centres are dealt out among them by row and centre.
+        with np.errstate(over="ignore"):
+            tie = mix64(rows["rep"].to_numpy().astype(np.uint64)[:, None] * np.uint64(31) + centres["part"].to_numpy().astype(np.uint64))
+        best = np.lexsort((tie, -cos), axis=1)[:, :k]
         return pd.DataFrame({
             "cluster": rows["cluster"].repeat(k).to_numpy(),
             "rep": rows["rep"].repeat(k).to_numpy(),
             "part": centres["part"].to_numpy()[best].ravel(),
             "home": (rows["home"].to_numpy()[:, None] & (np.arange(k) == 0)).ravel(),
+            "was": rows["size"].repeat(k).to_numpy(),
         })
 
     return run
 
 
-def shards_of(classes: DataFrame) -> DataFrame:
-    """``(cluster, rep, home)``: the shards of every class, one of them its home."""
-    seat = classes.select(F.xxhash64("label", "dim").alias("cluster"), "rep", F.lit(True).alias("home"))
-    done = None
+def shards_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(cluster, rep, home)``: the shards of every class, one of them its home; and visits that are due at any rate.
+
+    A cluster that a split hardly made smaller is dealt into shards by hash; as those say nothing
+    about who is near, each of its rows is due a visit (``rep, cluster``) to all of them.
+    """
+    seat = classes.select(F.xxhash64("label", "dim").alias("cluster"), "rep", F.lit(True).alias("home"), F.lit(None).cast("long").alias("was"))
+    done = due = None
     while True:
         sizes = seat.groupBy("cluster").agg(F.count("*").alias("size"))
         seat = stage(seat.join(sizes, "cluster"), "seats")
@@ -106,7 +119,18 @@ def shards_of(classes: DataFrame) -> DataFrame:
         done = fits if done is None else done.union(fits)
         large = seat.filter(F.col("size") > SHARD)
         if large.isEmpty():
-            return done
+            return done, due
+        stuck = F.coalesce(F.col("size") > F.col("was") * STUCK, F.lit(False))
+        deals = F.ceil(F.col("size") * 2 / SHARD)
+        dealt = large.filter(stuck).withColumn("deals", deals).withColumn("deal", F.pmod(F.xxhash64(F.lit(29), "rep"), F.col("deals")))
+        done = done.union(dealt.select(F.xxhash64("cluster", "deal").alias("cluster"), "rep", "home"))
+        visits = (
+            dealt.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+            .filter(~(F.col("home") & (F.col("to") == F.col("deal"))))
+            .select("rep", F.xxhash64("cluster", "to").alias("cluster"))
+        )
+        due = visits if due is None else due.union(visits)
+        large = large.filter(~stuck)
         # About half a shard per centre, as every row is seated twice.
         parts = F.least(F.ceil(F.col("size") * 2 * OVERLAP / SHARD), F.lit(CENTRES))
         order = Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(11), "cluster", "rep"), "rep")
@@ -119,14 +143,14 @@ def shards_of(classes: DataFrame) -> DataFrame:
             F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("at"),
         )
         moved = (
-            rows.select("cluster", "slice", "rep", "home", "embedding").groupBy("cluster", "slice")
+            rows.select("cluster", "slice", "rep", "home", "size", "embedding").groupBy("cluster", "slice")
             .cogroup(centres.groupBy("near", "at"))
-            .applyInPandas(_nearest(OVERLAP), "cluster long, rep long, part long, home boolean")
+            .applyInPandas(_nearest(OVERLAP), "cluster long, rep long, part long, home boolean, was long")
         )
         # A class may come to a part by two ways; it keeps its home there.
         seat = (
-            moved.select(F.xxhash64("cluster", "part").alias("cluster"), "rep", "home")
-            .groupBy("cluster", "rep").agg(F.bool_or("home").alias("home"))
+            moved.select(F.xxhash64("cluster", "part").alias("cluster"), "rep", "home", "was")
+            .groupBy("cluster", "rep").agg(F.bool_or("home").alias("home"), F.max("was").alias("was"))
         )
 
 
@@ -148,21 +172,41 @@ def robust_prune(x: np.ndarray, own: np.ndarray, pool: np.ndarray, degree: int =
     return [np.unique(p[t]) for p, t in zip(pool, taken, strict=True)]
 
 
+def tight_links(x: np.ndarray, tight: np.ndarray) -> dict[int, np.ndarray]:
+    """Links between rows of ``tight`` that are the same but for rounding, which the robust rule would thin out to nothing.
+
+    Rows within ``TIGHT`` of a leader, in a ring, are linked to those 1, 2, 4, ... places on and back.
+    """
+    out: dict[int, np.ndarray] = {}
+    while tight.size:
+        near = x[tight] @ x[tight[0]] >= 1 - TIGHT
+        near[0] = True
+        ring, tight = tight[near], tight[~near]
+        steps = 1 << np.arange(max(0, (ring.size - 1).bit_length()))
+        for i, row in enumerate(ring.tolist()):
+            out[row] = ring[np.concatenate([i + steps, i - steps]) % ring.size]
+    return out
+
+
 def _build(group: pd.DataFrame) -> pd.DataFrame:
     """Adjacency lists of a shard, and the homes, other than their own, of the rows close to each row."""
     group = group.sort_values("rep")
     rep, at, x = group["rep"].to_numpy(), group["at"].to_numpy(), _unit(group["embedding"]).astype(np.float32)
-    n, k, lists, to = len(rep), min(POOL, len(rep)), [], []
+    n, k, lists, to, tight = len(rep), min(POOL, len(rep)), [], [], []
     rng = np.random.default_rng(n)
     for lo in range(0, n, CHUNK):
         own = np.arange(lo, min(lo + CHUNK, n))
         cos = x[own] @ x.T
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        close = np.take_along_axis(cos, near, 1) >= LINK - SLACK
+        closeness = np.take_along_axis(cos, near, 1)
+        close = closeness >= LINK - SLACK
+        tight.append(own[(closeness >= 1 - TIGHT).sum(axis=1) > 1])
         to += [np.setdiff1d(at[p[c]], at[i]).tolist() for i, p, c in zip(own, near, close, strict=True)]
         pool = np.concatenate([near, rng.integers(0, n, (len(own), FAR))], axis=1)
-        lists += [rep[p].tolist() for p in robust_prune(x, own, pool)]
-    return pd.DataFrame({"rep": rep, "near": lists, "to": to})
+        lists += robust_prune(x, own, pool)
+    more = tight_links(x, np.concatenate(tight))
+    near = [rep[np.union1d(p, more[i]) if i in more else p].tolist() for i, p in enumerate(lists)]
+    return pd.DataFrame({"rep": rep, "near": near, "to": to})
 
 
 def greedy_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -336,7 +380,7 @@ def find(vectors: DataFrame) -> DataFrame:
     ``first`` marks one row of each component, one with its smallest id.
     """
     placed, classes = classes_of(vectors)
-    seats = shards_of(classes)
+    seats, due = shards_of(classes)
     homes = seats.filter("home").select("rep", F.col("cluster").alias("at"))
     full = stage(
         seats.select("cluster", "rep").join(homes, "rep").join(classes.select("rep", "copies", "embedding"), "rep"), "shards"
@@ -349,7 +393,9 @@ def find(vectors: DataFrame) -> DataFrame:
     searched, done = found, None
     while True:
         # Every class goes to a shard once.
-        front = found.select("rep", F.explode("to").alias("cluster")).distinct()
+        front = found.select("rep", F.explode("to").alias("cluster"))
+        front = (front if due is None else front.union(due)).distinct()
+        due = None
         front = stage(front if done is None else front.join(done, ["rep", "cluster"], "left_anti"), "visits")
         if front.isEmpty():
             break
