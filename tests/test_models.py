@@ -1,11 +1,19 @@
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import pytest
-from rows import rows_of
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
+from rows import rows_of
 
+from tonegrain.functions.text import terms
 from tonegrain.operators import classifier, encoder, metrics, registry
+from tonegrain.operators.features import fit_vocabulary
+from tonegrain.operators.metrics import macro_f1
+from tonegrain.operators.split import stratified_kfold
 from tonegrain.plans import training
 from tonegrain.schema import CLASSES, NEWS_RAW
 from tonegrain.sources.staging import stage
@@ -100,6 +108,10 @@ def test_training_learns_saves_and_serves(spark, data, tmp_path):
     for r in scored.limit(5).collect():
         assert sum(r["probabilities"].values()) == pytest.approx(1)
         assert max(r["probabilities"], key=r["probabilities"].get) == r["prediction"]
+    kept = reg.read("cv_results").orderBy("candidate_id").collect()
+    assert [dict(r["params"]) for r in kept] == [{n: str(v) for n, v in c.items()} for c in GRID]
+    assert {r["run_id"] for r in kept} == {reg.read("runs").first()["run_id"]} and kept[0]["rank"] >= 1
+    assert reg.read("runs").first()["experiment"] == "Default"
     meta = reg.meta("linear").first()
     assert (meta["alias"], meta["version"]) == ("production", 1)
     # an equal score does not take over
@@ -192,3 +204,74 @@ def test_vectors_are_staged_for_training(data):
     vectors = classifier.fit_features(data, 1, 2, 0.9).transform(data).select("class", "features")
     model = classifier.train_logreg(stage(vectors, "vectors"), 5)
     assert model.transform(vectors).filter("class != prediction").count() == 0
+
+
+def test_grid_features_equal_separate_fits(spark, data, monkeypatch):
+    train, k = data.filter("split = 'train'"), 3
+    splits = []
+    monkeypatch.setattr(classifier, "terms", lambda *a: splits.append(a) or terms(*a))
+    grid = classifier.GridFeatures(train, GRID + [{**GRID[0], "min_df": 70, "max_df": 0.2}], k, 5)
+    assert len(splits) == 1  # the texts are split into terms once
+    folded = stage(stratified_kfold(train.select("row_id", "input_text", "class"), "class", "row_id", k, 5), "folds")
+    for n, least, most in ((1, 2, 0.9), (2, 2, 0.9), (2, 5, 0.3)):
+        for fold in range(k):
+            part = folded.filter(F.col("fold") != fold)
+            vocab = dict(rows_of(fit_vocabulary(part, n, least, most), "term", "idf"))
+            names = grid.vectors.select(f"counts{n}").first()[0].size
+            weights = grid.idf(fold, n, least, most)
+            assert names == len(weights) and sorted(weights[weights > 0]) == pytest.approx(sorted(vocab.values()))
+            model = classifier.fit_features(part, n, least, most)
+            for inside, own in zip((False, True), grid.vectors_of(fold, n, least, most), strict=True):
+                rows = folded.filter((F.col("fold") == fold) == inside)
+                want = sorted((r["class"], sorted(round(x, 9) for x in r["features"].toArray() if x)) for r in model.transform(rows).collect())
+                got = sorted((r["class"], sorted(round(x, 9) for x in r["features"].toArray() if x)) for r in own.collect())
+                assert got == want
+    assert not grid.idf(0, 1, 70, 0.2).any()  # a setting that knows no term
+
+
+def test_cross_validation_equals_separate_fits(data):
+    train, k = data.filter("split = 'train'"), 2
+    got = {(r["candidate_id"], r["fold"]): r["score"] for r in classifier.cross_validate(train, GRID, k, 5).collect()}
+    folded = stage(stratified_kfold(train.select("row_id", "input_text", "class"), "class", "row_id", k, 5), "folds")
+    for i, c in enumerate(GRID):
+        for fold in range(k):
+            model = classifier.fit_classifier(folded.filter(F.col("fold") != fold), **c)
+            want = macro_f1(classifier.predict(model, folded.filter(F.col("fold") == fold))).first()["macro_f1"]
+            assert got[i, fold] == pytest.approx(want)
+
+
+def side_by_side(*jobs):
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(lambda job: job(), jobs, chunksize=1)
+
+
+def test_writers_of_one_name_get_versions_of_their_own(spark, tmp_path):
+    root = str(tmp_path / "registry")
+    note = PipelineModel([SQLTransformer(statement="SELECT * FROM __THIS__")])
+
+    def save(i):
+        return registry.Registry(spark, root).save_model("a/b", note, f"r{i}", i / 10, {})
+
+    assert sorted(side_by_side(*[lambda i=i: save(i) for i in range(3)])) == [1, 2, 3]
+    reg = registry.Registry(spark, root)
+    assert rows_of(reg.read("model_versions"), "version") == [(1,), (2,), (3,)]
+    assert len({r[0] for r in rows_of(reg.read("model_versions"), "path")}) == 3
+    assert not reg._claim(f"{root}/claims/version/a%2Fb/2") and save(9) == 4
+
+
+def test_promotions_at_one_time_are_all_kept(spark, tmp_path):
+    root = str(tmp_path / "registry")
+    note, reg = PipelineModel([SQLTransformer(statement="SELECT * FROM __THIS__")]), registry.Registry(spark, root)
+    for name in "abc":
+        reg.save_model(name, note, "r", 0.5, {})
+    side_by_side(*[lambda n=n: registry.Registry(spark, root).promote(n, 1) for n in "abc"])
+    assert rows_of(reg.read("aliases")) == [(n, "production", 1) for n in "abc"]
+
+
+def test_a_lost_writer_of_aliases_holds_nobody_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "PATIENCE", 0.5)
+    note, reg = PipelineModel([SQLTransformer(statement="SELECT * FROM __THIS__")]), registry.Registry(spark, str(tmp_path / "registry"))
+    reg.save_model("a", note, "r", 0.5, {})
+    assert reg._claim(f"{reg.root}/claims/aliases/1")  # claimed, never written
+    reg.promote("a", 1)
+    assert rows_of(reg.read("aliases")) == [("a", "production", 1)]

@@ -6,10 +6,12 @@ import json
 import pytest
 from rows import rows_of
 from pyspark.errors import StreamingQueryException
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
-from tonegrain.operators import analytics, clean, dedup, requests
-from tonegrain.schema import NEWS_RAW
+from tonegrain.operators import analytics, classifier, clean, dedup, registry, requests, serving
+from tonegrain.schema import CLASSES, NEWS_RAW
 from tonegrain.sources import requests as request_source
 from tonegrain.streaming import streams
 
@@ -68,6 +70,84 @@ def test_requests_of_one_id_stay_apart_and_none_is_rejected(make):
     assert rows_of(requests.request_validate(make(rows, REQUEST)), "request_id", "status") == [(None, 422)]
 
 
+BODIES = [
+    ('{"request_id":"1","input_text":7}', "1", request_source.TEXT_TYPE),
+    ('{"request_id":"2","input_texts":["a",5]}', "2", request_source.TEXTS_TYPE),
+    ('{"request_id":"3","input_texts":"a"}', "3", request_source.TEXTS_TYPE),
+    ('{"request_id":"4","input_text":["a"]}', "4", request_source.TEXT_TYPE),
+    ('{"request_id":"5","input_text":{"a":1}}', "5", request_source.TEXT_TYPE),
+    ('["a"]', None, request_source.NOT_AN_OBJECT),
+    ("null", None, request_source.NOT_AN_OBJECT),
+    ('{"request_id":"6","input_text":"a"', None, "body is not valid JSON"),
+    ('{"request_id":"7","input_text":""}', "7", "input_text must have at least 1 character"),
+    ('{"input_text":"a"}', None, "request_id is missing"),
+    ('{"request_id":"8","input_text":true}', "8", request_source.TEXT_TYPE),
+    ('{"request_id":"9","input_texts":[["a"]]}', "9", request_source.TEXTS_TYPE),
+]
+SOUND = ['{"request_id":10,"input_text":" 7 ","more":{"x":[1]}}', '{"request_id":"11","input_text":null,"input_texts":["a",null,"b"]}', "", "  "]
+
+
+def test_json_types_are_seen_before_the_cast(spark, tmp_path):
+    write_json(tmp_path / "in", [[b for b, *_ in BODIES], SOUND])
+    got = request_source.read_requests(spark, str(tmp_path / "in"))
+    items, errors = requests.clean_requests(got)
+    assert rows_of(errors, "request_id", "detail") == sorted(((i, d) for _, i, d in BODIES), key=repr)
+    assert {r[0] for r in rows_of(errors, "status")} == {422}
+    assert rows_of(items) == [("10", 0, "7"), ("11", 0, "a"), ("11", 1, "b")]
+
+
+class Promoting(serving.ProductionModel):
+    """Promotes the second version once the first batch has been answered."""
+
+    batches = 0
+
+    def refresh(self):
+        self.batches += 1
+        if self.batches == 2:
+            self.registry.promote(self.name, 2)
+        return super().refresh()
+
+
+def test_a_promotion_between_two_batches_counts_from_the_next(spark, tmp_path):
+    train = spark.createDataFrame([(i, f"{c} word{i % 3} text", c) for i, c in enumerate(CLASSES * 6)], "row_id long, input_text string, class string")
+    model = classifier.fit_classifier(train, 1, 1, 1.0, 3)
+    reg = registry.Registry(spark, str(tmp_path / "registry"))
+    lines = [[json.dumps({"request_id": f"{f}-{i}", "input_texts": ["positive", "negative text"][: 1 + i % 2]}) for i in range(4)] for f in range(3)]
+    write_json(tmp_path / "in", lines)
+    out, production = str(tmp_path / "out"), Promoting(reg, "m")
+
+    def run(to):
+        stream = request_source.stream_requests(spark, str(tmp_path / "in"), max_files=1)
+        streams.stream_serve(stream, production, to, f"{to}/checkpoint").awaitTermination()
+
+    envelopes, errors = serving.serve(request_source.read_requests(spark, str(tmp_path / "in")), serving.ProductionModel(reg, "m"))
+    assert envelopes is None and {r[0] for r in rows_of(errors, "status")} == {503} and errors.count() == 12
+    for score in (0.1, 0.2):
+        reg.save_model("m", model, f"run{score}", score, {})
+    reg.promote("m", 1)
+    run(out)
+    got = spark.read.parquet(f"{out}/responses").select("batch_id", "request_id", F.col("meta")["version"].alias("v"), F.col("meta")["run_id"].alias("run"), "model_uri", "predictions", "latency_ms")
+    by_batch = {r["batch_id"]: (r["v"], r["run"]) for r in got.collect()}
+    assert by_batch == {0: ("1", "run0.1"), 1: ("2", "run0.2"), 2: ("2", "run0.2")} and got.count() == 12
+    for r in got.collect():
+        assert r["model_uri"] == "models:/m@production" and r["latency_ms"] >= 0
+        assert [p["pos"] for p in r["predictions"]] == list(range(1 + int(r["request_id"][-1]) % 2))
+        assert r["predictions"][0]["sentiment"] == "positive" and sum(r["predictions"][0]["probabilities"].values()) == pytest.approx(1)
+    assert spark.read.parquet(f"{out}/rejects").count() == 0
+
+
+def test_a_version_is_loaded_once(spark, tmp_path, monkeypatch):
+    reg = registry.Registry(spark, str(tmp_path / "registry"))
+    note = PipelineModel([SQLTransformer(statement="SELECT * FROM __THIS__")])
+    for _ in range(2):
+        reg.save_model("m", note, "r", 0.5, {})
+    reg.promote("m", 1)
+    loads = []
+    monkeypatch.setattr(serving.PipelineModel, "load", lambda path: loads.append(path) or note)
+    production = serving.ProductionModel(reg, "m")
+    assert [production.refresh().version for _ in range(3)] == [1, 1, 1] and len(loads) == 1
+
+
 def broken_storage(texts):
     raise OSError("disk full")
 

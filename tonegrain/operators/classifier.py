@@ -10,10 +10,12 @@ import itertools
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IndexToString,
     Normalizer,
@@ -25,7 +27,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonegrain.functions.text import terms_sql
+from tonegrain.functions.text import terms, terms_sql
 from tonegrain.operators.features import fit_vocabulary
 from tonegrain.operators.metrics import macro_f1
 from tonegrain.operators.split import check_fold_sizes, stratified_kfold
@@ -163,33 +165,83 @@ def model_scorer(model: PipelineModel):
     return score
 
 
+def fold_frequencies(folded: DataFrame, k: int) -> DataFrame:
+    """``term, words, f0 .. f<k-1>``: documents of each fold that hold a term.
+
+    ``folded`` has the ``terms`` of every row. A term's frequency outside a fold is its total less that of the fold,
+    so one pass serves the training parts of all folds.
+    """
+    each = folded.select("fold", F.explode(F.array_distinct("terms")).alias("term"))
+    counts = [F.count(F.when(F.col("fold") == i, True)).alias(f"f{i}") for i in range(k)]
+    words = F.regexp_count("term", F.lit(" ")) + 1
+    return each.groupBy("term").agg(*counts).withColumn("words", words)
+
+
+class GridFeatures:
+    """Features of all settings of a grid on the training parts of all folds, from one pass over the texts.
+
+    Terms are split once, at the longest n-gram, and staged with the folds. The frequencies by fold give every
+    vocabulary; the count vectors are made once for each ``ngram_max``, over all terms that any
+    setting knows. Those of one setting and fold differ in their weights alone, which are
+    0 for terms they don't know.
+    """
+
+    def __init__(self, df: DataFrame, grid: Sequence[dict], k: int, seed: int) -> None:
+        longest = max(c["ngram_max"] for c in grid)
+        own = df.select("row_id", "class", terms("input_text", longest).alias("terms"))
+        folded = stage(stratified_kfold(own, "class", "row_id", k, seed).drop("row_id"), "folds")
+        rows = dict(folded.groupBy("fold").count().toPandas().itertuples(index=False))
+        self.trained = [sum(rows.values()) - rows.get(i, 0) for i in range(k)]
+        total = sum((F.col(f"f{i}") for i in range(k)), F.lit(0))
+        least = min(c["min_df"] for c in grid)
+        # Known to some setting: often enough outside the fold that has fewest of it.
+        known = total - F.least(*[F.col(f"f{i}") for i in range(k)]) if k > 1 else total
+        lines = fold_frequencies(folded, k).filter(known >= least).orderBy("term").toPandas()
+        self.by_fold = lines[[f"f{i}" for i in range(k)]].to_numpy()
+        self.total = self.by_fold.sum(axis=1)
+        self.index, vectors = {}, folded
+        for n in sorted({c["ngram_max"] for c in grid}):
+            self.index[n] = np.flatnonzero(lines["words"].to_numpy() <= n)
+            vocabulary = lines["term"].iloc[self.index[n]].tolist() or [""]
+            counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol=f"counts{n}")
+            vectors = counter.transform(vectors)
+        self.vectors = stage(vectors.drop("terms"), "counts")
+
+    def idf(self, fold: int, ngram_max: int, min_df: int, max_df: float) -> np.ndarray:
+        """Weights of the terms by the rows outside a fold; 0 for those the setting leaves out."""
+        df, n = (self.total - self.by_fold[:, fold])[self.index[ngram_max]], self.trained[fold]
+        weight = np.where((df >= min_df) & (df <= max_df * n), np.log((1 + n) / (1 + df)) + 1, 0.0)
+        return weight if weight.size else np.zeros(1)
+
+    def vectors_of(self, fold: int, ngram_max: int, min_df: int, max_df: float) -> tuple[DataFrame, DataFrame]:
+        """``class, features`` of the rows outside and inside a fold."""
+        scale = ElementwiseProduct(
+            inputCol=f"counts{ngram_max}", outputCol="weighted", scalingVec=DenseVector(self.idf(fold, ngram_max, min_df, max_df))
+        )
+        norm = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
+        features = norm.transform(scale.transform(self.vectors))
+        return tuple(features.filter(part).select("class", "features") for part in (F.col("fold") != fold, F.col("fold") == fold))
+
+
 def cross_validate(
     df: DataFrame, grid: Sequence[dict], k: int = FOLDS, seed: int = 0, parallelism: int = 1
 ) -> DataFrame:
     """Macro F1 of every candidate on every fold (an action).
 
-    The vocabulary is fitted anew on the training part of each fold. Candidates
-    that differ in ``max_iter`` only share their staged vectors, and the fit if it
+    The vocabulary of a candidate is that of the training part of each fold; :class:`GridFeatures` finds
+    all of them in one pass. Candidates that differ in ``max_iter`` only share the fit if it
     converges within the smaller limit. Small classes raise a warning. ``parallelism``
     fits run side by side, each a distributed job.
     """
     check_fold_sizes(df, "class", k)
-    folded = stage(
-        stratified_kfold(df.select("row_id", "input_text", "class"), "class", "row_id", k, seed),
-        "folds",
-    )
+    features = GridFeatures(df, grid, k, seed)
     settings: dict[tuple, list[int]] = {}
     for i, c in enumerate(grid):
         settings.setdefault((c["ngram_max"], c["min_df"], c["max_df"]), []).append(i)
 
     def run(job: tuple[tuple, int]) -> list[tuple[int, int, float]]:
         setting, fold = job
-        train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        features = fit_features(train, *setting)
-        train_vectors, held_vectors = (
-            stage(features.transform(part).select("class", "features"), "vectors")
-            for part in (train, held)
-        )
+        train_vectors, held_vectors = features.vectors_of(fold, *setting)
         scores, score, done = [], None, False
         for i in sorted(settings[setting], key=lambda i: grid[i]["max_iter"]):
             # A fit that has converged is the fit of any larger limit as well.
@@ -208,6 +260,13 @@ def cross_validate(
     )
 
 
+def with_params(results: DataFrame, grid: Sequence[dict]) -> DataFrame:
+    """Adds ``params``, the setting of each candidate, to a table of results."""
+    lines = [(i, {name: str(v) for name, v in c.items()}) for i, c in enumerate(grid)]
+    table = results.sparkSession.createDataFrame(lines, "candidate_id bigint, params map<string,string>")
+    return results.join(F.broadcast(table), "candidate_id")  # a line per candidate
+
+
 def cv_results(scores: DataFrame) -> DataFrame:
     """Mean and deviation over the folds, and the rank of each candidate."""
     means = scores.groupBy("candidate_id").agg(

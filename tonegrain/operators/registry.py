@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import time
+import uuid
 from collections.abc import Mapping
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,12 +21,18 @@ from tonegrain.sources.staging import new_path
 # Fixed value: the alias the scoring jobs load.
 PRODUCTION = "production"
 
+#: Seconds a writer waits for another one's alias table.
+PATIENCE = 60.0
+
+EXPERIMENT = "Default"
+
 _STRING_MAP = T.MapType(T.StringType(), T.StringType())
 
 TABLES = {
     "runs": T.StructType(
         [
             T.StructField("run_id", T.StringType()),
+            T.StructField("experiment", T.StringType()),
             T.StructField("run_name", T.StringType()),
             T.StructField("logged_at", T.TimestampType()),
             T.StructField("params", _STRING_MAP),
@@ -38,6 +48,16 @@ TABLES = {
     "reports": T.StructType(
         [T.StructField("run_id", T.StringType()), T.StructField("report", T.StringType())]
     ),
+    "cv_results": T.StructType(
+        [
+            T.StructField("run_id", T.StringType()),
+            T.StructField("candidate_id", T.LongType()),
+            T.StructField("params", _STRING_MAP),
+            T.StructField("mean_score", T.DoubleType()),
+            T.StructField("std_score", T.DoubleType()),
+            T.StructField("rank", T.LongType()),
+        ]
+    ),
     "model_versions": T.StructType(
         [
             T.StructField("name", T.StringType()),
@@ -174,10 +194,11 @@ class Registry:
                 return self.spark.createDataFrame([], TABLES[name])
         elif not self._exists(path):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(path)
+        return self.spark.read.schema(TABLES[name]).option("recursiveFileLookup", "true").parquet(path)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.to(TABLES[name]).write.mode("append").parquet(f"{self.root}/{name}")
+        """Add rows in a folder of their own: writers of one folder would clear each other's unfinished files."""
+        rows.to(TABLES[name]).write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
 
     def log_run(
         self,
@@ -186,11 +207,14 @@ class Registry:
         params: Mapping[str, object],
         metrics: DataFrame,
         report: str | None = None,
+        experiment: str = EXPERIMENT,
+        search: DataFrame | None = None,
     ) -> None:
-        """Append a run, its metrics (``metric, value``) and its text report."""
+        """Append a run, its metrics (``metric, value``), its text report and its ``cv_results`` with ``params``."""
         text_params = {k: str(v) for k, v in params.items()}
         run = self.spark.range(1).select(
             F.lit(run_id).alias("run_id"),
+            F.lit(experiment).alias("experiment"),
             F.lit(name).alias("prefix"),
             F.current_timestamp().alias("logged_at"),
             F.from_json(F.lit(json.dumps(text_params)), _STRING_MAP).alias("params"),
@@ -199,6 +223,8 @@ class Registry:
         self.append(
             "metrics", metrics.select(F.lit(run_id).alias("run_id"), "metric", _no_nan("value").alias("value"))
         )
+        if search is not None:
+            self.append("cv_results", search.withColumns({"run_id": F.lit(run_id), "rank": F.col("rank").cast("long")}))
         if report is not None:
             self.append(
                 "reports",
@@ -215,12 +241,18 @@ class Registry:
         test_f1_score: float | None,
         signature: Mapping[str, str],
     ) -> int:
-        """Save a fitted pipeline as the next version of a name."""
+        """Save a fitted pipeline as the next version of a name.
+
+        The number is claimed before anything is written, so writers of one name, also in
+        other applications, never share one; a writer that fails leaves its number unused.
+        """
         if test_f1_score is not None and math.isnan(test_f1_score):
             raise ValueError("test_f1_score is NaN")
         known = self.read("model_versions").filter(F.col("name") == name)
         version = known.agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
-        path = f"{self.root}/models/{name}/v={version}"
+        while not self._claim(f"{self.root}/claims/version/{quote(name, safe='')}/{version}"):
+            version += 1
+        path = f"{self.root}/models/{quote(name, safe='')}/v={version}"
         model.write().overwrite().save(path)
         line = (name, version, run_id, path, json.dumps(signature), test_f1_score)
         self.append(
@@ -229,33 +261,59 @@ class Registry:
         return version
 
     def promote(self, name: str, version: int) -> None:
-        """Offer a version for production."""
+        """Offer a version for production.
+
+        The next generation of the alias table is claimed before it is derived from the newest one. If
+        another writer holds it, its result is waited for, up to ``PATIENCE`` seconds, and built upon; then
+        that writer counts as lost and the generation after its own is claimed.
+        """
+        waited, generation = 0.0, self._alias_generation() + 1
+        while not self._claim(f"{self.root}/claims/aliases/{generation}"):
+            newest = self._alias_generation()
+            if newest < generation and waited < PATIENCE:
+                time.sleep(0.2)
+                waited += 0.2
+            else:
+                waited, generation = 0.0, max(newest, generation) + 1
         versions = self.read("model_versions")
         candidate = versions.filter((F.col("name") == name) & (F.col("version") == version))
         after = promote(versions, self.read("aliases"), candidate)
-        generation = self._alias_generation() + 1
         after.to(TABLES["aliases"]).write.parquet(f"{self.root}/aliases/generation={generation}")
 
-    def production_path(self, name: str) -> str:
-        """Folder of the production model of a name."""
+    def production(self, name: str) -> Row:
+        """``version, run_id, path`` of the production model of a name."""
         found = (
             self.read("aliases")
             .filter((F.col("name") == name) & (F.col("alias") == PRODUCTION))
             .join(self.read("model_versions"), ["name", "version"])
-            .select("path")
+            .select("version", "run_id", "path")
             .first()
         )
         if found is None:
             raise LookupError(f"model {name!r} has no {PRODUCTION} version")
-        return found["path"]
+        return found
 
     def load_model(self, name: str) -> PipelineModel:
-        return PipelineModel.load(self.production_path(name))
+        return PipelineModel.load(self.production(name)["path"])
 
     def meta(self, name: str) -> DataFrame:
         names = self.spark.range(1).select(F.lit(name).alias("name"))
         return production_meta(names, self.read("aliases"), self.read("model_versions"))
 
+    def _claim(self, path: str) -> bool:
+        """Create an empty file; False if it is there, whoever made it."""
+        hadoop_path, fs = self._path(path)
+        fs.mkdirs(hadoop_path.getParent())
+        if fs.getScheme() == "file":  # there, Hadoop looks first and creates then
+            return self.spark.sparkContext._jvm.java.io.File(hadoop_path.toUri().getPath()).createNewFile()
+        try:
+            fs.create(hadoop_path, False).close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def _path(self, path: str):
         jvm = self.spark.sparkContext._jvm
         hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

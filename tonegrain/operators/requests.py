@@ -47,6 +47,8 @@ def _fault() -> Column:
 
 def _with_fault(df: DataFrame) -> DataFrame:
     fault = _fault()
+    if "_type_fault" in df.columns:
+        fault = F.coalesce("_type_fault", fault)
     if "_corrupt_record" in df.columns:
         fault = F.when(F.col("_corrupt_record").isNotNull(), "body is not valid JSON").otherwise(fault)
     return df.withColumn("_fault", fault)
@@ -55,7 +57,7 @@ def _with_fault(df: DataFrame) -> DataFrame:
 def request_validate(df: DataFrame) -> DataFrame:
     """Requests of the wrong shape: an empty ``input_text``, or no ``request_id``.
 
-    With a ``_corrupt_record`` column, unreadable JSON lines are listed as well.
+    With the columns of ``parse_requests``, unreadable bodies and fields of the wrong type are listed as well.
     """
     return _with_fault(df).filter("_fault is not null").select(
         "request_id",

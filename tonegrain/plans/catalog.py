@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonegrain.functions.text import terms
 from tonegrain.operators import (
     analytics,
     classifier,
@@ -26,6 +27,7 @@ from tonegrain.operators import (
     profile,
     registry,
     requests,
+    serving,
     split,
 )
 from tonegrain.plans import training
@@ -667,6 +669,69 @@ def score_requests(spark, sf_dir):
     return rounded(_flat_probabilities(scored.drop("request_no")))
 
 
+def _served(envelopes: DataFrame) -> DataFrame:
+    """A line per item of response envelopes, without what rests on the fit."""
+    sums = F.aggregate(F.map_values("item.probabilities"), F.lit(0.0), lambda a, x: a + x)
+    return envelopes.select("request_id", "model_uri", "meta", "latency_ms", F.explode("predictions").alias("item")).select(
+        "request_id", F.col("item.pos").alias("pos"), "model_uri",
+        F.col("meta")["name"].alias("name"), F.col("meta")["alias"].alias("alias"),
+        F.col("meta")["version"].cast("bigint").alias("version"), F.col("meta")["run_id"].alias("run_id"),
+        F.round(sums, 6).alias("probability_sum"), F.col("item.sentiment").isin(*CLASSES).alias("known"),
+        (F.col("latency_ms") >= 0).alias("timed"),
+    )
+
+
+def _two_versions(spark: SparkSession, sf_dir: str) -> registry.Registry:
+    """Two versions of a fitted model, the first one in production."""
+    train, _ = _split_documents(spark, sf_dir)
+    model, reg = _fitted(train), registry.Registry(spark)
+    for score in (0.5, 0.6):
+        reg.save_model("linear", model, f"run-{score}", score, {"input": "input_text string"})
+    reg.promote("linear", 1)
+    return reg
+
+
+@query
+def serve_requests(spark, sf_dir):
+    """All requests, scored by the model that production points at after a promotion."""
+    reg = _two_versions(spark, sf_dir)
+    reg.promote("linear", 2)
+    envelopes, _ = serving.serve(fixtures.load_requests(spark, sf_dir), serving.ProductionModel(reg, "linear"))
+    return _served(envelopes)
+
+
+@query
+def stream_serve(spark, sf_dir):
+    """Requests of even conversations, a promotion, then the others: each is answered by the version of its time."""
+    reg, path, out = _two_versions(spark, sf_dir), new_path(spark, "request-stream"), new_path(spark, "stream-serve")
+    reqs = fixtures.load_requests(spark, sf_dir)
+    even = F.split_part("request_id", F.lit("-"), F.lit(1)).cast("long") % 2 == 0
+    production = serving.ProductionModel(reg, "linear")
+    for part, version in ((even, 1), (~even, 2)):
+        reg.promote("linear", version)
+        reqs.filter(part).write.mode("append").json(path)
+        stream = request_source.stream_requests(spark, path)
+        streams.stream_serve(stream, production, out, f"{out}/checkpoint").awaitTermination()
+    return _served(spark.read.parquet(f"{out}/responses").drop("batch_id"))
+
+
+@query
+def request_types(spark, sf_dir):
+    """Bodies whose fields have other JSON types, or that are no JSON, among the sound ones."""
+    path = new_path(spark, "request-bodies")
+    fixtures.request_bodies(fixtures.table(spark, sf_dir, "conversations")).write.text(path)
+    return requests.clean_requests(request_source.read_requests(spark, path))[1]
+
+
+@query
+def fold_frequencies(spark, sf_dir):
+    """Document frequencies by fold, which give the vocabularies of all fits of the grid."""
+    documents = _documents(spark, sf_dir)
+    own = documents.select("row_id", "class", terms("input_text", 2).alias("terms"))
+    folded = split.stratified_kfold(own, "class", "row_id", classifier.FOLDS, SEED)
+    return classifier.fold_frequencies(stage(folded, "folds"), classifier.FOLDS).withColumn("words", F.col("words").cast("bigint"))
+
+
 # --- registry --------------------------------------------------------------
 
 

@@ -5,10 +5,11 @@ Written from the definitions, in plain SQL, without a look at how Spark does it.
 
 from __future__ import annotations
 
-from tonegrain.operators.classifier import candidates
+from tonegrain.operators.classifier import FOLDS, candidates
 from tonegrain.operators.requests import NO_TEXT_DETAIL
 from tonegrain.plans.catalog import INTERCEPTS, LEXICON, MODEL_URI, SEED
 from tonegrain.schema import CLASSES, NA_TOKENS
+from tonegrain.sources.requests import TEXT_TYPE, TEXTS_TYPE
 
 # --- shared relations ------------------------------------------------------
 
@@ -302,6 +303,15 @@ _SCORED_REQUESTS = _terms(
 )
 
 
+def _served(version: str) -> str:
+    return _requests(
+        f"""SELECT request_id, pos, 'models:/linear@production' AS model_uri, 'linear' AS name, 'production' AS alias,
+          CAST(version AS BIGINT) AS version, concat('run-0.', 4 + version) AS run_id,
+          CAST(1.0 AS DOUBLE) AS probability_sum, true AS known, true AS timed
+        FROM (SELECT request_id, pos, {version} AS version FROM items)"""
+    )
+
+
 def _word_count(kind: str, tokens: str) -> str:
     words = ", ".join(f"'{w}'" for w in LEXICON[kind])
     return f"len(list_filter({tokens}, lambda w: w IN ({words})))"
@@ -662,6 +672,19 @@ ORACLE: dict[str, str] = {
         """SELECT run_id, concat(name, ' ', strftime(date_trunc('second', logged_at), '%Y-%m-%d %H:%M:%S'))
           AS run_name FROM runs"""
     ),
+    "serve_requests": _served("2"),
+    "stream_serve": _served("CASE WHEN CAST(split_part(request_id, '-', 1) AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END"),
+    "request_types": f"""WITH b AS (SELECT concat(conv_id, '-', turn) AS request_id, conv_id % 8 AS kind, text FROM conversations)
+        SELECT CASE WHEN kind <> 5 THEN request_id END AS request_id, 'request_failed' AS error,
+          CASE kind WHEN 0 THEN '{TEXT_TYPE}' WHEN 6 THEN '{TEXT_TYPE}' WHEN 5 THEN 'body is not valid JSON'
+            ELSE '{TEXTS_TYPE}' END AS detail, 422 AS status
+        FROM b WHERE kind NOT IN (3, 4, 7)""",
+    "fold_frequencies": _terms(
+        f"""SELECT term, {', '.join(f"count(*) FILTER (fold = {i}) AS f{i}" for i in range(FOLDS))},
+          CAST(len(string_split(term, ' ')) AS BIGINT) AS words
+        FROM (SELECT DISTINCT row_id, unnest({_BIGRAMS}) AS term FROM tokens) JOIN folds USING (row_id) GROUP BY term""",
+        _FOLDS,
+    ),
     "stream_score": _SCORED_REQUESTS,
     "stream_reject": _requests(f"{_REQUEST_INVALID} UNION ALL {_request_no_text(valid_only=True)}"),
     "stream_trend": _clean(

@@ -14,11 +14,11 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegrain.operators.classifier import FOLDS, grid_search, predict
+from tonegrain.operators.classifier import FOLDS, candidates, grid_search, predict, with_params
 from tonegrain.operators.clean import clean_table, feature_projection
 from tonegrain.operators.encoder import BATCH_SIZE, MAX_LENGTH, PredictFn, score_batches
 from tonegrain.operators.metrics import confusion, per_class, report_lines, report_text
-from tonegrain.operators.registry import Registry
+from tonegrain.operators.registry import EXPERIMENT, Registry
 from tonegrain.operators.split import stratified_split
 from tonegrain.sources.staging import stage
 
@@ -48,13 +48,14 @@ def _log_and_offer(
     params: Mapping[str, object],
     predictions: DataFrame,
     model: PipelineModel,
+    **log: object,
 ) -> int:
     run_id = uuid.uuid4().hex
     _, report, score = evaluate_model(predictions)
     metric = predictions.sparkSession.range(1).select(
         F.lit("test_f1_score").alias("metric"), F.lit(score).alias("value")
     )
-    registry.log_run(run_id, prefix, params, metric, report_text(report))
+    registry.log_run(run_id, prefix, params, metric, report_text(report), **log)
     signature = {"input": "input_text string", "output": "prediction string"}
     version = registry.save_model(name, model, run_id, score, signature)
     registry.promote(name, version)
@@ -70,12 +71,16 @@ def run_linear_training(
     k: int = FOLDS,
     seed: int = RANDOM_STATE,
     parallelism: int = 1,
+    experiment: str = EXPERIMENT,
 ) -> int:
     """Grid search on the train side, evaluation on the test side; new version."""
     train, test = (data.filter(F.col("split") == s) for s in ("train", "test"))
-    model, best, _ = grid_search(train, grid, k, seed, parallelism)
+    grid = candidates() if grid is None else list(grid)
+    model, best, results = grid_search(train, grid, k, seed, parallelism)
     scored = predict(model, test).select("row_id", "class", "prediction")
-    return _log_and_offer(registry, name, run_name_prefix, best, scored, model)
+    return _log_and_offer(
+        registry, name, run_name_prefix, best, scored, model, experiment=experiment, search=with_params(results, grid)
+    )
 
 
 def run_encoder_evaluation(
@@ -87,6 +92,7 @@ def run_encoder_evaluation(
     make_predict_fn: Callable[[int | None], PredictFn],
     batch_size: int = BATCH_SIZE,
     max_length: int | None = MAX_LENGTH,
+    experiment: str = EXPERIMENT,
 ) -> int:
     """Score the test side with a pre-trained model; no training.
 
@@ -101,5 +107,5 @@ def run_encoder_evaluation(
     quoted = model_id.replace("\\", "\\\\").replace("'", "\\'")
     note = SQLTransformer(statement=f"SELECT *, '{quoted}' AS model_id FROM __THIS__")
     return _log_and_offer(
-        registry, name, run_name_prefix, params, scored, PipelineModel([note])
+        registry, name, run_name_prefix, params, scored, PipelineModel([note]), experiment=experiment
     )

@@ -116,6 +116,27 @@ def load_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(table(spark, sf_dir, "conversations"))
 
 
+def request_bodies(conversations: DataFrame) -> DataFrame:
+    """One JSON body per turn, ``value``: by conversation, a text, a list, a number, a mixed list, a flag, or no JSON."""
+    kind, item = F.pmod("conv_id", F.lit(8)), F.to_json(F.struct("text"))
+    # The text as a JSON string: what stands behind the field name in the object of one field.
+    text = F.expr("substring(_item, 9, length(_item) - 9)")
+    field = (
+        F.when(kind == 0, F.lit('"input_text":7'))
+        .when(kind == 1, F.concat(F.lit('"input_texts":['), text, F.lit(",5]")))
+        .when(kind == 2, F.lit('"input_texts":true'))
+        .when(kind == 3, F.concat(F.lit('"input_texts":['), text, F.lit(",null]")))
+        .when(kind == 4, F.concat(F.lit('"input_text":null,"input_texts":['), text, F.lit("]")))
+        .when(kind == 5, F.lit('"input_text":"broken'))
+        .when(kind == 6, F.lit('"input_text":{"a":[1]}'))
+        .otherwise(F.concat(F.lit('"input_text":'), text))
+    )
+    request_id = F.concat_ws("-", "conv_id", "turn")
+    return conversations.withColumn("_item", item).select(
+        F.concat(F.lit('{"request_id":"'), request_id, F.lit('",'), field, F.lit("}")).alias("value")
+    )
+
+
 def predictions(clean: DataFrame) -> DataFrame:
     """Two fixed classifiers over the cleaned news, with their latencies."""
     k, c = F.col("row_id"), F.col("class")

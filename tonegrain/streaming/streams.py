@@ -19,7 +19,9 @@ from tonegrain.operators.requests import (
     score_requests,
     unavailable,
 )
+from tonegrain.operators.serving import ProductionModel, serve
 from tonegrain.schema import DATE_FORMAT, DEDUP_KEYS
+from tonegrain.sources.requests import write_responses
 from tonegrain.sources.staging import stage
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -64,6 +66,31 @@ def stream_score(
     )
 
 
+def stream_serve(requests: DataFrame, production: ProductionModel, out: str, checkpoint: str) -> StreamingQuery:
+    """Answer a request stream with the production model: ``out/responses`` and ``out/rejects``, by batch.
+
+    The alias is read anew for each batch, so a promotion counts from the next batch on. A replayed batch
+    overwrites its folders. Faults of the model are answered with status 503, others fail the batch.
+    """
+
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            envelopes, errors = serve(batch, production)
+            if envelopes is not None:
+                write_responses(envelopes, f"{out}/responses/batch_id={batch_id}", "parquet", "overwrite")
+            errors.write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return (
+        requests.writeStream.foreachBatch(answer)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_clean(news: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
     """All cleaning but the dedup, with the column functions of the batch form."""
     return finish_news(filter_news(news, date_format))
