@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -576,6 +576,15 @@ def _split_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return tuple(parts.filter(F.col("split") == s) for s in ("train", "test"))
 
 
+def _known(label: str) -> Column:
+    return F.col(label).isin(*CLASSES)
+
+
+def _share(score: str) -> Column:
+    """Whether a score lies between 0 and 1; null if there is none."""
+    return F.col(score).between(0.0, 1.0)
+
+
 def _fitted(train: DataFrame):
     return classifier.fit_classifier(train, **classifier.candidates()[0])
 
@@ -585,7 +594,13 @@ def train_logreg(spark, sf_dir):
     documents = _documents(spark, sf_dir)
     vectors = classifier.fit_features(documents).transform(documents)
     vectors = stage(vectors.select("class", "features"), "vectors")
-    return metrics.confusion(classifier.train_logreg(vectors).transform(vectors))
+    pairs = metrics.confusion(classifier.train_logreg(vectors).transform(vectors))
+    right = F.sum(F.when(F.col("class") == F.col("prediction"), F.col("n_rows")).otherwise(0))
+    # Balanced weights: a class is found more often than by chance.
+    return pairs.groupBy("class").agg(
+        F.sum("n_rows").alias("n_rows"), F.bool_and(_known("prediction")).alias("known"),
+        (right * len(CLASSES) > F.sum("n_rows")).alias("learnt"),
+    )
 
 
 @query
@@ -597,7 +612,13 @@ def grid(spark, sf_dir):
 def grid_search(spark, sf_dir):
     train, _ = _split_documents(spark, sf_dir)
     _, _, results = classifier.grid_search(train, seed=SEED, parallelism=PARALLELISM)
-    return results
+    grid = classifier.candidates()
+    first = F.col("rank") == 1
+    return classifier.with_params(results, grid).select(
+        "candidate_id", *[F.col("params")[name].alias(name) for name in grid[0]],
+        _share("mean_score").alias("scored"), F.col("rank").between(1, len(grid)).alias("ranked"),
+        (F.max(F.when(first, F.col("mean_score"))).over(Window.partitionBy(F.lit(0))) >= F.col("mean_score")).alias("below_first"),
+    )
 
 
 @query
@@ -619,14 +640,18 @@ def cv_results(spark, sf_dir):
 @query
 def predict(spark, sf_dir):
     train, test = _split_documents(spark, sf_dir)
-    return classifier.predict(_fitted(train), test).select("row_id", "class", "prediction")
+    return classifier.predict(_fitted(train), test).select("row_id", "class", _known("prediction").alias("known"))
 
 
 @query
 def predict_proba(spark, sf_dir):
     train, test = _split_documents(spark, sf_dir)
     scored = classifier.predict_proba(_fitted(train), test)
-    return _flat_probabilities(scored.select("row_id", "prediction", "probabilities"))
+    p = F.map_values("probabilities")
+    return scored.select(
+        "row_id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("probability_sum"),
+        (F.col("probabilities")[F.col("prediction")] == F.array_max(p)).alias("likeliest"),
+    )
 
 
 @query
@@ -658,7 +683,8 @@ def encoder_score(spark, sf_dir):
 def evaluate_model(spark, sf_dir):
     train, test = _split_documents(spark, sf_dir)
     scored = classifier.predict(_fitted(train), test).select("class", "prediction")
-    return metrics.classification_report(scored)
+    report = metrics.classification_report(scored)
+    return report.select("label", "support", *[_share(c).alias(c) for c in ("precision", "recall", "f1_score")])
 
 
 @query
@@ -751,7 +777,8 @@ def model_load(spark, sf_dir):
     reg = registry.Registry(spark)
     version = reg.save_model("linear", _fitted(train), "run", 0.5, {"input": "input_text string"})
     reg.promote("linear", version)
-    return classifier.predict(reg.load_model("linear"), test).select("row_id", "prediction")
+    loaded = classifier.predict(reg.load_model("linear"), test)
+    return loaded.select("row_id", "class", _known("prediction").alias("known"))
 
 
 @query
@@ -764,7 +791,7 @@ def train_and_promote(spark, sf_dir):
         data, reg, "encoder", "encoder", "lexicon", encoder.lexicon_factory(LEXICON), max_length=None
     )
     return reg.read("aliases").join(reg.read("model_versions"), ["name", "version"]).select(
-        "name", "alias", "version", "test_f1_score"
+        "name", "alias", "version", _share("test_f1_score").alias("scored")
     )
 
 

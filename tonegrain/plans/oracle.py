@@ -259,6 +259,32 @@ folds AS (
   )
 )"""
 
+_SPLIT = f"""
+split_rows AS (
+  SELECT row_id, class, CASE WHEN rank <= n_test THEN 'test' ELSE 'train' END AS split
+  FROM (
+    SELECT row_id, class, row_number() OVER (
+      PARTITION BY class ORDER BY md5(concat('{SEED}:', row_id)), row_id) AS rank
+    FROM news_clean
+  ) JOIN (
+    SELECT class, share + CAST(row_number() OVER (ORDER BY rest DESC, class)
+      <= all_test - sum(share) OVER () AS INT) AS n_test
+    FROM (
+      SELECT class, all_test, n * all_test // total AS share, n * all_test % total AS rest
+      FROM (
+        SELECT class, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total,
+          ceil(0.25 * sum(count(*)) OVER ())::BIGINT AS all_test
+        FROM news_clean GROUP BY class
+      )
+    )
+  ) USING (class)
+)"""
+
+
+def _split(select: str) -> str:
+    return _clean(select, _SPLIT)
+
+
 # Documents to score come as ``docs(row_id, input_text)``.
 _SCORES = f"""
 doc_terms AS (
@@ -589,25 +615,7 @@ ORACLE: dict[str, str] = {
               UNION ALL SELECT 'encoder', latency_encoder_ms FROM predictions)
         GROUP BY model"""
     ),
-    "stratified_split": _clean(
-        f"""SELECT row_id, class, CASE WHEN rank <= n_test THEN 'test' ELSE 'train' END AS split
-        FROM (
-          SELECT row_id, class, row_number() OVER (
-            PARTITION BY class ORDER BY md5(concat('{SEED}:', row_id)), row_id) AS rank
-          FROM news_clean
-        ) JOIN (
-          SELECT class, share + CAST(row_number() OVER (ORDER BY rest DESC, class)
-            <= all_test - sum(share) OVER () AS INT) AS n_test
-          FROM (
-            SELECT class, all_test, n * all_test // total AS share, n * all_test % total AS rest
-            FROM (
-              SELECT class, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total,
-                ceil(0.25 * sum(count(*)) OVER ())::BIGINT AS all_test
-              FROM news_clean GROUP BY class
-            )
-          )
-        ) USING (class)"""
-    ),
+    "stratified_split": _clean("SELECT row_id, class, split FROM split_rows", _SPLIT),
     "stratified_kfold": _clean("SELECT row_id, class, fold FROM folds", _FOLDS),
     "tokenize": _terms(
         """SELECT row_id, len(tok) AS n_tokens, array_to_string(tok, ' ') AS tokens FROM tokens"""
@@ -672,6 +680,30 @@ ORACLE: dict[str, str] = {
         """SELECT run_id, concat(name, ' ', strftime(date_trunc('second', logged_at), '%Y-%m-%d %H:%M:%S'))
           AS run_name FROM runs"""
     ),
+    "train_logreg": _clean(
+        "SELECT class, count(*) AS n_rows, true AS known, true AS learnt FROM news_clean GROUP BY class"
+    ),
+    "grid_search": " UNION ALL ".join(
+        f"""SELECT {i}::BIGINT AS candidate_id, {", ".join(f"'{v}' AS {n}" for n, v in c.items())},
+          true AS scored, true AS ranked, true AS below_first"""
+        for i, c in enumerate(candidates())
+    ),
+    "predict": _split("SELECT row_id, class, true AS known FROM split_rows WHERE split = 'test'"),
+    "predict_proba": _split(
+        "SELECT row_id, CAST(1.0 AS DOUBLE) AS probability_sum, true AS likeliest FROM split_rows WHERE split = 'test'"
+    ),
+    "evaluate_model": _split(
+        """SELECT coalesce(class, label) AS label, count(*) AS support,
+          CASE WHEN label <> 'accuracy' THEN true END AS precision, CASE WHEN label <> 'accuracy' THEN true END AS recall, true AS f1_score
+        FROM (SELECT unnest(['class', 'accuracy', 'macro avg', 'weighted avg']) AS label, CASE WHEN label = 'class' THEN class END AS class
+          FROM split_rows WHERE split = 'test') GROUP BY label, class"""
+    ),
+    "model_save": """SELECT 'linear' AS name, version, concat('run-', score) AS run_id,
+          '{"input": "input_text string"}' AS signature, score AS test_f1_score
+        FROM (VALUES (1::BIGINT, 0.5::DOUBLE), (2, 0.6)) v(version, score)""",
+    "model_load": _split("SELECT row_id, class, true AS known FROM split_rows WHERE split = 'test'"),
+    "train_and_promote": """SELECT name, 'production' AS alias, 1::BIGINT AS version, true AS scored
+        FROM (VALUES ('linear'), ('encoder')) v(name)""",
     "serve_requests": _served("2"),
     "stream_serve": _served("CASE WHEN CAST(split_part(request_id, '-', 1) AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END"),
     "request_types": f"""WITH b AS (SELECT concat(conv_id, '-', turn) AS request_id, conv_id % 8 AS kind, text FROM conversations)
