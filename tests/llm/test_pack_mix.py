@@ -68,7 +68,13 @@ def test_mix_takes_words_near_targets(spark, awkward, empty):
     mixed = mixing.mix(docs)
     copies = collections.Counter(r["doc_id"] for r in mixed.collect())
     assert copies == {i: r["_mix_take"] for i, r in got.items() if r["_mix_take"]}
+    assert {r["doc_id"]: r["_mix_copies"] for r in mixing.taken(docs).collect()} == {i: r["_mix_take"] for i, r in got.items()}
+    shards = mixing.place(*mixing.plan(docs), 8).select("_mix_rank", "_mix_place", "_mix_shard").distinct().collect()
+    sizes_of = collections.Counter(r["_mix_shard"] for r in shards)
+    assert set(sizes_of) == set(range(8)) and max(sizes_of.values()) - min(sizes_of.values()) <= 8
+    assert len({(r["_mix_rank"], r["_mix_place"]) for r in shards}) == len(shards)  # each place in one shard
     again, _ = mixing.plan(docs.repartition(7))
     assert {r["doc_id"]: r["_mix_take"] for r in again.collect()} == {i: r["_mix_take"] for i, r in got.items()}
     assert mixing.plan(awkward)[0].count() == awkward.count() and mixing.mix(awkward).columns == awkward.columns
+    assert mixing.taken(awkward).count() == awkward.count() and mixing.taken(empty).count() == 0
     assert mixing.plan(empty)[0].count() == 0 and mixing.mix(empty).count() == 0

@@ -68,10 +68,19 @@ def test_scores_of_awkward_rows(spark, awkward, empty):
     assert all(0 <= r["p"] <= 1 for r in scores) and len(scores) == awkward.count()
     none = toxicity.train(empty, labels)
     assert not none.trained and awkward.select(toxicity.score(F.col("text"), none, awkward).alias("p")).distinct().collect()[0]["p"] == 0
-    assert quality.train(awkward, labels) is None or True
+    assert quality.apply(awkward, quality.train(awkward, labels)).count() == awkward.count()
     assert quality.apply(empty, None).count() == 0
 
 
+def test_a_label_has_one_text_however_often_its_id_occurs(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {k % 3}") for i in range(50) for k in range(40)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 2, "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 20).collect()
+    again = toxicity.labelled_sample(docs.repartition(5), labels, "toxic", F.lit(True), 20).collect()
+    assert len(got) == 20 and sorted(got, key=lambda r: r["_id"]) == sorted(again, key=lambda r: r["_id"])
+    assert all(bytes(r["_text"]).decode().split()[1] == str(r["_id"]) and r["_label"] == r["_id"] % 2 for r in got)
+
+
 def in_fold(i, n):
     return zlib.crc32(str(i).encode()) % n == 0
 

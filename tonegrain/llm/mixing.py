@@ -169,13 +169,12 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     return planned, picked
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
-    """The rows of the mix with all columns of ``docs``, repeats included, by shard.
+def place(planned: DataFrame, picked: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """A line for every copy of a row in the mix, with its ``_mix_shard`` and its ``_mix_place`` in the source's list.
 
-    Rows are laid out by shard and ordered by a seeded hash inside it.
+    ``planned`` and ``picked`` are those of :func:`plan`.
     """
-    spark = docs.sparkSession
-    planned, picked = plan(docs, **how)
+    spark = planned.sparkSession
     # Copy number c of a block stands at place _mix_last - c of its source's permuted list.
     taken = planned.filter("_mix_take > 0").withColumn(
         "_mix_place", F.explode(F.sequence(F.col("_mix_last") - F.col("_mix_take"), F.col("_mix_last") - 1))
@@ -189,10 +188,28 @@ def mix(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
     if len(ends) <= 10_000:
         bounds = F.broadcast(bounds)
     shard = F.size(F.filter("_mix_bounds", lambda b: b <= F.col("_mix_place")))
+    return taken.join(bounds, "_mix_rank").withColumn("_mix_shard", shard).drop("_mix_bounds")
+
+
+def taken(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
+    """``doc_id`` and the columns of :func:`plan` for every row, with ``_mix_copies``: in how many places of the shards it stands."""
+    planned, picked = plan(docs, **how)
+    own = [c for c in planned.columns if c.startswith("_mix_")]
+    rows = stage(planned.select("doc_id", *own).withColumn("_mix_row", F.monotonically_increasing_id()), "mix-plan")
+    # Places beyond the last shard's bound would be in no shard.
+    placed = place(rows, picked, shards).filter(F.col("_mix_shard") < shards)
+    copies = placed.groupBy("_mix_row").agg(F.count("*").alias("_mix_copies"))
+    return rows.join(copies, "_mix_row", "left").withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(0)))
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
+    """The rows of the mix with all columns of ``docs``, repeats included, by shard.
+
+    Rows are laid out by shard and ordered by a seeded hash inside it.
+    """
     order = F.xxhash64(F.lit(SEED + 2), "_mix_key", "_mix_place")
     return (
-        taken.join(bounds, "_mix_rank")
-        .withColumns({"_mix_shard": shard, "_mix_order": order})
+        place(*plan(docs, **how), shards).withColumn("_mix_order", order)
         .repartition(shards, "_mix_shard")
         .sortWithinPartitions("_mix_shard", "_mix_order")
         .select(*docs.columns)

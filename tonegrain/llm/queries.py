@@ -86,13 +86,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned, _ = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select(
+    return mixing.taken(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.col("_mix_size").alias("size"),
         F.col("_mix_source_size").alias("source_size"),
         F.col("_mix_target").alias("target"),
-        (F.col("_mix_size") * F.col("_mix_take")).alias("taken"),
+        (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"),
     )
 
 

@@ -91,7 +91,7 @@ def _learn(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Column, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` usable label rows, those of smallest id hash, with their texts."""
+    """At most ``max_rows`` usable label rows, those of smallest id hash, each with one text: of an id's texts that of smallest hash."""
     own = (
         labels.filter(F.col(target).isNotNull())
         .select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("_label"))
@@ -104,7 +104,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Col
     order = F.pmod("_order", F.lit(1 << 40))
     chosen = own.filter(few).orderBy(order, "_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").alias("_id"), blob("text").alias("_text"))
-    return texts.join(F.broadcast(chosen), "_id")  # bounded by max_rows
+    texts = texts.join(F.broadcast(chosen), "_id")  # bounded by max_rows
+    # A task sends one text of an id, so an id of many rows is no load either.
+    first = F.min_by("_text", F.struct(F.xxhash64("_text"), "_text"))
+    return texts.groupBy("_id", "_label", "_order").agg(first.alias("_text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
