@@ -65,6 +65,21 @@ def test_contexts_of_seeds_find_other_identifiers(spark, awkward, empty):
     assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
 
 
+def test_found_instances_induce_patterns_of_their_own(spark):
+    # Codes stand in the context of e-mails, and in one without any; others stand only there.
+    rows = [(i, f"{prose(i, 9)} reach me at user{i}@mail.example.com today {prose(i + 99, 5)}") for i in range(60)]
+    rows += [(100 + i, f"{prose(i, 9)} reach me at c{i}de today w1 {prose(i, 9)}") for i in range(14)]
+    rows += [(200 + i, f"{prose(i, 9)} my own login c{i}de works here {prose(i, 9)}") for i in range(14)]
+    rows += [(300, f"{prose(1, 9)} my own login k9xyz works here {prose(2, 9)}"), (301, f"{prose(1, 9)} plain word k8xyz in w3 {prose(2, 9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text = dict(rows)
+    got = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["more"]] for r in pii.find(docs).collect()}
+    assert got[300] == ["k9xyz"] and got[301] == [] and all(got[200 + i] == [f"c{i}de"] for i in range(14))
+    first, _ = pii.trusted(pii.extract(docs), rounds=1)
+    third, _ = pii.trusted(pii.extract(docs))
+    assert third.count() > first.count()
+
+
 def test_license_phrases_equal_brute_force_and_notices_are_found(spark, awkward, empty):
     long_notice = licenses.NOTICES[6][0]
     words = long_notice.split()

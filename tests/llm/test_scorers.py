@@ -61,6 +61,13 @@ def test_quality_is_calibrated_and_counts_equal_brute_force(spark, awkward):
     assert quality.apply(awkward, None).count() == awkward.count()
 
 
+def test_character_ngrams_are_of_code_points():
+    kinds = quality.places("añ😀bcd".encode())
+    assert [p.size for p in kinds] == [1, 0, 3, 2]
+    same = quality.places("xñ😀bcd".encode())
+    assert (kinds[2] == same[2]).tolist() == [False, True, True]
+
+
 def test_scores_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, None), (1, 0, 1), (5, 0, 0), (None, 1, 1)], "doc_id long, toxic int, quality int")
     model = toxicity.train(awkward, labels)

@@ -6,8 +6,10 @@ the word on each side, the two words after. Every identifier-like token (it hold
 digit) is an instance of the patterns it stands in. On the graph of patterns and instances
 Spark scores in rounds: a pattern's confidence for a kind is the scored share of its
 distinct instances, shrunk by ``PRIOR``; an instance's score for a kind is the chance that at
-least one of its patterns is right (noisy or). Patterns of enough distinct seeds and high confidence
-then name instances that no rule finds.
+least one of its patterns is right (noisy or). A round's patterns are those of enough distinct seeds, where
+instances that the round before trusts are seeds as well, so contexts without any base seed come in.
+Patterns of high confidence then name instances that no rule finds. Identifiers without a digit, of
+fewer than 4 characters, or in texts without a digit or ``@`` are out of this method's reach.
 
 Only counts per pattern and instance are shuffled; a frequent pattern is summed map-side.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tonegrain.llm.common import blob, stage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
+ROUNDS = 3
 MIN_SEEDS = 3
 PRIOR = 1.0
 MIN_PATTERN, MIN_INSTANCE = 0.7, 0.8
@@ -166,21 +168,16 @@ def trusted(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFram
     each = found.select(F.explode("items").alias("i")).select("i.name", "i.kind", F.explode("i.patterns").alias("pattern"))
     edges = stage(each.groupBy("pattern", "name").agg(F.max("kind").alias("kind")), "pii-edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("names"))
-    seeds = edges.filter("kind >= 0")
-    # Patterns with too few distinct seeds of one kind never count, so they are left out of the rounds.
-    worth = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    worth = stage(worth.join(sizes, "pattern"), "pii-patterns")
+    seeds = edges.filter("kind >= 0").select("pattern", "kind", F.lit(1.0).alias("gain"), F.lit(1).alias("known"))
     scores = None
     for _ in range(rounds):
-        gained = worth.select("pattern", "kind", F.col("seeds").cast("double").alias("gain"))
+        members = seeds
         if scores is not None:
-            more = edges.filter("kind < 0").select("pattern", "name").join(scores, "name").groupBy("pattern", "kind").agg(F.sum("score").alias("gain"))
-            gained = gained.union(more.select("pattern", "kind", "gain"))
-        sure = (
-            gained.groupBy("pattern", "kind").agg(F.sum("gain").alias("gain"))
-            .join(worth.select("pattern", "kind", "names"), ["pattern", "kind"])
-            .withColumn("confidence", F.least(F.col("gain") / (F.col("names") + PRIOR), F.lit(0.99)))
-        )
+            named = edges.filter("kind < 0").select("pattern", "name").join(scores, "name")
+            members = seeds.union(named.select("pattern", "kind", F.col("score").alias("gain"), (F.col("score") >= MIN_INSTANCE).cast("int").alias("known")))
+        # Base seeds and what the last round trusts induce the patterns of this one.
+        induced = members.groupBy("pattern", "kind").agg(F.sum("gain").alias("gain"), F.sum("known").alias("known")).filter(F.col("known") >= MIN_SEEDS)
+        sure = induced.join(sizes, "pattern").withColumn("confidence", F.least(F.col("gain") / (F.col("names") + PRIOR), F.lit(0.99)))
         sure = stage(sure.select("pattern", "kind", "confidence"), "pii-confidence")
         doubt = (
             edges.filter("kind < 0").select("pattern", "name").join(sure, "pattern")

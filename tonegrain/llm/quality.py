@@ -1,9 +1,9 @@
 """Quality filter: calibrated logistic regression on hashed word and character n-grams.
 
-Features of a text are its words, word pairs and UTF-8 byte 4-grams and 5-grams (byte
-n-grams stand for character n-grams), hashed to ``2**BITS`` places per kind. A text's value at a place is
-its count over the text's length, so long and short texts compare. Mini-batch
-AdaGrad fits the weights on shards of the labelled rows, in parallel; every shard
+Features of a text are its words, word pairs and its 4-grams and 5-grams of characters (code
+points), hashed to ``2**BITS`` places per kind. A text's value at a place is
+its count over the text's length, so long and short texts compare. AdaGrad, a row at
+a time, fits the weights on shards of the labelled rows, in parallel; every shard
 leaves one fifth of its rows out and scores them, and Platt scaling on all rows left
 out turns margins into probabilities. Texts are scored in Arrow batches and kept if
 they break no counting rule and their probability is at least ``KEEP``.
@@ -41,6 +41,8 @@ RATE, L2 = 0.5, 1e-6
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP = 0.2
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 # The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 
@@ -59,14 +61,13 @@ class Model:
     offset: float
 
 
-def _byte_ngrams(data: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
-    size = raw.size - n + 1
+def _char_ngrams(chars: np.ndarray, n: int) -> np.ndarray:
+    size = chars.size - n + 1
     if size <= 0:
         return np.empty(0, np.uint64)
-    out = raw[:size].copy()
+    out = chars[:size].copy()
     for i in range(1, n):
-        out = (out << np.uint64(8)) | raw[i : i + size]
+        out = out * _STEP + chars[i : i + size]
     return mix64(out + np.uint64(n))
 
 
@@ -74,7 +75,8 @@ def places(data: bytes, words: np.ndarray | None = None) -> list[np.ndarray]:
     """Hashed places by kind, repeats included."""
     words = word_hashes(data) if words is None else words
     shift = np.uint64(64 - BITS)
-    kinds = [words, ngram_hashes(words, 2), _byte_ngrams(data, 4), _byte_ngrams(data, 5)]
+    chars = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    kinds = [words, ngram_hashes(words, 2), _char_ngrams(chars, 4), _char_ngrams(chars, 5)]
     return [(h >> shift).astype(np.int64) + (k << BITS) for k, h in enumerate(kinds)]
 
 
