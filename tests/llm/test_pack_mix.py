@@ -6,6 +6,7 @@ import collections
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tests_llm_helpers import prose
@@ -37,11 +38,87 @@ def test_pieces_put_together_are_the_tokenizer_s_ids(spark, awkward, empty, tmp_
     assert spark.read.parquet(str(tmp_path / "b")).filter("bucket <> length").count() == 0
 
 
-def test_targets_are_shared_again_until_none_is_above():
-    got = mixing.targets([10, 1000, 1000, 0])
-    assert got[0] == 20 and got[3] == 0
-    assert abs(sum(got) - 1.5 * 2010) < 1e-6 and abs(got[1] - 2 * got[2]) < 1e-6
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Words wanted of each source, one resharing after the other."""
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
+    while free and left > 0:
+        whole = sum(weights[i % len(weights)] for i in free)
+        parts = {i: left * weights[i % len(weights)] / whole for i in free}
+        full = {i for i in free if parts[i] > most * sizes[i]}
+        for i in full or free:
+            out[i] = most * sizes[i] if full else parts[i]
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        free -= full
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[10, 1000, 1000, 0], [], [0, 0], [7], [3 ** (i % 9) for i in range(40)]])
+def test_targets_are_shared_again_until_none_is_above(spark, sizes):
+    names = [f"s{i:03d}" for i in range(len(sizes))]
+    if names:
+        names[-1] = None  # null comes last
+    sources = spark.createDataFrame([(s, w, 1) for s, w in zip(names, sizes)], "source string, words long, rows long")
+    got = mixing.source_lines(sources.repartition(3)).orderBy("_mix_rank").collect()
+    assert [r["_mix_name"] for r in got] == names and [r["_mix_rank"] for r in got] == list(range(len(sizes)))
+    assert [r["_mix_target"] for r in got] == pytest.approx(plain_targets(sizes), rel=1e-12)
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    names = ["a", "B", "é", "\U0001f600", "\uffee", "", None]
+    sources = spark.createDataFrame([(s, 5, 1) for s in names], "source string, words long, rows long")
+    got = [r["_mix_name"] for r in mixing.source_lines(sources).orderBy("_mix_rank").collect()]
+    assert got == [*sorted(n for n in names if n is not None), None]
+
+
+def taken_of(docs):
+    rows = mixing.taken(docs).collect()
+    words, wanted = collections.Counter(), {}
+    for r in rows:
+        assert 0 <= r["_mix_copies"] <= 2 and r["_mix_copies"] == r["_mix_take"]
+        words[r["_mix_rank"]] += r["_mix_size"] * r["_mix_copies"]
+        wanted[r["_mix_rank"]] = r["_mix_target"]
+    return sorted((str(r["doc_id"]), r["_mix_size"], r["_mix_copies"]) for r in rows), words, wanted
+
+
+def test_repeated_rows_do_not_keep_a_source_from_its_target(spark, monkeypatch):
+    rows = [(77, "a b c d e", "s0", i) for i in range(600)] + [(i, "v w x y z", "s0", i) for i in range(1000, 1400)]
+    rows += [(i, "k l m", f"s{1 + i % 3}", 0) for i in range(2000, 3500)] + [(None, None, None, 1)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _slice int").repartition(5)
+    got, words, wanted = taken_of(docs)
+    assert len(got) == len(rows)
+    for rank, want in wanted.items():
+        assert abs(words[rank] - want) <= 5, (rank, words[rank], want)
+    assert taken_of(docs.repartition(3))[0] == got
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.groupBy().agg({"*": "count"}).first()[0] == sum(c for _, _, c in got)
+    # In blocks that hold many rows each, too.
+    monkeypatch.setattr(mixing, "BLOCKS", 64)
+    got, words, wanted = taken_of(docs)
+    assert len(got) == len(rows)
+    for rank, want in wanted.items():
+        assert abs(words[rank] - want) <= 5 * 1000 / 64, (rank, words[rank], want)
+
+
+def test_many_sources_take_the_same_rows(spark, monkeypatch):
+    rows = [(i, prose(i, 5 + i % 40), None if i % 31 == 0 else f"s{i % 37 if i % 3 else 0}") for i in range(600)]
+    rows += [(9, "a b c", "s0")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = taken_of(docs)
+    monkeypatch.setattr(mixing, "NARROW", 4)  # most lines are joined by shuffle
+    monkeypatch.setattr(mixing, "BUNDLES", 5)  # sources share bundles
+    assert taken_of(docs) == got
+
+
+def test_bundles_split_what_they_were_given():
+    quotas, sizes = np.array([40, 7, 0, 13]), np.array([10, 20, 0, 30])
+    got = mixing.split_quotas(quotas, 4, [1, 2], sizes)
+    assert (got.sum(axis=0) == quotas).all() and (got.sum(axis=1) == sizes).all()
+    large = np.array([3_000_000_000, 5, 1_234_567_891])
+    got = mixing.split_quotas(large, 8)
+    assert (got.sum(axis=0) == large).all() and (got >= 0).all()
 
 
 def test_splitting_tree_keeps_quotas():
