@@ -19,6 +19,7 @@ from tonegrain.operators import (
     analytics,
     classifier,
     clean,
+    cube,
     dedup,
     encoder,
     features,
@@ -460,6 +461,31 @@ def breakdown_sets(spark, sf_dir):
     return analytics.breakdown_sets(_clean(spark, sf_dir))
 
 
+def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored cube, written whole and then again for the months of the later half of the rows."""
+    path, lines = new_path(spark, "news-clean"), new_path(spark, "news-cube")
+    news_source.write_clean(_clean(spark, sf_dir), path)
+    stored = news_source.read_clean(spark, path)
+    cube.refresh(spark, stored, lines)
+    cube.refresh(spark, stored, lines, cube.months_of(stored.filter(F.col("date") >= F.lit(dt.date(2024, 7, 1)))))
+    return cube.read_cube(spark, lines)
+
+
+@query
+def cube_trends(spark, sf_dir):
+    """Counts, shares and mean scores per week, from the cube."""
+    lines = _cube(spark, sf_dir)
+    means = cube.trend(lines, "week", "polarity").join(cube.trend(lines, "week", "subjectivity"), "bucket")
+    return rounded(cube.trend(lines, "week", "share").join(means, "bucket"))
+
+
+@query
+def cube_breakdowns(spark, sf_dir):
+    """Breakdowns by source, by subject and overall, from the cube filtered by days."""
+    days = analytics.dashboard_filter(_cube(spark, sf_dir), dt.date(2024, 2, 10), dt.date(2024, 9, 20))
+    return cube.breakdown_sets(days)
+
+
 @query
 def latest_samples(spark, sf_dir):
     return analytics.latest(_clean(spark, sf_dir), "subject", "en", 10)

@@ -593,6 +593,21 @@ ORACLE: dict[str, str] = {
           count(*) AS n_rows
         FROM news_clean GROUP BY GROUPING SETS ((source, class), (subject, class), (class))"""
     ),
+    "cube_trends": _clean(
+        """SELECT bucket, class, n_rows, round(n_rows / sum(n_rows) OVER w, 6) AS share,
+          round(sum(p) OVER w / sum(np) OVER w, 6) AS mean_polarity,
+          round(sum(s) OVER w / sum(ns) OVER w, 6) AS mean_subjectivity
+        FROM (SELECT CAST(date_trunc('week', date) AS DATE) AS bucket, class, count(*) AS n_rows,
+            sum(polarity) AS p, count(polarity) AS np, sum(subjectivity) AS s, count(subjectivity) AS ns
+          FROM news_clean GROUP BY 1, 2)
+        WINDOW w AS (PARTITION BY bucket)"""
+    ),
+    "cube_breakdowns": _clean(
+        """SELECT source, subject, class, grouping(source, subject, class)::BIGINT AS grouping_set,
+          count(*) AS n_rows
+        FROM news_clean WHERE date >= DATE '2024-02-10' AND date < DATE '2024-09-21'
+        GROUP BY GROUPING SETS ((source, class), (subject, class), (class))"""
+    ),
     "latest_samples": _clean(
         """SELECT * FROM news_clean WHERE subject = 'en' ORDER BY date DESC, row_id LIMIT 10"""
     ),
