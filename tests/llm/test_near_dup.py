@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from tests_llm_helpers import components_by_force, line, prose
-from tonegrain.llm import near_dup
+from tonegrain.llm import common, near_dup
 
 
 def shingle_set(text):
@@ -55,6 +55,25 @@ def test_awkward_rows(awkward, empty):
     assert near_dup.find(empty).count() == 0 and near_dup.keep_first(empty).count() == 0
 
 
+def test_frequent_and_rare_keys_give_one_result(spark, monkeypatch):
+    hot = prose(1, 60, 10**6)
+    rows = [(None if i < 3 else i, hot) for i in range(80)] + [(100 + i, edited(hot, i, 0.004)) for i in range(60)]
+    rows += [(200 + i, prose(300 + i // 2, 50, 10**6)) for i in range(40)] + [(300 + i, None) for i in range(30)] + [(None, "x y")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+    def digest():
+        got = near_dup.find(docs).collect()
+        firsts = [r["component_id"] for r in got if r["first"] and r["n_shingles"]]
+        assert len(firsts) == len(set(firsts)) and len(got) == len(rows)
+        return sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"] or -1) for r in got)
+
+    whole = digest()  # all lines are broadcast
+    assert all(c == 3 for i, n, c in whole if n and 2 < i < 80)
+    for narrow in (0, 2, 40):  # none, the hot text's, some
+        monkeypatch.setattr(common, "NARROW", narrow)
+        assert digest() == whole
+
+
 def test_min_and_max_estimate_similarity():
     rng = np.random.default_rng(1)
     own = rng.integers(0, 1 << 63, 2000).astype(np.uint64)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tonegrain.sources.staging import stage
 
-__all__ = ["blob", "fold", "mix64", "ngram_hashes", "packed", "sampled", "stage", "table", "word_hashes", "ALNUM"]
+__all__ = ["blob", "fold", "looked_up", "mix64", "ngram_hashes", "packed", "sampled", "stage", "table", "word_hashes", "ALNUM"]
 
 # The finaliser of MurmurHash3 for 64 bits.
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -54,6 +54,22 @@ def sampled(order: Column, rows: int, total: int) -> Column:
     return F.pmod(order, F.lit(1 << 40)) < F.lit(min(1 << 40, (rows << 40) // max(total, 1) + 1))
 
 
+#: Keys with more than one in this many rows are looked up by a broadcast.
+NARROW = 10_000
+
+
+def looked_up(df: DataFrame, lines: DataFrame, key: str, total: int) -> DataFrame:
+    """``df`` with the line of its ``key``; ``lines`` says in ``n`` how many of ``total`` rows a key has.
+
+    Lines of frequent keys (fewer than ``NARROW``) are broadcast and their rows stay where they are;
+    the other rows join by shuffle, where no key is large. ``lines`` is read three times, ``df`` twice.
+    """
+    often = F.col("n") * NARROW > total
+    heavy, light = lines.filter(often).drop("n"), lines.filter(~often).drop("n")
+    of_light = df.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return df.join(F.broadcast(heavy), key).unionByName(of_light)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _S33)
     x = x * _C1

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegrain.llm.common import blob, mix64, ngram_hashes, packed, stage, word_hashes
+from tonegrain.llm.common import blob, looked_up, mix64, ngram_hashes, packed, stage, word_hashes
 from tonegrain.llm.graph import components
 
 SHINGLE = 5
@@ -258,8 +258,11 @@ def find(docs: DataFrame) -> DataFrame:
     rows = sketches(docs)
     total = rows.count()
     filled = rows.filter("n_shingles > 0")
-    sets = filled.groupBy("digest").agg(F.min("row").alias("rep"))
-    classes = sets.join(filled, F.col("rep") == F.col("row")).select(
+    # Of equal sets: the first row, how many, and the smallest id with the first row that has it.
+    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    sets = filled.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.min(best).alias("best"))
+    sets = stage(packed(sets, total, 100_000), "sets")
+    classes = sets.select("rep").join(filled, F.col("rep") == F.col("row")).select(
         "rep", "k1", "k2", F.col("n_shingles").alias("n"), "bands", *SIGNS
     )
     classes = stage(packed(classes, total, 50_000), "classes")
@@ -296,20 +299,19 @@ def find(docs: DataFrame) -> DataFrame:
     more = stage(_in_blocks(near.join(bags, "rep"), _meet(exact=True), "a long, b long"), "across-links")
     labels = components(links.union(more))
 
-    comp = F.coalesce("component", "rep", "row")
-    placed = (
-        rows.select("doc_id", "k1", "k2", "row", "n_shingles", "digest")
-        .join(sets, "digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", "k1", "k2", "row", "n_shingles", comp.alias("comp"))
-    )
+    comp = F.coalesce("component", "rep").alias("comp")
+    placed = sets.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.col("n").alias("copies"), "best", comp)
     placed = stage(packed(placed, total, 100_000), "placed")
-    # The smallest id, then the smallest row that has it.
-    ids = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named_ids = placed.join(ids, "comp")
-    winners = named_ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min("row").alias("winner"))
-    return named_ids.join(winners, "comp").select(
-        "doc_id", "k1", "k2", "row", "n_shingles", "component_id", (F.col("row") == F.col("winner")).alias("first")
+    groups = placed.groupBy("comp").agg(F.min("best").alias("best"), F.count("*").alias("n"))
+    named_sets = looked_up(placed.drop("best"), stage(packed(groups, total, 100_000), "groups"), "comp", total).select(
+        "digest", F.col("copies").alias("n"), F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("winner")
     )
+    named_sets = stage(packed(named_sets, total, 100_000), "named-sets")
+    own = rows.select("doc_id", "k1", "k2", "row", "n_shingles", "digest")
+    whole = looked_up(own.filter("n_shingles > 0"), named_sets, "digest", total).withColumn("first", F.col("row") == F.col("winner"))
+    alone = own.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "first": F.lit(True)})
+    out = ("doc_id", "k1", "k2", "row", "n_shingles", "component_id", "first")
+    return whole.select(*out).union(alone.select(*out))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
