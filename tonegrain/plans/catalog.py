@@ -464,7 +464,9 @@ def breakdown_sets(spark, sf_dir):
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored cube, written whole and then again for the months of the later half of the rows."""
     path, lines = new_path(spark, "news-clean"), new_path(spark, "news-cube")
-    news_source.write_clean(_clean(spark, sf_dir), path)
+    # The cube reads neither titles nor texts, so they need not be stored for it.
+    rows = _clean(spark, sf_dir).select("date", "class", "source", "subject", *cube.MEASURES)
+    news_source.write_clean(rows, path)
     stored = news_source.read_clean(spark, path)
     cube.refresh(spark, stored, lines)
     cube.refresh(spark, stored, lines, cube.months_of(stored.filter(F.col("date") >= F.lit(dt.date(2024, 7, 1)))))
