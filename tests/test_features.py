@@ -161,3 +161,29 @@ def test_strip_matches_python(make):
     df = make([(i, t) for i, t in enumerate(texts)], "row_id bigint, t string")
     got = dict(rows_of(df.select("row_id", strip(F.col("t")).alias("t"))))
     assert got == {i: t.strip() for i, t in enumerate(texts)}
+
+
+def test_lookup_by_shuffle_scans_each_side_once(make, monkeypatch):
+    monkeypatch.setattr(features, "HEAVY_SHARE", 10)
+    long = "w" * 300  # length makes no difference
+    rows = [*corpus(), *[(1000 + i, f"{long} {long} down", "neutral") for i in range(40)], (2000, None, "neutral")]
+    documents = stage(make(rows, SCHEMA), "docs")
+    table = stage(features.fit_vocabulary(documents, 1, 3, 1.0), "vocab")
+    counts = features.term_count(documents, keep_empty=True)
+    joined = features.lookup_terms(counts, table, 0, "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("docs-") == 1
+    by_broadcast = features.lookup_terms(counts, table, 10**6, "left")
+    assert rows_of(joined, "row_id", "term", "tf", "df") == rows_of(by_broadcast, "row_id", "term", "tf", "df")
+    # Row 61 has words of one letter only.
+    assert {r["row_id"] for r in joined.filter("term IS NULL").collect()} == {60, 61, 2000}
+
+
+def test_scoring_reads_texts_once(make):
+    documents = stage(make(corpus(), SCHEMA), "docs")
+    table = stage(features.fit_vocabulary(documents, 1, 3, 0.8), "vocab")
+    weights = table.select("term", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class"), F.lit(0.5).alias("weight"))
+    table = stage(linear.scoring_table(table, weights), "scoring")
+    for broadcast_bytes in (10**6, 0):
+        scored = linear.score_texts(documents, table, dict.fromkeys(CLASSES, 0.0), broadcast_bytes=broadcast_bytes)
+        assert scored._jdf.queryExecution().executedPlan().toString().count("docs-") == 1

@@ -16,10 +16,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # What a broadcast line takes beside its term.
 _LINE_BYTES = 96
 
-# Terms holding at least 1/HEAVY_SHARE of all occurrences are heavy, so there can
-# be no more than HEAVY_SHARE of them, and they are short: they fit a broadcast.
+# Terms holding over 1/HEAVY_SHARE of all occurrences are heavy: fewer than HEAVY_SHARE,
+# and their hashes fit a broadcast whatever their length.
 HEAVY_SHARE = 100_000
-_HEAVY_TERM_BYTES = 256
 
 
 def tokenize(df: DataFrame, column: str = "input_text") -> DataFrame:
@@ -31,16 +30,20 @@ def ngrams(df: DataFrame, ngram_max: int = 2, column: str = "input_text") -> Dat
     return df.withColumn("terms", terms(column, ngram_max))
 
 
-def term_count(df: DataFrame, ngram_max: int = 1, column: str = "input_text") -> DataFrame:
+def term_count(
+    df: DataFrame, ngram_max: int = 1, column: str = "input_text", keep_empty: bool = False
+) -> DataFrame:
     """Occurrences per (row_id, term).
 
     The texts are partitioned by ``row_id`` before they are split, so grouping the
     terms needs no exchange: whole texts travel instead of one line per term.
+    ``keep_empty`` gives a document without terms one line with a null term.
     """
+    explode = F.explode_outer if keep_empty else F.explode
     return (
         df.select("row_id", column)
         .repartition("row_id")
-        .select("row_id", F.explode(terms(column, ngram_max)).alias("term"))
+        .select("row_id", explode(terms(column, ngram_max)).alias("term"))
         .groupBy("row_id", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -93,25 +96,41 @@ def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (table.agg(size.alias("size")).first()["size"] or 0) <= limit
 
 
-def lookup_terms(
-    counts: DataFrame, table: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Inner join of (row_id, term, ...) with a staged term table holding ``df``.
+def join_terms(counts: DataFrame, table: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """Join of (row_id, term, ...) with a staged term table holding ``df``; each side is scanned once.
 
-    The size of the table decides. Small tables are broadcast and the ``row_id``
-    partitioning of ``counts`` stays. Otherwise heavy terms are broadcast and the
-    rest, each a tiny share of all occurrences, meets the table by shuffle.
+    A small table is broadcast and the ``row_id`` partitioning of ``counts`` stays. Otherwise both sides shuffle by
+    (term, slice): a heavy term has as many slices as its share of all occurrences asks for, its line is
+    repeated for each, and rows go to a slice by ``row_id``. All heavy lines together are
+    repeated less than 2 * HEAVY_SHARE times. What is broadcast is a hash per heavy term; two terms of one hash
+    share the larger number of slices. Null terms (``how="left"``) spread by ``row_id`` too. A frequent
+    term that the table lacks is left to the split of skewed partitions at run time.
     """
-    if fits_broadcast(table, broadcast_bytes):
-        return counts.join(F.broadcast(table), "term")
+    if small:
+        return counts.join(F.broadcast(table), "term", how)
     total = table.agg(F.sum("df").alias("total")).scalar()
-    is_heavy = (F.col("df") * HEAVY_SHARE >= total) & (
-        F.octet_length("term") <= _HEAVY_TERM_BYTES
+    share = F.col("df") * HEAVY_SHARE / total
+    heavy = (
+        table.filter(share > 1)
+        .groupBy(F.xxhash64("term").alias("_hash"))
+        .agg(F.max(F.ceil(share)).alias("_slices"))
     )
-    heavy, light = table.filter(is_heavy), table.filter(~is_heavy)
-    by_heavy = counts.join(F.broadcast(heavy), "term")
-    rest = counts.join(F.broadcast(heavy.select("term")), "term", "left_anti")
-    return by_heavy.unionByName(rest.join(light, "term"))
+
+    def marked(side: DataFrame) -> DataFrame:
+        return side.withColumn("_hash", F.xxhash64("term")).join(F.broadcast(heavy), "_hash", "left").drop("_hash")
+
+    slices = F.when(F.col("term").isNull(), HEAVY_SHARE).otherwise(F.coalesce("_slices", F.lit(1)))
+    rows = marked(counts).withColumn("_slice", F.pmod(F.xxhash64("row_id"), slices)).drop("_slices")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))
+    lines = marked(table).withColumn("_slice", every).drop("_slices")
+    return rows.join(lines, ["term", "_slice"], how).drop("_slice")
+
+
+def lookup_terms(
+    counts: DataFrame, table: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, how: str = "inner"
+) -> DataFrame:
+    """:func:`join_terms`, by the measured size of the table (an action)."""
+    return join_terms(counts, table, fits_broadcast(table, broadcast_bytes), how)
 
 
 def tfidf(

@@ -53,14 +53,14 @@ def with_class_probabilities(df: DataFrame, logits: Mapping[str, Column]) -> Dat
 
 
 def _sums_to_scores(
-    ids: DataFrame, sums: DataFrame, intercepts: Mapping[str, float], norm: Column
+    sums: DataFrame, intercepts: Mapping[str, float], norm: Column
 ) -> DataFrame:
-    """Scores of all ids; one without a known term has the intercepts alone."""
+    """Scores of the sums; a document without a known term, whose sums are null, has the intercepts alone."""
     logits = {
         c: F.coalesce(F.col(f"_s_{c}") / norm, F.lit(0.0)) + F.lit(float(intercepts[c]))
         for c in CLASSES
     }
-    scored = with_class_probabilities(ids.select("row_id").join(sums, "row_id", "left"), logits)
+    scored = with_class_probabilities(sums, logits)
     return scored.select("row_id", "sentiment", "probabilities")
 
 
@@ -84,7 +84,7 @@ def linear_score(
     sums = weighted.groupBy("row_id").agg(
         *[F.sum(F.col("weight") * F.col(f"w_{c}")).alias(f"_s_{c}") for c in CLASSES]
     )
-    return _sums_to_scores(ids, sums, intercepts, F.lit(1.0))
+    return _sums_to_scores(ids.select("row_id").join(sums, "row_id", "left"), intercepts, F.lit(1.0))
 
 
 def score_texts(
@@ -97,12 +97,14 @@ def score_texts(
 ) -> DataFrame:
     """:func:`linear_score` straight from the texts, norm and dot product in one pass.
 
-    ``table`` is a staged :func:`scoring_table`.
+    ``table`` is a staged :func:`scoring_table`. Documents without a known term keep a line through
+    the lookup, so the texts are read once.
     """
-    hits = lookup_terms(term_count(df, ngram_max, column), table, broadcast_bytes)
+    counts = term_count(df, ngram_max, column, keep_empty=True)
+    hits = lookup_terms(counts, table, broadcast_bytes, "left")
     w = F.col("tf") * F.col("idf")
     sums = hits.groupBy("row_id").agg(
         F.sqrt(F.sum(w * w)).alias("_norm"),
         *[F.sum(w * F.col(f"w_{c}")).alias(f"_s_{c}") for c in CLASSES],
     )
-    return _sums_to_scores(df, sums, intercepts, F.col("_norm"))
+    return _sums_to_scores(sums, intercepts, F.col("_norm"))

@@ -29,6 +29,7 @@ from tonegrain.operators import (
     registry,
     requests,
     serving,
+    sharded,
     split,
 )
 from tonegrain.plans import training
@@ -622,7 +623,12 @@ def train_logreg(spark, sf_dir):
     documents = _documents(spark, sf_dir)
     vectors = classifier.fit_features(documents).transform(documents)
     vectors = stage(vectors.select("class", "features"), "vectors")
-    pairs = metrics.confusion(classifier.train_logreg(vectors).transform(vectors))
+    return _learnt(classifier.train_logreg(vectors).transform(vectors))
+
+
+def _learnt(predicted: DataFrame) -> DataFrame:
+    """Rows of each class, and whether its predictions are classes and find it."""
+    pairs = metrics.confusion(predicted)
     right = F.sum(F.when(F.col("class") == F.col("prediction"), F.col("n_rows")).otherwise(0))
     # Balanced weights: a class is found more often than by chance.
     return pairs.groupBy("class").agg(
@@ -631,6 +637,16 @@ def train_logreg(spark, sf_dir):
     )
 
 
+@query
+def train_sharded(spark, sf_dir):
+    documents = _documents(spark, sf_dir)
+    vocab = stage(features.fit_vocabulary(documents), "vocab")
+    weights = stage(features.tfidf(documents, vocab), "weights")
+    coefs, intercepts = sharded.train(weights, vocab, documents)
+    scored = linear.linear_score(weights, coefs, intercepts, documents)
+    return _learnt(documents.join(scored.withColumnRenamed("sentiment", "prediction"), "row_id"))
+
+
 @query
 def grid(spark, sf_dir):
     return features.grid_vocabulary(_documents(spark, sf_dir), classifier.candidates())

@@ -248,15 +248,21 @@ _DESCRIBE = """
     round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.75), 6) AS p75,
     max({v})::BIGINT AS max"""
 
+# Fold f of a class takes the places of the row of all classes that leave f, as one stretch in hash order.
 _FOLDS = f"""
 folds AS (
-  SELECT row_id, class, CAST((before + rank - 1) % 5 AS INT) AS fold FROM (
+  SELECT row_id, class, CAST(count(f) AS INT) AS fold FROM (
     SELECT row_id, class,
-      row_number() OVER (PARTITION BY class ORDER BY md5(concat('{SEED}:', row_id)), row_id) AS rank,
-      count(*) OVER (ORDER BY class RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-        - count(*) OVER (PARTITION BY class) AS before
+      row_number() OVER (PARTITION BY class ORDER BY md5(concat('{SEED}:', row_id)), row_id) AS rank
     FROM news_clean
-  )
+  ) JOIN (
+    SELECT class, list(behind ORDER BY f) AS cuts FROM (
+      SELECT class, f, sum(count(*) FILTER (WHERE place % 5 = f)) OVER (PARTITION BY class ORDER BY f) AS behind
+      FROM (SELECT class, row_number() OVER (ORDER BY class) - 1 AS place FROM news_clean), range(4) t(f)
+      GROUP BY class, f
+    ) GROUP BY class
+  ) USING (class) LEFT JOIN range(1, 5) t(f) ON rank > cuts[f]
+  GROUP BY row_id, class
 )"""
 
 _SPLIT = f"""
@@ -695,9 +701,10 @@ ORACLE: dict[str, str] = {
         """SELECT run_id, concat(name, ' ', strftime(date_trunc('second', logged_at), '%Y-%m-%d %H:%M:%S'))
           AS run_name FROM runs"""
     ),
-    "train_logreg": _clean(
-        "SELECT class, count(*) AS n_rows, true AS known, true AS learnt FROM news_clean GROUP BY class"
-    ),
+    **{
+        name: _clean("SELECT class, count(*) AS n_rows, true AS known, true AS learnt FROM news_clean GROUP BY class")
+        for name in ("train_logreg", "train_sharded")
+    },
     "grid_search": " UNION ALL ".join(
         f"""SELECT {i}::BIGINT AS candidate_id, {", ".join(f"'{v}' AS {n}" for n, v in c.items())},
           true AS scored, true AS ranked, true AS below_first"""

@@ -38,8 +38,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tonegrain/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return it as a Parquet scan (an action)."""
+def write_staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once; returns it as a Parquet scan, and its folder (an action)."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and return it as a Parquet scan (an action)."""
+    return write_staged(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder that no later plan reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
