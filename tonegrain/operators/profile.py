@@ -117,3 +117,56 @@ def text_len_by_class(df: DataFrame) -> DataFrame:
     """Distribution of the text length in code points, by class."""
     lengths = df.select("class", F.length("text").alias("text_len"))
     return describe_by(lengths, "class", "text_len")
+
+
+# Size parameter of quantile sketches.
+SKETCH_K = 1024
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """Rank error of a KLL sketch that 99 % of its quantiles keep, as published for the sketch."""
+    return 2.296 / k**0.9723
+
+
+def quantile_sketches(df: DataFrame, group: str, value: str, period: str = "month", k: int = SKETCH_K) -> DataFrame:
+    """``group, period, sketch, n_rows``: a mergeable KLL sketch of ``value`` for each period of ``date``.
+
+    Stored, it answers for any span of periods without the rows. Rows without a group or value are left out; those
+    without a date have the period null. Partial sketches are made ahead of the shuffle, so a
+    heavy group sends one per task. :func:`describe_by` is the exact form.
+    """
+    whole = df.select(
+        group, F.date_trunc(period, "date").cast("date").alias("period"), F.round(value).cast("bigint").alias("_value")
+    ).filter(F.col(group).isNotNull() & F.col("_value").isNotNull())
+    return whole.groupBy(group, "period").agg(
+        F.kll_sketch_agg_bigint("_value", k).alias("sketch"), F.count("*").alias("n_rows")
+    )
+
+
+def merged_quantiles(sketches: DataFrame, group: str, k: int = SKETCH_K) -> DataFrame:
+    """``group, n_rows, p25, p50, p75`` over all periods given."""
+    quartiles = F.kll_sketch_get_quantile_bigint("_all", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    merged = sketches.groupBy(group).agg(
+        F.kll_merge_agg_bigint("sketch", k).alias("_all"), F.sum("n_rows").alias("n_rows")
+    )
+    return merged.withColumn("_q", quartiles).select(
+        group, "n_rows", *[F.col("_q")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))]
+    )
+
+
+def rank_errors(df: DataFrame, quantiles: DataFrame, group: str, value: str) -> DataFrame:
+    """How far the rank of each quantile of :func:`merged_quantiles` lies from its own, as a share of the rows."""
+    v = F.round(value).cast("bigint")
+    ranks = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    shares = [
+        e
+        for p in ranks
+        for e in (F.avg((v < F.col(p)).cast("int")).alias(f"_below_{p}"), F.avg((v <= F.col(p)).cast("int")).alias(f"_upto_{p}"))
+    ]
+    # One line per group.
+    counted = df.select(group, value).join(F.broadcast(quantiles), group).groupBy(group).agg(F.first("n_rows").alias("n_rows"), *shares)
+    off = [
+        F.greatest(F.lit(0.0), F.col(f"_below_{p}") - rank, rank - F.col(f"_upto_{p}")).alias(f"{p}_error")
+        for p, rank in ranks.items()
+    ]
+    return counted.select(group, "n_rows", *off)

@@ -39,7 +39,7 @@ from tonegrain.sources import fixtures
 from tonegrain.sources import news as news_source
 from tonegrain.sources import requests as request_source
 from tonegrain.sources.staging import new_path, stage
-from tonegrain.streaming import streams
+from tonegrain.streaming import streams, trends
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -386,6 +386,21 @@ def text_len_by_class(spark, sf_dir):
     return rounded(profile.text_len_by_class(_parsed(spark, sf_dir)))
 
 
+def _quartiles_hold(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Whether quartiles from merged monthly sketches keep twice their usual rank error."""
+    rows = stage(rows, "values")
+    sketches = stage(profile.quantile_sketches(rows, group, value), "sketches")
+    errors = profile.rank_errors(rows, profile.merged_quantiles(sketches, group), group, value)
+    limit = 2 * profile.sketch_rank_error()
+    return errors.select(group, "n_rows", *[(F.col(f"{p}_error") <= limit).alias(f"{p}_holds") for p in ("p25", "p50", "p75")])
+
+
+@query
+def text_len_sketch(spark, sf_dir):
+    lengths = _parsed(spark, sf_dir).select("class", "date", F.length("text").alias("text_len"))
+    return _quartiles_hold(lengths.filter(F.col("text_len").isNotNull()), "class", "text_len")
+
+
 @query
 def confusion(spark, sf_dir):
     return metrics.confusion(_linear_predictions(spark, sf_dir))
@@ -529,6 +544,12 @@ def latency_summary(spark, sf_dir):
     return rounded(analytics.latency_summary(_predictions(spark, sf_dir).select(F.inline(both))))
 
 
+@query
+def latency_sketch(spark, sf_dir):
+    both = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"latency_{m}_ms").alias("latency_ms")) for m in ("linear", "encoder")])
+    return _quartiles_hold(_predictions(spark, sf_dir).select("date", F.inline(both)), "model", "latency_ms")
+
+
 # --- splits ----------------------------------------------------------------
 
 
@@ -935,6 +956,17 @@ def stream_trend(spark, sf_dir):
     return streams.run_complete(trend, f"{out}/table", f"{out}/checkpoint")
 
 
+@query
+def stream_trend_late(spark, sf_dir):
+    """Batches of few files, whose rows mix all days: each batch corrects buckets of those before it."""
+    out = new_path(spark, "stream-trend-late")
+    news = spark.readStream.schema(NEWS_RAW).option("maxFilesPerTrigger", 4).parquet(_raw_path(spark, sf_dir))
+    trends.stream_trend_table(
+        streams.stream_clean(news), f"{out}/table", f"{out}/checkpoint", compact_every=2
+    ).awaitTermination()
+    return trends.read_trend(spark, f"{out}/table")
+
+
 @query
 def stream_dedup(spark, sf_dir):
     out = new_path(spark, "stream-dedup")

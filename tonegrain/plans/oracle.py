@@ -543,6 +543,16 @@ ORACLE: dict[str, str] = {
         f"""SELECT class, {_DESCRIBE.format(v='length(text)')}
         FROM news_parsed WHERE class IS NOT NULL AND text IS NOT NULL GROUP BY class"""
     ),
+    "text_len_sketch": _parsed(
+        """SELECT class, count(*) AS n_rows, true AS p25_holds, true AS p50_holds, true AS p75_holds
+        FROM news_parsed WHERE class IS NOT NULL AND text IS NOT NULL GROUP BY class"""
+    ),
+    "latency_sketch": _predicted(
+        """SELECT model, count(*) AS n_rows, true AS p25_holds, true AS p50_holds, true AS p75_holds
+        FROM (SELECT 'linear' AS model, latency_linear_ms AS latency_ms FROM predictions
+              UNION ALL SELECT 'encoder', latency_encoder_ms FROM predictions)
+        WHERE latency_ms IS NOT NULL GROUP BY model"""
+    ),
     "confusion": _predicted(
         """SELECT class, pred_linear AS prediction, count(*) AS n_rows
         FROM predictions GROUP BY 1, 2"""
@@ -741,10 +751,13 @@ ORACLE: dict[str, str] = {
     ),
     "stream_score": _SCORED_REQUESTS,
     "stream_reject": _requests(f"{_REQUEST_INVALID} UNION ALL {_request_no_text(valid_only=True)}"),
-    "stream_trend": _clean(
-        """SELECT CAST(date_trunc('day', date) AS DATE) AS bucket, class, count(*) AS n_rows
-        FROM passing GROUP BY 1, 2"""
-    ),
+    **{
+        name: _clean(
+            """SELECT CAST(date_trunc('day', date) AS DATE) AS bucket, class, count(*) AS n_rows
+            FROM passing GROUP BY 1, 2"""
+        )
+        for name in ("stream_trend", "stream_trend_late")
+    },
     "stream_clean": _STREAM_CLEAN,
     "stream_dedup": _clean("SELECT DISTINCT title, text, class FROM passing"),
 }

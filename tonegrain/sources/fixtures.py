@@ -150,6 +150,7 @@ def predictions(clean: DataFrame) -> DataFrame:
     ).otherwise(c)
     return clean.select(
         "row_id",
+        "date",
         "class",
         linear.alias("pred_linear"),
         encoder.alias("pred_encoder"),
