@@ -11,6 +11,8 @@ import numpy as np
 import pytest
 
 from tests_llm_helpers import components_by_force, prose
+from pyspark.sql import functions as F
+
 from tonegrain.llm import embed_dup, licenses, pii, warc
 from tonegrain.llm.common import stage
 
@@ -159,6 +161,8 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     want = components_by_force(list(range(len(x))), lambda a, b: link[a, b])
     assert np.mean([got[i]["component_id"] == want[i] for i in want]) > 0.99
     assert got[0]["audit_recall"] >= 0.9
+    apart = link & (np.abs(x[:, None] - x).max(2) > 0)
+    assert got[0]["audit_links"] == apart[::20].sum() > 0
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(2000, 2007))
     assert embed_dup.find(df.limit(0)).count() == 0
 
@@ -180,6 +184,35 @@ def test_links_of_a_group_larger_than_a_shard_are_all_counted(spark, monkeypatch
     assert [got[i]["component_id"] for i in range(700)] == [want[i] for i in range(700)]
 
 
+def test_below_the_floor_every_row_meets_all_others(spark, monkeypatch):
+    monkeypatch.setattr(embed_dup, "SHARD", 80)
+    monkeypatch.setattr(embed_dup, "VISITORS", 50)
+    monkeypatch.setattr(embed_dup, "FLOOR", 2.0)  # no search is good enough
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(150, 32)) * 0.12, vectors(rng, 250)])
+    x[200:210] = x[3]
+    label = np.where(np.arange(len(x)) % 3 == 0, 1, 2)
+    rows = [(i, [float(c) for c in v], int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))]
+    got = {r["vec_id"]: r for r in embed_dup.find(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= embed_dup.LINK) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    assert [got[i]["n_links"] for i in range(len(x))] == link.sum(1).tolist()
+    want = components_by_force(list(range(len(x))), lambda a, b: link[a, b])
+    assert {i: got[i]["component_id"] for i in want} == want
+    assert got[0]["audit_recall"] == 1.0
+
+
+def test_audit_sees_links_that_were_missed(spark):
+    x = np.random.default_rng(4).normal(size=16) + np.zeros((60, 16))
+    x += np.random.default_rng(5).normal(size=x.shape) * 0.01
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    placed, classes = embed_dup.classes_of(spark.createDataFrame([*rows, (None, None, None)], "vec_id long, embedding array<double>, label int"))
+    none = spark.createDataFrame([], "rep long, n long")
+    assert embed_dup.audit(placed, classes, none) == (0.0, 3 * 59)
+    half = classes.select("rep", F.lit(30).cast("long").alias("n"))
+    assert embed_dup.audit(placed, classes, half) == (30 / 59, 3 * 59)
+
+
 @pytest.mark.parametrize("noise", [0.0, 1e-9])
 def test_scaled_copies_beyond_a_shard_end_and_link(spark, monkeypatch, noise):
     monkeypatch.setattr(embed_dup, "SHARD", 60)

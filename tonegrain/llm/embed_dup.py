@@ -18,8 +18,9 @@ hardly made smaller is dealt out by hash, each of its rows to be compared to all
 5. What is found is verified in double precision. A link is counted in the home shard of the partner,
    so once, however many shards a group fills; links form components.
 
-Every row is indexed and is a query. :func:`audit` measures the share of links found for
-a stated number of rows against a brute-force pass over all rows.
+Every row is indexed and is a query. :func:`audit` counts the links of the rows whose id is divisible by ``EVERY``
+against all rows, in blocks, and gives the share of them that was found. Below ``FLOOR`` every row is compared to
+all shards of its label and dimension instead (:func:`everywhere`), which finds all links.
 
 Defined results: null vectors, vectors without components or of length zero, vectors that hold
 null or non-finite components and rows without a label link with nothing; repeated rows link with
@@ -50,8 +51,10 @@ TIGHT = 1e-6
 #: A part of a split that keeps more than this share of the rows is dealt out by hash.
 STUCK = 0.9
 FOUND = "rep long, group long, n long, to array<long>"
-#: Rows whose links are counted by brute force.
-AUDITED = 64
+#: Rows with an id divisible by this are counted by brute force.
+EVERY = 20
+#: With a smaller share of links found, every row is compared to all others of its label.
+FLOOR = 0.9
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -351,33 +354,60 @@ def _visits(front: DataFrame, full: DataFrame, classes: DataFrame, homes: DataFr
     return guests.groupBy("cluster", "block").cogroup(rows.groupBy("cluster", "block")).applyInPandas(_visit, FOUND)
 
 
-def audit(classes: DataFrame, counted: DataFrame, rows: int = AUDITED) -> float:
-    """Found share of the links of ``rows`` classes (smallest hash), against brute force over all."""
-    asked = classes.orderBy(F.xxhash64(F.lit(23), "rep"), "rep").limit(rows).toPandas()
-    if asked.empty:
-        return 1.0
-    shared = classes.sparkSession.sparkContext.broadcast(asked)
+def _count(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    if asked.empty or rows.empty:
+        return pd.DataFrame({"rep": [], "n": []})
+    hit = _unit(asked["embedding"]) @ _unit(rows["embedding"]).T >= LINK
+    hit &= asked["rep"].to_numpy()[:, None] != rows["rep"].to_numpy()
+    return pd.DataFrame({"rep": asked["rep"], "n": hit @ rows["copies"].to_numpy()})
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = shared.value
-        for batch in batches:
-            for (label, dim), lines in batch.groupby(["label", "dim"]):
-                mine = ask[(ask["label"] == label) & (ask["dim"] == dim)]
-                if len(mine):
-                    cos = _unit(mine["embedding"]) @ _unit(lines["embedding"]).T
-                    hit = (cos >= LINK) & (mine["rep"].to_numpy()[:, None] != lines["rep"].to_numpy())
-                    yield pd.DataFrame({"rep": mine["rep"], "n": hit @ lines["copies"].to_numpy()})
 
-    true = classes.select("rep", "label", "dim", "copies", "embedding").mapInPandas(count, "rep long, n long")
-    both = true.groupBy("rep").agg(F.sum("n").alias("n")).join(counted.select("rep", F.col("n").alias("found")), "rep")
-    line = both.agg(F.sum("n").alias("n"), F.sum(F.least("n", "found")).alias("found")).first()
-    return 1.0 if not line["n"] else line["found"] / line["n"]
+def audit(placed: DataFrame, classes: DataFrame, counted: DataFrame, every: int = EVERY) -> tuple[float, int]:
+    """Found share and number of the links that the rows with an id divisible by ``every`` have with other vectors.
+
+    The number comes from all rows, in blocks of some ``VISITORS`` asked classes by ``SHARD`` classes, so a label of any
+    size spreads over tasks. Without a link the share is 1.
+    """
+    ids = stage(placed.filter(F.col("usable") & (F.col("vec_id") % every == 0)).groupBy("rep").agg(F.count("*").alias("rows")), "asked")
+    asked = classes.join(ids.select("rep"), "rep")
+    key = ["label", "dim"]
+    blocks = (
+        asked.groupBy(key).agg(F.ceil(F.count("*") / VISITORS).alias("blocks"))
+        .join(classes.groupBy(key).agg(F.ceil(F.count("*") / SHARD).alias("parts")), key)
+    )
+
+    def dealt(own: str, other: str, rows: DataFrame) -> DataFrame:
+        """Rows with a block of their own kind, repeated for each of the other."""
+        numbered = rows.join(blocks, key)
+        return numbered.withColumn(own, F.pmod(F.xxhash64(F.lit(31), "rep"), F.col(own + "s"))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other + "s") - 1))
+        ).select(*key, "block", "part", "rep", "copies", "embedding")
+
+    by = [*key, "block", "part"]
+    names = [*by, "rep", "copies", "embedding"]
+    # Renamed, as both sides come from the same table.
+    pairs = dealt("block", "part", asked).toDF(*names).groupBy(by).cogroup(dealt("part", "block", classes).groupBy(by))
+    true = pairs.applyInPandas(_count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    both = ids.join(true, "rep").join(counted.select("rep", F.col("n").alias("found")), "rep", "left")
+    found = F.least("n", F.coalesce("found", F.lit(0)))
+    line = both.agg(F.sum(F.col("n") * F.col("rows")).alias("n"), F.sum(found * F.col("rows")).alias("found")).first()
+    return (line["found"] / line["n"], line["n"]) if line["n"] else (1.0, 0)
+
+
+def everywhere(full: DataFrame, classes: DataFrame, homes: DataFrame) -> DataFrame:
+    """What every class finds in all shards of its label and dimension: all links."""
+    at = homes.join(classes.select("rep", "label", "dim"), "rep").select("label", "dim", F.col("at").alias("cluster")).distinct()
+    return _visits(classes.select("rep", "label", "dim").join(at, ["label", "dim"]).select("rep", "cluster"), full, classes, homes)
+
+
+def _counted(searched: DataFrame) -> DataFrame:
+    return stage(searched.filter("n >= 0").groupBy("rep").agg(F.sum("n").alias("n")), "counted-links")
 
 
 def find(vectors: DataFrame) -> DataFrame:
-    """``vec_id, n_links, component_id, first, audit_recall`` for every row of ``vectors(vec_id, embedding, label)``.
+    """``vec_id, n_links, component_id, first, audit_recall, audit_links`` for every row of ``vectors(vec_id, embedding, label)``.
 
-    ``first`` marks one row of each component, one with its smallest id.
+    ``first`` marks one row of each component, one with its smallest id. The last two are the figures of :func:`audit`.
     """
     placed, classes = classes_of(vectors)
     seats, due = shards_of(classes)
@@ -402,8 +432,12 @@ def find(vectors: DataFrame) -> DataFrame:
         done = front if done is None else done.union(front)
         found = stage(_visits(front, full, classes, homes), "found")
         searched = searched.union(found)
-    counted = stage(searched.filter("n >= 0").groupBy("rep").agg(F.sum("n").alias("n")), "counted-links")
-    recall = audit(classes, counted)
+    counted = _counted(searched)
+    recall, links = audit(placed, classes, counted)
+    if recall < FLOOR:
+        searched = stage(everywhere(full, classes, homes), "found")
+        counted = _counted(searched)
+        recall, links = audit(placed, classes, counted)
     labels = components(searched.select(F.col("rep").alias("a"), F.col("group").alias("b")).filter("a <> b"))
     comp = F.coalesce("component", "rep", "row")
     rows = stage(
@@ -416,5 +450,6 @@ def find(vectors: DataFrame) -> DataFrame:
     rows = rows.join(ids, "comp")
     winners = rows.filter(F.col("vec_id").eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min("row").alias("winner"))
     return rows.join(winners, "comp").select(
-        "vec_id", "n_links", "component_id", (F.col("row") == F.col("winner")).alias("first"), F.lit(recall).alias("audit_recall")
+        "vec_id", "n_links", "component_id", (F.col("row") == F.col("winner")).alias("first"),
+        F.lit(recall).alias("audit_recall"), F.lit(links).cast("long").alias("audit_links"),
     )

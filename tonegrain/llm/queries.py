@@ -77,7 +77,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_dup.find(table(spark, sf_dir, "embeddings"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("first"))
-    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"), "audit_recall")
+    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"), "audit_recall", "audit_links")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,14 +147,14 @@ ORACLE = {
           SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
             sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
           FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
-        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b, a.e <> b.e AS apart FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
           WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {embed_dup.LINK}),
         reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
           UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
         c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
         n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
         SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept,
-          CAST(1.0 AS DOUBLE) AS audit_recall
+          CAST(1.0 AS DOUBLE) AS audit_recall, (SELECT count(*) FROM link WHERE a % 20 = 0 AND apart) AS audit_links
         FROM c LEFT JOIN n ON c.vec_id = n.vec_id""",
     "op11_centroids": clusters.SQL,
     "op12_phrases": phrases.SQL,
