@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tonegrain.llm import embed_dup, licenses, pii, warc
 from tonegrain.llm.common import stage
+from tonegrain.llm.queries import QUERIES
 
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -50,6 +51,22 @@ def test_base_spans_equal_the_rules():
         assert pii.base_spans(text) == by_rules(text), text
 
 
+def test_pii_query_counts_spans_by_kind(spark, tmp_path):
+    rng = random.Random(11)
+    parts = ["a.b@c.de", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "+1 (243) 555-5526", "a@b.c@d.ef", "é😀", " ", " ", "\n", "w"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    texts = [None, "", "+1 (243) 555-5526", "1.2.3.4 5.6.7.8", *texts]
+    rows = [*enumerate(texts), (7, texts[7]), (None, "a@b.cd +1 (243) 555-5526")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    by_id = {r["doc_id"]: r for r in QUERIES["op2_pii"](spark, str(tmp_path)).collect()}
+    assert len(by_id) == len(texts) + 1
+    for doc_id, text in rows:
+        r, spans = by_id[doc_id], by_rules(text or "")
+        assert [r[f"n_{k}"] for k in RULES] == [sum(s[0] == i for s in spans) for i in range(4)], text
+        listed = ",".join(f"{list(RULES)[k]}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), text
+
+
 def test_contexts_of_seeds_find_other_identifiers(spark, awkward, empty):
     rng, rows = random.Random(1), []
     for i in range(40):

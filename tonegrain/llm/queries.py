@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrain.llm import (
@@ -37,11 +37,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def _spans_of(kind: int) -> Column:
+    # A second parameter of the lambda would be the place in the array.
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        *[_spans_of(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
         F.sha2(pii.listed(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
         pii.listed(F.concat("spans", "more")).alias("spans"),
     )
