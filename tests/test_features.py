@@ -187,3 +187,19 @@ def test_scoring_reads_texts_once(make):
     for broadcast_bytes in (10**6, 0):
         scored = linear.score_texts(documents, table, dict.fromkeys(CLASSES, 0.0), broadcast_bytes=broadcast_bytes)
         assert scored._jdf.queryExecution().executedPlan().toString().count("docs-") == 1
+
+
+def test_partitions_grow_with_the_texts_and_the_lines(make, monkeypatch):
+    rows = corpus()
+    size = sum(len(r[1].encode()) for r in rows)
+    monkeypatch.setattr(features, "TASK_BYTES", size // 40)
+    monkeypatch.setattr(features, "TASK_LINES", 20)
+    documents = stage(make(rows, SCHEMA), "docs")
+    vocab = stage(features.fit_vocabulary(documents, 1, 1, 1.0), "vocab")
+    counts = features.term_count(documents)
+    # Left to itself, Spark joins so little into one partition.
+    assert counts.select(F.spark_partition_id()).distinct().count() > 8
+    joined = features.lookup_terms(counts, vocab, 0)
+    assert joined.select(F.spark_partition_id()).distinct().count() > 8
+    by_broadcast = features.lookup_terms(counts, vocab, 10**6)
+    assert sorted(joined.select("row_id", "term", "tf").collect()) == sorted(by_broadcast.select("row_id", "term", "tf").collect())
