@@ -240,6 +240,22 @@ def test_cross_validation_equals_separate_fits(data):
             assert got[i, fold] == pytest.approx(want)
 
 
+def test_settings_with_the_same_terms_share_their_fits(data, monkeypatch):
+    train, fits, fit = data.filter("split = 'train'"), [], classifier.train_logreg
+    monkeypatch.setattr(classifier, "train_logreg", lambda v, n: fits.append(n) or fit(v, n))
+
+    def scores(grid):
+        fits.clear()
+        return {(r["candidate_id"], r["fold"]): r["score"] for r in classifier.cross_validate(train, grid, 2, 5).collect()}
+
+    grid = GRID[:1]
+    once, n_once = scores(grid), len(fits)
+    # No term's share lies between 0.9 and 0.95; 0.2 keeps fewer terms.
+    more = scores([*grid, {**grid[0], "max_df": 0.95}, {**grid[0], "max_df": 0.2}])
+    assert {(i, fold): x for (i, fold), x in more.items() if i < 2} == pytest.approx({(i, fold): x for (_, fold), x in once.items() for i in (0, 1)})
+    assert len(more) == 6 and len(fits) == 2 * n_once
+
+
 def side_by_side(*jobs):
     with ThreadPool(len(jobs)) as pool:
         return pool.map(lambda job: job(), jobs, chunksize=1)
