@@ -1,119 +1,28 @@
 """Multinomial logistic regression whose coefficients are a table.
 
-The objective is that of :mod:`tonegrain.operators.classifier`; vocabulary, coefficients, gradients and the
-optimiser's history are columns of one table with a line per term, so nothing that grows with the
-vocabulary reaches the driver. The optimiser is L-BFGS written in dot products: its direction is a linear
-combination of the history and the gradient, and only the products between them, a number bounded by the
-length of the history, are read back.
-
-An iteration moves the feature lines twice: to the terms for the scores along the direction, and
-to the rows for the gradient. The step is then chosen from sums over rows alone, as scores are
-linear in the coefficients. Each iteration's tables are written to the staging folder, which ends the lineage, and
-those of the iteration before are deleted.
+The objective is that of :mod:`tonegrain.operators.classifier`; vocabulary and coefficients are tables with a line
+per term, and the optimiser of :mod:`tonegrain.operators.blocks` keeps its vectors in slices of the terms, so nothing
+that grows with the vocabulary reaches the driver. The feature lines move twice in all: to the terms, whose numbers
+they take, and to their rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonegrain.operators import blocks
+from tonegrain.operators.blocks import direction  # noqa: F401
 from tonegrain.operators.classifier import C, with_class_weight
 from tonegrain.operators.features import BROADCAST_BYTES, fits_broadcast, join_terms
 from tonegrain.schema import CLASSES
 from tonegrain.sources.staging import discard, stage, write_staged
 
-# Pairs of steps and gradient changes the optimiser remembers.
-HISTORY = 5
-
-# Steps tried along a direction, in one pass over the rows.
-STEPS = tuple(2.0**e for e in range(-10, 9))
-
-# The line of the intercepts: a term every row holds once. Real terms are not empty.
-INTERCEPT = ""
-
-_K = range(len(CLASSES))
-
-
-def _zero() -> Column:
-    return F.array(*[F.lit(0.0) for _ in _K])
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return sum((a[i] * b[i] for i in _K), F.lit(0.0))
-
-
-def _combined(factors: Mapping[str, float]) -> Column:
-    """The vector ``sum(factor * column)``."""
-    return F.array(*[sum((F.col(name)[i] * f for name, f in factors.items()), F.lit(0.0)) for i in _K])
-
-
-def _log_norm(z: Sequence[Column]) -> Column:
-    top = F.greatest(*z)
-    return top + F.log(sum((F.exp(v - top) for v in z), F.lit(0.0)))
-
-
-def direction(dots: Mapping[tuple[str, str], float], n: int) -> dict[str, float]:
-    """Factors of ``g``, ``s0 .. s<n-1>`` and ``y0 ..`` (oldest first) in the L-BFGS direction."""
-    names = ["g", *[f"{v}{i}" for v in "sy" for i in range(n)]]
-    factors = dict.fromkeys(names, 0.0)
-    factors["g"] = -1.0
-    if not n:
-        return {"g": -1.0 / max(dots["g", "g"], 1e-300) ** 0.5}
-
-    def along(name: str) -> float:
-        return sum(f * dots[b, name] for b, f in factors.items())
-
-    alphas = {}
-    for i in reversed(range(n)):
-        alphas[i] = along(f"s{i}") / dots[f"s{i}", f"y{i}"]
-        factors[f"y{i}"] -= alphas[i]
-    scale = dots[f"s{n - 1}", f"y{n - 1}"] / dots[f"y{n - 1}", f"y{n - 1}"]
-    factors = {b: f * scale for b, f in factors.items()}
-    for i in range(n):
-        beta = along(f"y{i}") / dots[f"s{i}", f"y{i}"]
-        factors[f"s{i}"] += alphas[i] - beta
-    return factors
-
-
-def _dots(state: DataFrame, n: int) -> dict[tuple[str, str], float]:
-    names = ["g", *[f"{v}{i}" for v in "sy" for i in range(n)]]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    sums = state.agg(*[F.sum(_dot(F.col(a), F.col(b))).alias(f"{a}_{b}") for a, b in pairs]).first()
-    return {key: sums[f"{a}_{b}"] for a, b in pairs for key in ((a, b), (b, a))}
-
-
-def _gradient(lines: DataFrame, rows: DataFrame, table: DataFrame, total: float, penalty: float) -> DataFrame:
-    """Adds ``g`` to ``(term, x, ...)``, by the scores ``z`` of ``rows``."""
-    z = [F.col("z")[i] for i in _K]
-    norm = _log_norm(z)
-    off = [(F.exp(z[i] - norm) - (F.col("label") == i).cast("double")) * F.col("row_weight") / total for i in _K]
-    by_row = rows.select("row_id", F.array(*off).alias("_off"))
-    sums = (
-        lines.join(by_row, "row_id")
-        .groupBy("term")
-        .agg(*[F.sum(F.col("value") * F.col("_off")[i]).alias(f"_g{i}") for i in _K])
-    )
-    shrink = F.when(F.col("term") == INTERCEPT, 0.0).otherwise(penalty)
-    g = F.array(*[F.coalesce(f"_g{i}", F.lit(0.0)) + shrink * F.col("x")[i] for i in _K])
-    return table.join(sums, "term", "left").withColumn("g", g).drop(*[f"_g{i}" for i in _K])
-
 
-def _losses(rows: DataFrame, state: DataFrame, total: float, penalty: float) -> dict[float, float]:
-    """Objective after each step along ``d`` (0 included), from one pass over the rows and one over the terms."""
-    each = rows.withColumn("step", F.explode(F.array(*[F.lit(t) for t in (0.0, *STEPS)])))
-    z = [F.col("z")[i] + F.col("step") * F.col("zd")[i] for i in _K]
-    loss = (_log_norm(z) - F.array(*z)[F.col("label")]) * F.col("row_weight") / total
-    by_step = {r["step"]: r["loss"] for r in each.groupBy("step").agg(F.sum(loss).alias("loss")).collect()}
-    x, d = F.col("x"), F.col("d")
-    norms = state.filter(F.col("term") != INTERCEPT).agg(
-        *[F.coalesce(F.sum(_dot(a, b)), F.lit(0.0)).alias(n) for n, a, b in (("xx", x, x), ("xd", x, d), ("dd", d, d))]
-    ).first()
-    return {
-        t: loss + penalty / 2 * (norms["xx"] + 2 * t * norms["xd"] + t * t * norms["dd"])
-        for t, loss in by_step.items()
-    }
+def _numbered(vocab: DataFrame) -> tuple[DataFrame, str]:
+    """``term, df, number``, numbers from 0 without a gap; staged, so every read finds the same ones."""
+    lines = vocab.select("term", "df").rdd.zipWithIndex().map(lambda x: (x[0]["term"], x[0]["df"], x[1]))
+    return write_staged(vocab.sparkSession.createDataFrame(lines, "term string, df bigint, number bigint"), "numbers")
 
 
 def train(
@@ -134,61 +43,29 @@ def train(
     spark = features.sparkSession
     label = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("class")) - 1
     known = labels.select("row_id", "class").filter(F.col("class").isin(*CLASSES))
-    weighted = with_class_weight(known).select(
-        "row_id", label.cast("int").alias("label"), F.col("weight").alias("row_weight"), _zero().alias("z")
-    )
-    rows, rows_path = write_staged(weighted, "rows")
-    total, n_rows = rows.agg(F.sum("row_weight"), F.count("*")).first()
-    every = rows.select("row_id", F.lit(INTERCEPT).alias("term"), F.lit(1.0).alias("value"))
-    lines = features.select("row_id", "term", F.col("weight").alias("value")).unionByName(every)
-    lines, lines_path = write_staged(lines, "lines")
-    own = spark.range(1).select(F.lit(INTERCEPT).alias("term"), F.lit(n_rows).cast("bigint").alias("df"))
-    start = vocab.select("term", "df").unionByName(own).withColumn("x", _zero())
-    small = fits_broadcast(start, broadcast_bytes)
-    paths = [rows_path, lines_path]
-    if n_rows:
-        penalty = 1.0 / (C * total)
-        state, state_path = write_staged(_gradient(lines, rows, start, total, penalty), "state")
-        n = 0
-        for _ in range(max_iter):
-            factors = direction(_dots(state, n), n)
-            moving = state.withColumn("d", _combined(factors))
-            along = (
-                join_terms(lines, moving.select("term", "df", "d"), small)
-                .groupBy("row_id")
-                .agg(F.array(*[F.sum(F.col("value") * F.col("d")[i]) for i in _K]).alias("zd"))
-            )
-            moved, moved_path = write_staged(rows.join(along, "row_id"), "moved")
-            losses = _losses(moved, moving, total, penalty)
-            step = min(losses, key=lambda t: (losses[t], t))
-            if step:
-                z = F.array(*[F.col("z")[i] + step * F.col("zd")[i] for i in _K])
-                rows, new_rows_path = write_staged(moved.withColumn("z", z).drop("zd"), "rows")
-                # The new pair comes last; the oldest goes once the history is full.
-                kept = range(1, n) if n == HISTORY else range(n)
-                history = [F.col(f"{v}{i}").alias(f"{v}{j}") for v in "sy" for j, i in enumerate(kept)]
-                stepped = moving.select(
-                    "term", "df", F.col("g").alias("_old"), *history,
-                    F.array(*[F.col("x")[i] + step * F.col("d")[i] for i in _K]).alias("x"),
-                    F.array(*[step * F.col("d")[i] for i in _K]).alias(f"s{len(kept)}"),
-                )
-                change = F.array(*[F.col("g")[i] - F.col("_old")[i] for i in _K])
-                new = _gradient(lines, rows, stepped, total, penalty)
-                new = new.withColumn(f"y{len(kept)}", change).drop("_old")
-                state, new_state_path = write_staged(new, "state")
-                for path in (rows_path, state_path):
-                    discard(spark, path)
-                rows_path, state_path, n = new_rows_path, new_state_path, len(kept) + 1
-            discard(spark, moved_path)
-            if losses[0.0] - losses[step] <= tolerance * abs(losses[0.0]):
-                break
-        paths = [rows_path, state_path, lines_path]
+    weighted = with_class_weight(known).select("row_id", label.cast("int").alias("label"), F.col("weight").alias("row_weight"))
+    numbers, numbers_path = _numbered(vocab)
+    lines = join_terms(features, numbers, fits_broadcast(numbers, broadcast_bytes))
+    each = lines.groupBy("row_id").agg(F.collect_list(F.struct("number", "weight")).alias("entries"))
+    own = {name: F.coalesce(F.col(f"entries.{field}"), F.array().cast(f"array<{kind}>")) for name, field, kind in (
+        ("indices", "number", "bigint"), ("values", "weight", "double"))}
+    rows = weighted.join(each, "row_id", "left").select("label", "row_weight", *[c.alias(n) for n, c in own.items()])
+    rows, rows_path = write_staged(rows, "rows")
+    n_terms = numbers.count()
+    fit = blocks.fit(rows, n_terms, C, max_iter, tolerance)
+    if fit is None:
+        flat = numbers.select("number", F.array(*[F.lit(0.0) for _ in CLASSES]).alias("x"))
+        intercepts = dict.fromkeys(CLASSES, 0.0)
     else:
-        state = start
-    each = F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in CLASSES]), "x")).alias("class", "weight")
-    flat = state.select("term", each)
-    intercepts = {r["class"]: r["weight"] for r in flat.filter(F.col("term") == INTERCEPT).collect()}
-    coefs = stage(flat.filter(F.col("term") != INTERCEPT), "coefs")
-    for path in paths:
+        width = fit.width
+        each = fit.coefs.flatMap(lambda s: [(s[0] * width + i, x.tolist()) for i, x in enumerate(s[1])])
+        flat = spark.createDataFrame(each, "number bigint, x array<double>")
+        own = fit.coefs.filter(lambda s: s[0] == n_terms // width).map(lambda s: s[1][n_terms % width].tolist()).first()
+        intercepts = dict(zip(CLASSES, own, strict=True))
+    by_class = F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in CLASSES]), "x")).alias("class", "weight")
+    coefs = stage(numbers.join(flat, "number").select("term", by_class), "coefs")
+    if fit is not None:
+        fit.close()
+    for path in (numbers_path, rows_path):
         discard(spark, path)
     return coefs, intercepts
