@@ -146,6 +146,65 @@ def test_network_gradients_and_probabilities():
     assert recurrent.score_texts(learner.p, starts, [np.array([1, 2, 3, 0])], 0)[0] > before / 3
 
 
+def test_a_window_takes_few_calls_and_moves_along_the_gradient(monkeypatch):
+    rng = np.random.default_rng(1)
+    counts = np.append(rng.integers(1, 50, 3000), 9.0)
+    starts = recurrent.class_starts(counts)
+    p = {k: v.astype(float) for k, v in recurrent.initial(counts, starts).items()}
+    ids, targets = rng.integers(0, 3001, (2, 3, 40))
+    ids[1, :5] = 7  # some texts end within the window
+
+    def loss(p):
+        h, total = np.zeros((40, recurrent.HIDDEN)), 0.0
+        for own, goal in zip(ids, targets):
+            h = h * (own != 7)[:, None]
+            x, u = p["X"][own], h @ p["U"]
+            z, r = (1 / (1 + np.exp(-(x + u)[:, k * 32 : k * 32 + 32])) for k in (0, 1))
+            h = (1 - z) * np.tanh(x[:, 64:] + r * u[:, 64:]) + z * h
+            total -= recurrent.log_probs(p, starts, h, goal).sum(dtype=float)
+        return total / 40
+
+    calls, moves, exp = [], {}, np.exp
+    learner = recurrent.Learner({k: v.astype(np.float32) for k, v in p.items()}, starts, end=7)
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+        patch.setattr(learner, "_move", lambda value, g2, grad, at=None: moves.setdefault(value.shape, (grad.copy(), at)))
+        learner.window(np.zeros((recurrent.HIDDEN, 40), np.float32), ids, targets)
+    # One for the gates of each step, one for the classes, one for the words of all classes, which were one each.
+    assert len(calls) == 5 and len(starts) > 40
+    words = moves[3001, 33][0]
+    found = {"U": moves[32, 96][0], "Wc": moves[p["Wc"].shape][0], "bc": moves[p["bc"].shape][0], "Ww": words[:, :32], "bw": words[:, 32]}
+    found["X"] = np.zeros_like(p["X"])
+    found["X"][moves[3001, 96][1]] = moves[3001, 96][0]
+    for name, grad in found.items():
+        way = grad / np.linalg.norm(grad) + rng.normal(0, 0.3 / grad.size**0.5, grad.shape)
+        sides = [loss(p | {name: p[name] + step * way}) for step in (1e-4, -1e-4)]
+        assert (grad * way).sum() == pytest.approx((sides[0] - sides[1]) / 2e-4, rel=1e-3), name
+
+
+def test_sums_of_frequent_and_rare_keys():
+    rng = np.random.default_rng(3)
+    keys = np.concatenate([np.zeros(50, int), np.ones(9, int), rng.integers(2, 60, 100)])
+    rows = rng.normal(0, 1, (keys.size, 5))
+    own, sums = recurrent._sums(rows, keys)
+    assert own.tolist() == sorted(set(keys.tolist()))
+    assert np.allclose(sums, [rows[keys == k].sum(axis=0) for k in own])
+
+
+def test_texts_far_apart_in_length_and_extreme_weights_are_scored():
+    counts = np.array([50, 30, 20, 10, 5, 5, 5, 9.0])
+    starts = np.array([0, 1, 3, 7, 8])
+    p = recurrent.initial(counts, starts)
+    p["bw"][3] = 200.0  # far beyond what single precision can exponentiate
+    texts = [np.array([3, 4, 0] * n, np.uint16) for n in (1, 700, 2)]
+    got = recurrent.score_texts(p, starts, texts, end=0)
+    alone = [recurrent.score_texts(p, starts, [t], end=0)[0] for t in texts]
+    assert np.isfinite(got).all() and np.allclose(got, alone, rtol=1e-5)
+    learner = recurrent.Learner(p, starts, end=0)
+    learner.fit(np.tile([3, 4, 0], 200))
+    assert all(np.isfinite(v).all() for v in learner.p.values())
+
+
 def test_word_hashes_depend_on_words_only():
     a, b = word_hashes(b"one  two\tthree one"), word_hashes(b"\x0cone\ntwo three\x0b one ")
     assert np.array_equal(a, b) and a[0] == a[3] and len(set(a.tolist())) == 3

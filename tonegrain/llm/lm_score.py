@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -126,7 +127,7 @@ def _train(docs: DataFrame, known: pd.DataFrame, unknown: int) -> tuple[recurren
         index = words.value
         other = len(index)
         for batch in batches:
-            ids = [np.array([index.get(w, other) for w in words_of(t.as_py())], np.uint16).tobytes() for t in batch.column(2)]
+            ids = [np.array(list(map(index.get, words_of(t.as_py()), repeat(other))), np.uint16).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["doc_id", "order", "ids"])
 
     order = F.xxhash64(F.lit(13), F.col("doc_id").cast("long"), "text")
@@ -203,8 +204,8 @@ def score(docs: DataFrame, learnable: Column, held_out: Column) -> DataFrame:
             for row, doc_id, out, text in zip(*batch.columns, strict=True):
                 text = text.as_py()
                 own = words_of(text)
-                ids = np.array([place.get(w, -1) for w in own], np.int64)
-                rare = Counter(w for w, i in zip(own, ids.tolist()) if i < 0)
+                ids = np.array(list(map(place.get, own, repeat(-1))), np.int64)
+                rare = Counter([own[i] for i in np.flatnonzero(ids < 0).tolist()])
                 beyond = (ids < 0) | (ids >= kept)
                 model = float(logs[ids[beyond]].sum()) - int(beyond.sum()) * np.log10(rest_mass)
                 rows.append([

@@ -9,11 +9,15 @@ all others. One token, ``end``, closes every text; the state is reset after it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 HIDDEN, CLASSES, WIDEST = 32, 48, 128
 WINDOW, STREAMS = 24, 96
 RATE = 0.08
+#: Exponentials of numbers up to this, and sums of those, are far from the limits of single precision.
+SAFE = 60.0
 
 Params = dict[str, np.ndarray]
 
@@ -43,137 +47,256 @@ def initial(counts: np.ndarray, starts: np.ndarray) -> Params:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _against(x: np.ndarray) -> np.ndarray:
+    """A copy of weights by gate whose first two gates are negated, as their sigmoids need them."""
+    x = x.copy()
+    x[:, : 2 * HIDDEN] *= -1
+    return x
+
 
+def _sigmoid_against(x: np.ndarray) -> None:
+    """The sigmoid of ``-x``, in place; what overflows becomes 0."""
+    np.exp(x, out=x)
+    x += 1
+    np.divide(1, x, out=x)
 
-def step(p: Params, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Next state, and the gates, for one token per line."""
-    a, u = p["X"][ids], h @ p["U"]
-    zr = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN :]
 
+def _gates(a: np.ndarray, u: np.ndarray, h: np.ndarray, zr: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """One token per column: fills the gates ``zr``, the candidate ``n`` and the next state ``out``.
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    ``a`` and ``u`` come from the token and from the state ``h``, by :func:`_against` of the weights.
+    """
+    np.add(a[: 2 * HIDDEN], u[: 2 * HIDDEN], out=zr)
+    _sigmoid_against(zr)
+    np.multiply(zr[HIDDEN:], u[2 * HIDDEN :], out=n)
+    n += a[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= zr[:HIDDEN]
+    out += n
 
 
 def _by_class(targets: np.ndarray, starts: np.ndarray):
-    """Class of each target, and the targets' positions class by class (classes of one token left out)."""
-    of = np.searchsorted(starts, targets, side="right") - 1
+    """Class of each target, an order of the targets by class, and each class of more than one token that occurs, with its place there."""
+    of = np.repeat(np.arange(len(starts) - 1, dtype=np.uint16), np.diff(starts))[targets]
     order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(len(starts)))
-    parts = [(c, order[cuts[c] : cuts[c + 1]]) for c in range(len(starts) - 1) if cuts[c] < cuts[c + 1] and starts[c + 1] - starts[c] > 1]
-    return of, parts
+    cuts = np.searchsorted(of[order], np.arange(len(starts))).tolist()
+    bounds = starts.tolist()
+    parts = [
+        (bounds[c], bounds[c + 1], cuts[c], cuts[c + 1])
+        for c in range(len(starts) - 1) if cuts[c] < cuts[c + 1] and bounds[c + 1] - bounds[c] > 1
+    ]
+    return of, order, parts
+
+
+def _exp(z: np.ndarray, views: Sequence[np.ndarray]) -> None:
+    """Exponentials in place, up to a factor for each column of the views, which make up ``z``."""
+    if z.size and (z.max() > SAFE or z.min() < -SAFE):
+        for v in views:
+            v -= v.max(axis=0)
+    np.exp(z, out=z)
+
+
+def _log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of a column's line ``at``, for each column; changes ``z``."""
+    if z.max() > SAFE or z.min() < -SAFE:
+        z -= z.max(axis=0)
+    own = z[at, np.arange(at.size)]
+    return own - np.log(np.exp(z, out=z).sum(axis=0))
 
 
 def log_probs(p: Params, starts: np.ndarray, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target given its state."""
-    of, parts = _by_class(targets, starts)
-    out = _log_softmax(h @ p["Wc"] + p["bc"])[np.arange(len(of)), of]
-    for c, at in parts:
-        lo, hi = starts[c], starts[c + 1]
-        inner = _log_softmax(h[at] @ p["Ww"][lo:hi].T + p["bw"][lo:hi])
-        out[at] += inner[np.arange(at.size), targets[at] - lo]
+    of, order, parts = _by_class(targets, starts)
+    z = p["Wc"].T @ h.T
+    z += p["bc"][:, None]
+    out = _log_of(z, of)
+    h, within, own = h.take(order, axis=0), (targets - starts[of])[order], np.zeros(targets.size, out.dtype)
+    for lo, hi, a, b in parts:
+        z = p["Ww"][lo:hi] @ h[a:b].T
+        z += p["bw"][lo:hi, None]
+        own[a:b] = _log_of(z, within[a:b])
+    out[order] += own
     return out
 
 
-def score_texts(p: Params, starts: np.ndarray, texts: list[np.ndarray], end: int, group: int = 512) -> np.ndarray:
+@np.errstate(over="ignore")
+def score_texts(p: Params, starts: np.ndarray, texts: list[np.ndarray], end: int, group: int = 16384) -> np.ndarray:
     """Log-probability of whole texts (token arrays that close with ``end``).
 
     Texts of like length run side by side; their states are carried from window to window.
     """
     total = np.zeros(len(texts))
+    texts = [t.astype(np.int64, copy=False) for t in texts]
     by_length = np.argsort([-t.size for t in texts], kind="stable")
+    xg, xn, ug, un = (np.ascontiguousarray(x) for w in "XU" for x in np.split(_against(p[w]), [2 * HIDDEN], axis=1))
     for at in range(0, len(texts), group):
         own = by_length[at : at + group]
         sizes = np.array([texts[i].size for i in own])
+        tokens, first = np.concatenate([texts[i] for i in own]), np.cumsum(sizes) - sizes
         h, last = np.zeros((own.size, HIDDEN), np.float32), np.full(own.size, end)
         lo = 0
         while lo < sizes[0]:
             live = int(np.searchsorted(-sizes, -lo))  # texts that go on here
-            span = min(lo + max(16, 16384 // live), int(sizes[0]))
-            states, targets, lines = [], [], []
-            block = np.full((span - lo, live), end)
-            for k in range(live):
-                part = texts[own[k]][lo:span]
-                block[: part.size, k] = part
-            for t in range(lo, span):
-                now = int(np.searchsorted(-sizes, -t))
-                h = step(p, h[:now], last[:now])[0]
-                last = block[t - lo, :now]
-                states.append(h)
-                targets.append(last)
-                lines.append(now)
-            logs = log_probs(p, starts, np.concatenate(states), np.concatenate(targets))
-            whose = np.concatenate([own[:n] for n in lines])
-            total += np.bincount(whose, logs, minlength=len(texts))
+            span = min(lo + max(1, 8192 // live), int(sizes[0]))
+            lines = np.searchsorted(-sizes, -np.arange(lo, span)).tolist()  # texts that go on at each place
+            states, targets = np.empty((sum(lines), HIDDEN), np.float32), np.empty(sum(lines), np.int64)
+            done = 0
+            for t, now in enumerate(lines, lo):
+                h, last, out = h[:now], last[:now], states[done : done + now]
+                zr = h @ ug
+                zr += xg.take(last, axis=0)
+                _sigmoid_against(zr)
+                n = h @ un
+                n *= zr[:, HIDDEN:]
+                n += xn.take(last, axis=0)
+                np.tanh(n, out=n)
+                np.subtract(h, n, out=out)
+                out *= zr[:, :HIDDEN]
+                out += n
+                h = out
+                last = tokens.take(first[:now] + t, out=targets[done : done + now], mode="clip")
+                done += now
+            logs = log_probs(p, starts, states, targets)
+            total += np.bincount(np.concatenate([own[:now] for now in lines]), logs, minlength=len(texts))
             lo = span
     return total
 
 
+def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sum of the rows of each."""
+    order = np.argsort(keys, kind="stable")
+    own, first, size = np.unique(keys[order], return_index=True, return_counts=True)
+    out = rows[order[first]]
+    # Frequent keys one by one, the others a row of each at a time: reduceat adds number by number.
+    for i in np.flatnonzero(size > 8):
+        out[i] = rows[order[first[i] : first[i] + size[i]]].sum(axis=0)
+    size[size > 8] = 1
+    for k in range(1, size.max()):
+        at = np.flatnonzero(size > k)
+        out[at] += rows[order[first[at] + k]]
+    return own, out
+
+
 class Learner:
     """AdaGrad on truncated windows of token streams."""
 
     def __init__(self, params: Params, starts: np.ndarray, end: int):
         self.p = {k: v.copy() for k, v in params.items()}
+        # Weights and biases of words are moved as one.
+        self.words = np.concatenate([params["Ww"], params["bw"][:, None]], axis=1)
+        self.p["Ww"], self.p["bw"] = self.words[:, :HIDDEN], self.words[:, HIDDEN]
         self.starts, self.end = starts, end
-        self.g2 = {k: np.full_like(v, 1e-3) for k, v in params.items()}
+        self.g2 = {k: np.full_like(v, 1e-3) for k, v in (self.p | {"words": self.words}).items() if k not in ("Ww", "bw")}
+        self.words_grad = np.empty_like(self.words)
 
-    def _move(self, name: str, at, grad: np.ndarray) -> None:
-        g2 = self.g2[name][at] + grad * grad
-        self.g2[name][at] = g2
-        self.p[name][at] -= RATE * grad / np.sqrt(g2)
+    def _output(self, h: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients of the states, a line per target, and of the output weights."""
+        p, places = self.p, np.arange(goal.size)
+        of, order, parts = _by_class(goal, self.starts)
+        d = p["Wc"].T @ h.T
+        d += p["bc"][:, None]
+        _exp(d, [d])
+        d /= d.sum(axis=0)
+        d[of, places] -= 1
+        dflat = d.T @ p["Wc"].T
+        moves = {"Wc": (d @ h).T, "bc": d.sum(axis=1), "words": self.words_grad}
+        # Columns are targets by class, lines the words of the class; all classes lie in one array.
+        # A 1 after the state stands for the bias.
+        flat, within, words = np.ones((goal.size, HIDDEN + 1), np.float32), (goal - self.starts[of])[order], moves["words"]
+        flat[:, :HIDDEN] = h.take(order, axis=0)
+        first = np.cumsum([0, *((hi - lo) * (b - a) for lo, hi, a, b in parts)])
+        z, sums = np.empty(first[-1], np.float32), np.ones((goal.size, 1), np.float32)
+        views = [z[i:j].reshape(hi - lo, b - a) for i, j, (lo, hi, a, b) in zip(first.tolist(), first[1:].tolist(), parts)]
+        for v, (lo, hi, a, b) in zip(views, parts):
+            np.matmul(self.words[lo:hi], flat[a:b].T, out=v)
+        _exp(z, views)
+        for v, (_, _, a, b) in zip(views, parts):
+            np.add.reduce(v, 0, None, sums[a:b, 0])
+        # Softmax less 1 at the target, times the sum.
+        if parts:
+            _, _, a, b = np.array(parts).T
+            own = np.concatenate([places[x:y] for _, _, x, y in parts])
+            z[within[own] * np.repeat(b - a, b - a) + np.repeat(first[:-1] - a, b - a) + own] -= sums[own, 0]
+        flat /= sums
+        back = np.zeros((goal.size, HIDDEN), np.float32)
+        words.fill(0)
+        for v, (lo, hi, a, b) in zip(views, parts):
+            np.matmul(v, flat[a:b], out=words[lo:hi])
+            np.matmul(v.T, p["Ww"][lo:hi], out=back[a:b])
+        back /= sums
+        place = np.empty_like(order)
+        place[order] = places
+        dflat += back.take(place, axis=0)
+        return dflat, moves
 
-    def window(self, h: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, float]:
-        """One truncated step over ``(time, stream)`` tokens; the state to carry on and the loss."""
-        p, starts, steps, streams = self.p, self.starts, *ids.shape
-        saved, states = [], []
+    @np.errstate(over="ignore")
+    def window(self, h: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """One truncated step over ``(time, stream)`` tokens; the state to carry on, a column per stream."""
+        p, (steps, streams), k = self.p, ids.shape, HIDDEN
+        ends = [np.flatnonzero(x) for x in ids == self.end]
+        a = p["X"].take(ids.ravel(), axis=0).reshape(steps, streams, 3 * k).transpose(0, 2, 1).copy()
+        a[:, : 2 * k] *= -1
+        ut = np.ascontiguousarray(_against(p["U"]).T)
+        u, zr, before, n, states = (np.empty((steps, m * k, streams), np.float32) for m in (3, 2, 1, 1, 1))
         for t in range(steps):
-            keep = (ids[t] != self.end)[:, None].astype(np.float32)
-            before = h * keep
-            h, *gates = step(p, before, ids[t])
-            saved.append((before, keep, *gates))
-            states.append(h)
-        flat, goal = np.concatenate(states), targets.ravel()
-        of, parts = _by_class(goal, starts)
-        logs = _log_softmax(flat @ p["Wc"] + p["bc"])
-        loss = -logs[np.arange(goal.size), of].sum(dtype=float)
-        d = np.exp(logs)
-        d[np.arange(goal.size), of] -= 1
-        dflat = d @ p["Wc"].T
-        moves = [("Wc", slice(None), flat.T @ d / streams), ("bc", slice(None), d.sum(0) / streams)]
-        for c, at in parts:
-            lo, hi = starts[c], starts[c + 1]
-            logs = _log_softmax(flat[at] @ p["Ww"][lo:hi].T + p["bw"][lo:hi])
-            mine = (np.arange(at.size), goal[at] - lo)
-            loss -= logs[mine].sum(dtype=float)
-            d = np.exp(logs)
-            d[mine] -= 1
-            dflat[at] += d @ p["Ww"][lo:hi]
-            moves += [("Ww", slice(lo, hi), d.T @ flat[at] / streams), ("bw", slice(lo, hi), d.sum(0) / streams)]
-        dflat = dflat.reshape(steps, streams, HIDDEN)
-        dh, du_sum, da = np.zeros_like(h), np.zeros_like(p["U"]), []
+            before[t] = h
+            if ends[t].size:
+                before[t][:, ends[t]] = 0
+            np.matmul(ut, before[t], out=u[t])
+            _gates(a[t], u[t], before[t], zr[t], n[t], states[t])
+            h = states[t]
+        came = before.transpose(0, 2, 1).reshape(-1, k)
+        dflat, moves = self._output(states.transpose(0, 2, 1).reshape(-1, k), targets.ravel())
+        dflat = dflat.reshape(steps, streams, k).transpose(0, 2, 1).copy()
+        z, r, other = zr[:, :k], zr[:, k:], 1 - zr
+        by_n, by_z, by_r = 1 - n * n, before - n, u[:, 2 * k :] * r
+        by_n *= other[:, :k]
+        by_z *= z
+        by_z *= other[:, :k]
+        by_r *= other[:, k:]
+        dh, turned = np.zeros_like(h), np.ascontiguousarray(np.roll(p["U"], k, axis=1))
+        # What the state's part of n, then z, r and n are off by, a line per token.
+        off, d = np.empty((steps, streams, 4 * k), np.float32), np.empty((4 * k, streams), np.float32)
         for t in range(steps - 1, -1, -1):
-            before, keep, z, r, n, un = saved[t]
-            dh = dh + dflat[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            da.append(np.concatenate([dz, dr, dn], axis=1))
-            du_sum += before.T @ du
-            dh = (dh * z + du @ p["U"].T) * keep
-        da = np.concatenate(da[::-1])
-        order = np.argsort(ids.ravel(), kind="stable")
-        rows, first = np.unique(ids.ravel()[order], return_index=True)
-        moves += [("U", slice(None), np.clip(du_sum / streams, -5, 5)), ("X", rows, np.add.reduceat(da[order], first) / streams)]
-        for name, at, grad in moves:
-            self._move(name, at, grad.astype(np.float32))
-        return h, loss
+            dh += dflat[t]
+            dn = np.multiply(dh, by_n[t], out=d[3 * k :])
+            np.multiply(dn, by_r[t], out=d[2 * k : 3 * k])
+            np.multiply(dh, by_z[t], out=d[k : 2 * k])
+            np.multiply(dn, r[t], out=d[:k])
+            off[t] = d.T
+            dh *= z[t]
+            dh += turned @ d[: 3 * k]
+            if ends[t].size:
+                dh[:, ends[t]] = 0
+        off = off.reshape(-1, 4 * k)
+        moves["U"] = np.roll(came.T @ off[:, : 3 * k], -k, axis=1)
+        rows, moved = _sums(off[:, k:], ids.ravel().astype(np.uint16))
+        self._move(p["X"], self.g2["X"], moved / streams, rows)
+        for name, grad in moves.items():
+            grad /= streams
+            if name == "U":
+                np.clip(grad, -5, 5, out=grad)
+            self._move(p[name] if name != "words" else self.words, self.g2[name], grad)
+        return h
+
+    @staticmethod
+    def _move(value: np.ndarray, g2: np.ndarray, grad: np.ndarray, at: np.ndarray | None = None) -> None:
+        """Move the lines ``at``, all if that is None; changes ``grad``."""
+        squares = grad * grad
+        if at is None:
+            g2 += squares
+            np.sqrt(g2, out=squares)
+        else:
+            squares += g2.take(at, axis=0)
+            g2[at] = squares
+            np.sqrt(squares, out=squares)
+        grad *= RATE
+        grad /= squares
+        if at is None:
+            value -= grad
+        else:
+            value[at] -= grad
 
     def fit(self, tokens: np.ndarray, epochs: int = 1) -> None:
         """Learn from a run of texts that each close with ``end``."""
@@ -183,6 +306,6 @@ class Learner:
         for _ in range(epochs):
             for streams, own in ((STREAMS, tokens[: cut + 1]), (1, tokens[cut:])):
                 ids, goals = (x.reshape(streams, -1).T for x in (own[:-1], own[1:]))
-                h = np.zeros((streams, HIDDEN), np.float32)
+                h = np.zeros((HIDDEN, streams), np.float32)
                 for lo in range(0, len(ids), WINDOW):
-                    h, _ = self.window(h, ids[lo : lo + WINDOW], goals[lo : lo + WINDOW])
+                    h = self.window(h, ids[lo : lo + WINDOW], goals[lo : lo + WINDOW])
