@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +212,38 @@ def test_word_hashes_depend_on_words_only():
     assert np.array_equal(a, b) and a[0] == a[3] and len(set(a.tolist())) == 3
     assert word_hashes(b" \n").size == 0 and ngram_hashes(a, 5).size == 0
     assert word_hashes(("é" * 70_000).encode()).size == 1
+
+
+def test_words_are_counted_with_few_calls_for_a_batch():
+    rng = random.Random(6)
+    texts = [b"", b" ", b"A", b"\n a", b"a \t", bytes(range(256)), "É naïve 😀 x\x1cY\x85z".encode(), b"\xff\xfe A\x00B"]
+    texts += [bytes(rng.choice(b" \t\n\x0b\x0c\rabAZ\x1c\x1f\x85\xa0\x00\xe9") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    want = [[*t.lower().split(), b""] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    calls = 0
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(called)
+    try:
+        counted = list(lm_score._count(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert calls < len(texts)  # each text was split by some calls of its own
+    counts = Counter()
+    for part in counted:
+        counts.update(dict(zip(part["word"].to_pylist(), part["c"].to_pylist(), strict=True)))
+    assert counts == Counter(w for own in want for w in own)
+    for start in (0, 5):  # a slice of a batch knows its own texts
+        assert lm_score.words_of(batch["text"].slice(start)).cast(pa.list_(pa.binary())).to_pylist() == want[start:]
+
+
+def test_texts_are_dealt_in_pieces_and_none_is_left_out(monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE_BYTES", 10)
+    texts = [b"", b"a" * 25, b"bc", b"d" * 8, b"e", b"", b"f" * 10, b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts, pa.binary())], names=["row", "text"])
+    pieces = list(lm_score._pieces(iter([batch, batch.slice(0, 0), batch.slice(3)])))
+    assert [r for p in pieces for r in p["row"].to_pylist()] == [*range(8), *range(3, 8)]
+    assert all(p.num_rows == 1 or sum(map(len, p["text"].to_pylist())) <= 10 for p in pieces) and len(pieces) < 10

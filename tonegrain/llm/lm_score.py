@@ -22,13 +22,13 @@ gives no row.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +44,8 @@ SLICE = 1 << 16
 ADD = 0.1
 #: Texts scored side by side, in bytes.
 HELD_BYTES = 24_000_000
+#: Texts split into words at once, in bytes.
+PIECE_BYTES = 16_000_000
 
 PARTS = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, "
@@ -51,26 +53,33 @@ PARTS = (
 )
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), b""]
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, given in bytes, and the end token, an empty word."""
+    # Arrow's ASCII functions know A-Z and the white space above alone. The space added leaves an empty word at the end.
+    texts = pc.binary_join_element_wise(pc.ascii_lower(texts.view(pa.string())), "", " ")
+    return pc.ascii_split_whitespace(pc.ascii_ltrim_whitespace(texts))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _places(words: pa.ListArray, known: pa.Array) -> np.ndarray:
+    """The place of each word in ``known``, words in bytes; -1 if it has none."""
+    return pc.index_in(words.flatten(), known.view(pa.string())).fill_null(-1).to_numpy()
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"]
-        )
-        counts.clear()
-        return out
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows, by ``PIECE_BYTES`` of the texts in their last column."""
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            if len(counts) > 300_000:
-                yield flush()
-    yield flush()
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE_BYTES, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in _pieces(batches):
+        counts = pc.value_counts(words_of(piece.column(0)).flatten())
+        yield pa.RecordBatch.from_arrays([counts.field("values").view(pa.binary()), counts.field("counts")], names=["word", "c"])
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -121,14 +130,17 @@ def _train(docs: DataFrame, known: pd.DataFrame, unknown: int) -> tuple[recurren
     spark, n = docs.sparkSession, int(counts.sum())
     passes = min(ROUNDS, -(-LEAST_TOKENS // n))
     shards = max(SHARDS, -(-n * passes // (ROUNDS * SHARD_TOKENS)))
-    words = spark.sparkContext.broadcast({w: i for i, w in enumerate(top["word"])})
+    words = spark.sparkContext.broadcast(pa.array(top["word"], pa.binary()))
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = words.value
-        other = len(index)
-        for batch in batches:
-            ids = [np.array(list(map(index.get, words_of(t.as_py()), repeat(other))), np.uint16).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["doc_id", "order", "ids"])
+        other = len(words.value)
+        for piece in _pieces(batches):
+            own = words_of(piece.column(2))
+            ids = _places(own, words.value)
+            ids = np.where(ids < 0, other, ids).astype(np.uint16)
+            cuts = own.offsets.to_numpy() * np.int32(ids.itemsize)
+            texts = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([*piece.columns[:2], texts], names=["doc_id", "order", "ids"])
 
     order = F.xxhash64(F.lit(13), F.col("doc_id").cast("long"), "text")
     texts = docs.select(F.col("doc_id").cast("long"), order.alias("order"), blob("text").alias("text"))
@@ -171,7 +183,7 @@ def score(docs: DataFrame, learnable: Column, held_out: Column) -> DataFrame:
     n, v = int(total["n"] or 0), int(total["v"])
     known = network_words(frequent(counts))
     trained = _train(docs.filter(learnable), known, n - int(known["c"].sum()))
-    words, kept = known["word"].tolist(), min(WORDS, len(known)) if trained else 0
+    words, kept = pa.array(known["word"], pa.binary()), min(WORDS, len(known)) if trained else 0
     modelled = int(known["c"].iloc[:kept].sum())
     all_mass = n + ADD * (v + 1)
     rest_mass = (n - modelled) + ADD * (v - kept + 1)  # all_mass if there is no network
@@ -179,47 +191,55 @@ def score(docs: DataFrame, learnable: Column, held_out: Column) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, c, net, kept = shared.value
-        place = {w: i for i, w in enumerate(words)}
         logs = np.append(np.log10(c + ADD), 0.0)
         schema = pa.schema(
             [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
              ("base", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))]
         )
-        rows: list[list] = []
+        parts: list[tuple] = []
         tokens: list[np.ndarray] = []
 
-        def finish() -> pa.RecordBatch:
+        def finish() -> Iterator[pa.RecordBatch]:
+            more = np.zeros(sum(len(p[0]) for p in parts))
             if net is not None:
                 params, starts, end = net
-                model = recurrent.score_texts(params, starts, tokens, end) / np.log(10)
-                for row, m in zip(rows, model.tolist(), strict=True):
-                    row[6] += m
-            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
-            rows.clear()
+                more = recurrent.score_texts(params, starts, tokens, end) / np.log(10)
+            for *own, model, words, times in parts:
+                model, more = model + more[: model.size], more[model.size :]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*own, model, words, times], schema)], schema=schema)
+            parts.clear()
             tokens.clear()
-            return out
 
         held = 0
-        for batch in batches:
-            for row, doc_id, out, text in zip(*batch.columns, strict=True):
-                text = text.as_py()
-                own = words_of(text)
-                ids = np.array(list(map(place.get, own, repeat(-1))), np.int64)
-                rare = Counter([own[i] for i in np.flatnonzero(ids < 0).tolist()])
-                beyond = (ids < 0) | (ids >= kept)
-                model = float(logs[ids[beyond]].sum()) - int(beyond.sum()) * np.log10(rest_mass)
-                rows.append([
-                    row.as_py(), doc_id.as_py(), out.as_py(), len(own), int((ids >= 0).sum()), float(logs[ids].sum()), model,
-                    list(rare), list(rare.values()),
-                ])
-                if net is not None:
-                    tokens.append(np.where(beyond, kept, ids))
-                held += len(text) + 200
-                if held > HELD_BYTES:
-                    yield finish()
-                    held = 0
-        if rows:
-            yield finish()
+        for piece in _pieces(batches):
+            own = words_of(piece.column(3))
+            cuts, ids = own.offsets.to_numpy(), _places(own, words)
+            size, rare = np.diff(cuts), ids < 0
+            beyond = rare | (ids >= kept)
+            # Every text has a token.
+            n_rare, n_beyond = (np.add.reduceat(x, cuts[:-1], dtype=np.int64) for x in (rare, beyond))
+            found = logs[ids]
+            base = [found[a:b].sum() for a, b in pairwise(cuts.tolist())]
+            left, ends = found[beyond], np.cumsum([0, *n_beyond]).tolist()
+            model = np.array([left[a:b].sum() for a, b in pairwise(ends)]) - n_beyond * np.log10(rest_mass)
+            # A text's copies of a rare word are put together.
+            coded = own.flatten().filter(pa.array(rare)).dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            pairs, times = np.unique(np.repeat(np.arange(len(own)), n_rare) * kinds + coded.indices.to_numpy(), return_counts=True)
+            first = pa.array(np.searchsorted(pairs, np.arange(len(own) + 1) * kinds), pa.int32())
+            parts.append((
+                *piece.columns[:3], size, size - n_rare, base, model,
+                pa.ListArray.from_arrays(first, coded.dictionary.take(pa.array(pairs % kinds)).view(pa.binary())),
+                pa.ListArray.from_arrays(first, pa.array(times, pa.int32())),
+            ))
+            if net is not None:
+                tokens += np.split(np.where(beyond, kept, ids).astype(np.uint16), cuts[1:-1])
+            held += piece.column(3).nbytes + 200 * len(own)
+            if held > HELD_BYTES:
+                yield from finish()
+                held = 0
+        if parts:
+            yield from finish()
 
     own = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), held_out.alias("held_out"), blob("text").alias("text")
